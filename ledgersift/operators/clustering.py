@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import bounded, require_columns, require_size
+from ..errors import SampleSizeError
 from ..functions import seed_draw
 from .order_statistics import smallest_hashes, top_n_by_score
 from .summaries import trial_table
+from .vectors import matrix, squared_distances
 
 TUNE_ROWS = 50_000
 K_RANGE = range(2, 21)
+FULL_ITERATIONS = 20
 
 
 def squared_distance(vector: Column, centre: Sequence[float]) -> Column:
@@ -124,51 +128,68 @@ class KMeansChoice:
     trials: DataFrame
 
 
-def _fit(points: DataFrame, k: int, seed: int, max_iter: int):
-    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="__v", initMode="k-means||").fit(points)
+def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, max_iter: int) -> tuple[np.ndarray, float]:
+    """Labels and within-cluster sum of squares of one k-means++ start on a bounded sample."""
+    centres = x[[rng.integers(len(x))]]
+    nearest = squared_distances(x, centres)[:, 0]
+    while len(centres) < k and nearest.sum() > 0:
+        chosen = x[[rng.choice(len(x), p=nearest / nearest.sum())]]
+        centres = np.vstack([centres, chosen])
+        nearest = np.minimum(nearest, squared_distances(x, chosen)[:, 0])
+    labels = np.full(len(x), -1)
+    for _ in range(max_iter):
+        d = squared_distances(x, centres)
+        moved = d.argmin(axis=1)
+        if (moved == labels).all():
+            break
+        labels = moved
+        sizes = np.bincount(labels, minlength=len(centres))
+        sums = np.column_stack([np.bincount(labels, x[:, j], len(centres)) for j in range(x.shape[1])])
+        centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
+    return labels, float(squared_distances(x, centres)[np.arange(len(x)), labels].sum())
 
 
 def tune_kmeans(
     df: DataFrame, vector: str, key: Sequence[str], seed: int, clusters: Sequence[int] = K_RANGE,
-    restarts: int = 1, max_iter: int = 20, tune_rows: int = TUNE_ROWS, parallelism: int = 4,
+    restarts: int = 3, max_iter: int = 100, tune_rows: int = TUNE_ROWS,
 ) -> KMeansChoice:
-    """Best k by Calinski-Harabasz over trial fits on a bounded uniform sample, refit on all rows.
+    """Best k by Calinski-Harabasz over trials on a bounded uniform sample; k-means is then fitted to all rows.
 
-    The score needs no extra pass: the within sum is the model's training cost and the
-    total sum of squares is computed once. Trials are independent jobs run side by side.
+    The sample is broadcast and every (k, restart) trial is one task.
     """
     require_columns(df, vector, *key)
+    spark = df.sparkSession
     rows = df.count()
-    points = df.select(array_to_vector(F.col(vector)).alias("__v"), F.col(vector).alias("__a"), *key)
-    pool = points
+    pool = df.select(vector, *key)
     if rows > tune_rows:
-        pool = smallest_hashes(points, tune_rows, key, seed, "tune", rows).where("is_sample = 1")
-    pool = pool.select("__v", "__a").repartition(4).cache()
-    used = min(rows, tune_rows)
-    try:
-        dims = len(pool.first()["__a"])
-        spread = pool.agg(*[F.var_pop(F.get("__a", i)) for i in range(dims)]).first()
-        total = used * sum(v or 0.0 for v in spread)
-        grid = [(k, seed + r) for k in clusters if k < used for r in range(restarts)]
-
-        def trial(args):
-            k, s = args
-            model = _fit(pool, k, s, max_iter)
-            found, within = len(model.clusterCenters()), model.summary.trainingCost
-            score = None
-            if found > 1 and within > 0:
-                score = ((total - within) / (found - 1)) / (within / (used - found))
-            return {"n_clusters": float(k), "seed": float(s)}, score
-
-        with ThreadPool(parallelism) as workers:
-            results = workers.map(trial, grid)
-    finally:
-        pool.unpersist()
-    scored = [(score, p) for p, score in results if score is not None]
-    best = max(scored, key=lambda r: (r[0], -r[1]["n_clusters"]))[1] if scored else results[0][0]
-    model = _fit(points.select("__v"), int(best["n_clusters"]), int(best["seed"]), max_iter)
-    trials = trial_table(df.sparkSession, [(i, p, s) for i, (p, s) in enumerate(results)])
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
+        pool = smallest_hashes(pool, tune_rows, key, seed, "tune", rows).where("is_sample = 1")
+    held = spark.sparkContext.broadcast(matrix(pool.orderBy(*key).select(vector).toArrow()[vector]))
+    grid = [(i, k, seed + r) for i, (k, r) in enumerate((k, r) for k in clusters if k < rows for r in range(restarts))]
+    if not grid:
+        raise SampleSizeError("too few rows to cluster")
+
+    def attempt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = held.value
+        total = float(((x - x.mean(axis=0)) ** 2).sum())
+        for batch in batches:
+            for trial, k, start in batch.itertuples(index=False):
+                labels, within = lloyd(x, int(k), np.random.default_rng([int(start), int(k)]), max_iter)
+                found = len(np.unique(labels))
+                score = None
+                if found > 1 and within > 0:
+                    score = ((total - within) / (found - 1)) / (within / (len(x) - found))
+                yield pd.DataFrame({"trial": [trial], "value": pd.Series([score], dtype="float64")})
+
+    tasks = spark.createDataFrame(grid, "trial int, k int, start int").repartition(len(grid), "trial")
+    scores = dict(tasks.mapInPandas(attempt, "trial int, value double").collect())
+    ranked = [(scores[t], -k, -t) for t, k, _ in grid if scores[t] is not None and np.isfinite(scores[t])]
+    best = grid[-max(ranked)[2]] if ranked else grid[0]
+    points = df.select(array_to_vector(F.col(vector)).alias("__v"))
+    model = KMeans(k=best[1], seed=best[2], maxIter=FULL_ITERATIONS, featuresCol="__v").fit(points)
+    trials = trial_table(
+        spark, [(t, {"n_clusters": float(k), "start": float(start)}, scores[t]) for t, k, start in grid]
+    )
+    centres = [[float(v) for v in c] for c in model.clusterCenters()]
     return KMeansChoice(len(centres), centres, trials)
 
 

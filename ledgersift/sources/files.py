@@ -5,10 +5,12 @@ from __future__ import annotations
 import codecs
 import csv
 import os
+import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +50,8 @@ def _sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for path in batch["path"]:
-            local = path.removeprefix("file://").removeprefix("file:")
-            with open(local, "rb") as f:
+            store, location = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+            with store.open_input_stream(location) as f:
                 head = f.read(SNIFF_BYTES)
                 complete = not f.read(1)
             found = dialect_of(head, complete)
