@@ -19,7 +19,7 @@ from .order_statistics import smallest_hashes, top_n_by_score
 from .summaries import trial_table
 from .vectors import matrix, squared_distances
 
-TUNE_ROWS = 50_000
+TUNE_ROWS = 20_000
 K_RANGE = range(2, 21)
 FULL_ITERATIONS = 20
 
@@ -58,7 +58,7 @@ def relative_distance(df: DataFrame) -> DataFrame:
     """Add ``relative_distance`` = distance / deviation of its cluster; 0 where there is no spread."""
     spread = bounded(cluster_distance_std(df).select("cluster", "distance_std"))[0]
     ratio = F.coalesce(F.try_divide(F.col("distance_to_centroid"), F.col("distance_std")), F.lit(0.0))
-    return df.join(spread, "cluster").withColumn("relative_distance", ratio).drop("distance_std")
+    return df.join(spread, "cluster", "left").withColumn("relative_distance", ratio).drop("distance_std")
 
 
 def cluster_quota(sample_size: int, clusters: int, per_cluster: int | None = None) -> int:
@@ -138,20 +138,19 @@ def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, max_iter: int) -> tup
         nearest = np.minimum(nearest, squared_distances(x, chosen)[:, 0])
     labels = np.full(len(x), -1)
     for _ in range(max_iter):
-        d = squared_distances(x, centres)
-        moved = d.argmin(axis=1)
+        moved = ((centres**2).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
         if (moved == labels).all():
             break
         labels = moved
         sizes = np.bincount(labels, minlength=len(centres))
         sums = np.column_stack([np.bincount(labels, x[:, j], len(centres)) for j in range(x.shape[1])])
         centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
-    return labels, float(squared_distances(x, centres)[np.arange(len(x)), labels].sum())
+    return labels, float(((x - centres[labels]) ** 2).sum())
 
 
 def tune_kmeans(
     df: DataFrame, vector: str, key: Sequence[str], seed: int, clusters: Sequence[int] = K_RANGE,
-    restarts: int = 3, max_iter: int = 100, tune_rows: int = TUNE_ROWS,
+    restarts: int = 3, max_iter: int = 50, tune_rows: int = TUNE_ROWS,
 ) -> KMeansChoice:
     """Best k by Calinski-Harabasz over trials on a bounded uniform sample; k-means is then fitted to all rows.
 
