@@ -74,11 +74,12 @@ def mus(
     size AS (SELECT s, count(*) AS c, sum(m) AS t FROM rows GROUP BY s),
     plan AS ({plan}),
     span AS (
-      SELECT s, i, (i * t) // n AS a, ((i + 1) * t) // n AS b
-      FROM (SELECT z.s, z.t::HUGEINT AS t, p.n::HUGEINT AS n, unnest(range(0, p.n)) AS i
+      SELECT s, i, i * w + least(i, rem) AS a, (i + 1) * w + least(i + 1, rem) AS b
+      FROM (SELECT z.s, CAST(z.t // p.n AS BIGINT) AS w, CAST(z.t % p.n AS BIGINT) AS rem, unnest(range(0, p.n)) AS i
             FROM size z JOIN plan p USING (s) WHERE z.c > p.n AND z.t > 0)),
     point AS (
-      SELECT s, CAST(a + 1 + (({u32(seed, 'mus', 's', 'i')} - 1) * (b - a)) // {UNIT} AS BIGINT) AS p FROM span WHERE b > a),
+      SELECT s, a + 1 + least(CAST(floor(({u32(seed, 'mus', 's', 'i')} - 1) / {UNIT}.0::DOUBLE * (b - a)) AS BIGINT), b - a - 1) AS p
+      FROM span WHERE b > a),
     hits AS (
       SELECT DISTINCT r.s, r.k FROM point JOIN rows r ON r.s = point.s AND point.p > r.hi - r.m AND point.p <= r.hi),
     picked AS (
@@ -153,7 +154,7 @@ SILHOUETTE = f"""
     SELECT vec_id, round(CASE WHEN size > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END, 6) AS silhouette
     FROM ab"""
 
-SILHOUETTE_SQUARED = SILHOUETTE.replace("sum(sqrt(", "sum((", 1)
+SILHOUETTE_SQUARED = SILHOUETTE.replace("sum(sqrt(", "sum((", 1).replace(", 6) AS silhouette", ", 12) AS silhouette")
 
 CALINSKI = """
     WITH e AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings),
@@ -278,14 +279,16 @@ ORACLES: dict[str, str] = {
     "concat_strata": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice >= 450000 AND o_orderstatus IN ('F', 'O', 'P')",
     "distinct_hits": "SELECT DISTINCT o_orderkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_extendedprice >= 80000",
     "anomaly_and_cluster_count": f"SELECT CAST(count(*) FILTER (distance_to_centroid > 0.3) AS BIGINT) AS anomaly_count, CAST(max(cluster) + 1 AS INTEGER) AS cluster_count FROM {PLACED}",
-    "share_left_join": """SELECT p.p_brand AS stratum, round(coalesce(s.c, 0) * 100.0::DOUBLE / (SELECT count(*) FROM part WHERE p_retailprice >= 1900), 6) AS sample_percent
-        FROM (SELECT DISTINCT p_brand FROM part) p LEFT JOIN (SELECT p_brand, count(*) AS c FROM part WHERE p_retailprice >= 1900 GROUP BY p_brand) s USING (p_brand)""",
+    "share_left_join": """SELECT p.p_brand AS stratum, round(coalesce(s.c, 0) * 100.0::DOUBLE / (SELECT count(*) FROM part WHERE p_size = 1), 6) AS sample_percent
+        FROM (SELECT DISTINCT p_brand FROM part) p LEFT JOIN (SELECT p_brand, count(*) AS c FROM part WHERE p_size = 1 GROUP BY p_brand) s USING (p_brand)""",
     "knn_join_parts": KNN_PARTS,
     "knn_join_blocks": KNN_PARTS,
     "lof_sample_parts": lof(PART_POINTS, "p_partkey", 20, PART_DISTANCE, 6, 20, True),
     "lof_sample_vectors": lof(VECTORS, "vec_id", 20, VECTOR_DISTANCE, 5, 20, False, False),
     "calinski_harabasz_vectors": CALINSKI,
     "silhouette_vectors": SILHOUETTE,
+    "silhouette_squared_vectors": f"SELECT round(avg(silhouette), 6) AS silhouette FROM ({SILHOUETTE_SQUARED})",
+    "sniff_csv_dialect": "SELECT kind, 'utf-8' AS encoding, sep, 5 AS n_cols, 4::BIGINT AS files FROM (VALUES ('comma', ','), ('semicolon', ';'), ('tab', chr(9)), ('pipe', '|')) AS t(kind, sep)",
     "silhouette_sizes_tables": " UNION ALL ".join(
         f"SELECT '{t}' AS name, CASE WHEN c < 1000 THEN 1 ELSE 3 END AS parts, CAST(CASE WHEN c < 1000 THEN c WHEN c < 100000 THEN least(greatest(c // 10, 1000), 5000) ELSE 5000 END AS INTEGER) AS size FROM (SELECT count(*) AS c FROM {t})"
         for t in ("supplier", "customer", "part", "orders", "lineitem")

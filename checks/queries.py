@@ -541,7 +541,7 @@ def anomaly_and_cluster_count(spark, sf):
 @query
 def share_left_join(spark, sf):
     """Sample share of every stratum, 0 where the sample has none."""
-    flagged = table(spark, sf, "part").withColumn("is_sample", (F.col("p_retailprice") >= 1900).cast("int"))
+    flagged = table(spark, sf, "part").withColumn("is_sample", (F.col("p_size") == 1).cast("int"))
     both = strata_comparison(flagged, "p_brand")
     return both.select("stratum", r6(F.col("sample_percent")).alias("sample_percent"))
 

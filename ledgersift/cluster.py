@@ -69,3 +69,9 @@ def settled(df: DataFrame, name: str, max_rows: int) -> DataFrame:
         if small:
             return table
     return stored(df, name)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Enough partitions to keep every core busy in a compute-heavy step; a no-op on large inputs."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

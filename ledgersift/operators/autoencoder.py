@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import require_columns, require_size
+from ..cluster import require_columns, require_size, spread, stored
 from ..errors import SampleSizeError
 from ..functions import seed_draw
 from .order_statistics import top_n_by_score
@@ -32,15 +32,30 @@ ROWS_PER_WORKER = 250_000
 MAX_WORKERS = 1_000
 
 
-def initial_weights(dims: int, seed: int) -> list[np.ndarray]:
-    """Uniform Glorot weights and zero offsets for dims-64-3-64-dims."""
-    rng = np.random.default_rng(seed)
-    weights = []
+def layer_shapes(dims: int) -> list[tuple[int, ...]]:
+    """Weights and offsets of dims-64-3-64-dims."""
     sizes = [dims, HIDDEN, BOTTLENECK, HIDDEN, dims]
-    for a, b in zip(sizes, sizes[1:]):
-        edge = np.sqrt(6 / (a + b))
-        weights += [rng.uniform(-edge, edge, (a, b)), np.zeros(b)]
-    return weights
+    return [s for a, b in zip(sizes, sizes[1:]) for s in ((a, b), (b,))]
+
+
+def unpack(flat: np.ndarray, dims: int) -> list[np.ndarray]:
+    """Views of one flat vector as the layers."""
+    views, at = [], 0
+    for shape in layer_shapes(dims):
+        size = int(np.prod(shape))
+        views.append(flat[at : at + size].reshape(shape))
+        at += size
+    return views
+
+
+def initial_weights(dims: int, seed: int) -> np.ndarray:
+    """Uniform Glorot weights and zero offsets, as one flat vector."""
+    rng = np.random.default_rng(seed)
+    parts = []
+    for shape in layer_shapes(dims):
+        edge = np.sqrt(6 / sum(shape)) if len(shape) == 2 else 0.0
+        parts.append(rng.uniform(-edge, edge, int(np.prod(shape))))
+    return np.concatenate(parts)
 
 
 def forward(x: np.ndarray, weights: Sequence[np.ndarray], output: str) -> list[np.ndarray]:
@@ -56,24 +71,24 @@ def forward(x: np.ndarray, weights: Sequence[np.ndarray], output: str) -> list[n
     return layers
 
 
-def gradients(x: np.ndarray, weights: Sequence[np.ndarray], output: str) -> list[np.ndarray]:
-    """Gradient of the mean squared reconstruction error."""
+def gradients(x: np.ndarray, weights: Sequence[np.ndarray], output: str, out: Sequence[np.ndarray]) -> None:
+    """Gradient of the mean squared reconstruction error, written into ``out``."""
     layers = forward(x, weights, output)
     delta = 2 * (layers[-1] - x) / x.size
     if output == "sigmoid":
         delta = delta * layers[-1] * (1 - layers[-1])
-    out = [None] * len(weights)
     for i in range(len(weights) - 2, -1, -2):
-        out[i], out[i + 1] = layers[i // 2].T @ delta, delta.sum(axis=0)
+        np.matmul(layers[i // 2].T, delta, out=out[i])
+        np.sum(delta, axis=0, out=out[i + 1])
         if i:
             delta = (delta @ weights[i].T) * np.where(layers[i // 2] > 0, 1.0, SLOPE)
-    return out
 
 
-def _train(batches, weights, seed: int, output: str):
+def _train(batches, flat: np.ndarray, dims: int, seed: int, output: str):
     """One pass over a partition; returns the new weights and the rows seen."""
-    weights = [w.copy() for w in weights]
-    first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+    flat = flat.copy()
+    slope, first, second = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
+    weights, slopes = unpack(flat, dims), unpack(slope, dims)
     rng = np.random.default_rng(seed)
     step = rows = 0
     for batch in batches:
@@ -81,41 +96,39 @@ def _train(batches, weights, seed: int, output: str):
         order = rng.permutation(len(x))
         for at in range(0, len(x), BATCH):
             step += 1
-            for i, g in enumerate(gradients(x[order[at : at + BATCH]], weights, output)):
-                first[i] = BETA1 * first[i] + (1 - BETA1) * g
-                second[i] = BETA2 * second[i] + (1 - BETA2) * g * g
-                rate = STEP * np.sqrt(1 - BETA2**step) / (1 - BETA1**step)
-                weights[i] -= rate * first[i] / (np.sqrt(second[i]) + EPSILON)
+            gradients(x[order[at : at + BATCH]], weights, output, slopes)
+            first += (1 - BETA1) * (slope - first)
+            second += (1 - BETA2) * (slope * slope - second)
+            rate = STEP * np.sqrt(1 - BETA2**step) / (1 - BETA1**step)
+            flat -= rate * first / (np.sqrt(second) + EPSILON)
         rows += len(x)
-    return weights, rows
+    return flat, rows
 
 
 def fit_autoencoder(
     df: DataFrame, vector: str, key: Sequence[str], seed: int, epochs: int = EPOCHS,
     output: str = "sigmoid", workers: int | None = None,
-) -> list[np.ndarray]:
-    """Weights after ``epochs`` rounds. Rows are placed by key hash and sorted, so a seed repeats a run."""
+) -> np.ndarray:
+    """Flat weights after ``epochs`` rounds. Rows are placed by key hash and sorted, so a seed repeats a run."""
     require_columns(df, vector, *key)
     spark = df.sparkSession
     rows = df.count()
     if not rows:
         raise SampleSizeError("no rows to train on")
     if workers is None:
-        workers = min(MAX_WORKERS, max(4, -(-rows // ROWS_PER_WORKER)))
+        workers = min(MAX_WORKERS, max(8, -(-rows // ROWS_PER_WORKER)))
     placed = df.select(vector, *key, F.pmod(F.xxhash64(*key), F.lit(workers)).cast("int").alias("worker"))
     parts = placed.repartition(workers, "worker").sortWithinPartitions("worker", F.xxhash64(*key), *key)
     parts = parts.select(vector).persist()
     dims = len(parts.first()[0])
     weights = initial_weights(dims, seed)
-    shapes = [w.shape for w in weights]
     try:
         for epoch in range(epochs):
             held = spark.sparkContext.broadcast(weights)
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                trained, seen = _train(batches, held.value, seed * 1_000 + epoch, output)
+                flat, seen = _train(batches, held.value, dims, seed * 1_000 + epoch, output)
                 if seen:
-                    flat = np.concatenate([w.ravel() for w in trained])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))],
                         names=["at", "weighted", "rows"],
@@ -126,24 +139,22 @@ def fit_autoencoder(
                 .groupBy("at").agg((F.sum("weighted") / F.sum("rows")).alias("w"))
                 .orderBy("at").toArrow()
             )
-            flat, weights, at = mean["w"].to_numpy(), [], 0
-            for shape in shapes:
-                size = int(np.prod(shape))
-                weights.append(flat[at : at + size].reshape(shape))
-                at += size
+            weights = mean["w"].to_numpy()
     finally:
         parts.unpersist()
     return weights
 
 
-def reconstruction_error(df: DataFrame, vector: str, weights: Sequence[np.ndarray], output: str = "sigmoid") -> Column:
+def reconstruction_error(df: DataFrame, vector: str, weights: np.ndarray, output: str = "sigmoid") -> Column:
     """Mean squared difference between a row and its reconstruction."""
-    held = df.sparkSession.sparkContext.broadcast(list(weights))
+    held = df.sparkSession.sparkContext.broadcast(weights)
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
         x = matrix(column)
-        error = np.zeros(0) if not len(x) else ((forward(x, held.value, output)[-1] - x) ** 2).mean(axis=1)
+        error = np.zeros(0)
+        if len(x):
+            error = ((forward(x, unpack(held.value, x.shape[1]), output)[-1] - x) ** 2).mean(axis=1)
         # Matrix products may differ in the last bits with the batch size; scores must not.
         return pa.array(np.round(error, 9))
 
@@ -158,7 +169,8 @@ def autoencoder_sample(
     require_size(sample_size)
     seed = seed_draw() if seed is None else seed
     weights = fit_autoencoder(df, vector, key, seed, epochs, output, workers)
-    scored = df.withColumn("anomaly_score", reconstruction_error(df, vector, weights, output))
+    scored = spread(df).withColumn("anomaly_score", reconstruction_error(df, vector, weights, output))
+    scored = stored(scored, "autoencoder-scores")
     return top_n_by_score(scored, "anomaly_score", sample_size, key, True)
 
 

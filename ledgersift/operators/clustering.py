@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import bounded, require_columns, require_size
+from ..cluster import bounded, require_columns, require_size, spread, stored
 from ..errors import SampleSizeError
 from ..functions import seed_draw
 from .order_statistics import smallest_hashes, top_n_by_score
@@ -183,7 +183,7 @@ def tune_kmeans(
     scores = dict(tasks.mapInPandas(attempt, "trial int, value double").collect())
     ranked = [(scores[t], -k, -t) for t, k, _ in grid if scores[t] is not None and np.isfinite(scores[t])]
     best = grid[-max(ranked)[2]] if ranked else grid[0]
-    points = df.select(array_to_vector(F.col(vector)).alias("__v"))
+    points = spread(df.select(array_to_vector(F.col(vector)).alias("__v")))
     model = KMeans(k=best[1], seed=best[2], maxIter=FULL_ITERATIONS, featuresCol="__v").fit(points)
     trials = trial_table(
         spark, [(t, {"n_clusters": float(k), "start": float(start)}, scores[t]) for t, k, start in grid]
@@ -199,5 +199,8 @@ def kmeans_sample(
     """(flagged population, trials): rows farthest from their centre relative to the cluster's spread."""
     require_size(sample_size)
     choice = tune_kmeans(df, vector, key, seed_draw() if seed is None else seed, **tuning)
-    placed = relative_distance(nearest_centroid(df, vector, choice.centres))
-    return quota_sample(placed, sample_size, key, anomalies_per_cluster), choice.trials
+    placed = stored(nearest_centroid(spread(df), vector, choice.centres), "clusters")
+    flagged = quota_sample(
+        relative_distance(placed), sample_size, key, anomalies_per_cluster, choice.clusters
+    )
+    return flagged, choice.trials

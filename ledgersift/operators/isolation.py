@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import require_columns, require_size
+from ..cluster import require_columns, require_size, spread, stored
 from ..errors import SampleSizeError
 from ..functions import seed_draw
 from .order_statistics import smallest_hashes, top_n_by_score
@@ -21,7 +21,8 @@ TREES = 100
 TREE_ROWS = 256
 # Rows the trees draw from. A uniform draw from a uniform draw is uniform, so every
 # tree still sees a simple random sample of the population.
-POOL_ROWS = 65_536
+POOL_ROWS = 25_600
+SCORE_ROWS = 2_048
 EULER = 0.5772156649015329
 
 
@@ -32,32 +33,28 @@ def average_path(n):
     return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def grow_tree(rows: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float, int, float]]:
-    """Nodes as (feature or -1, threshold, left child, path length); right child = left + 1."""
+def grow_tree(rows: np.ndarray, rng: np.random.Generator) -> list[tuple[int, int, float, float]]:
+    """(node, feature or -1, threshold, path length); the children of node i are 2i + 1 and 2i + 2."""
     limit = math.ceil(math.log2(max(2, len(rows))))
-    nodes: list = [None]
-    todo = [(0, np.arange(len(rows)), 0)]
+    nodes, todo = [], [(0, np.arange(len(rows)), 0)]
     while todo:
         at, members, depth = todo.pop()
         x = rows[members]
-        low, high = (x.min(axis=0), x.max(axis=0)) if len(members) else (np.zeros(0), np.zeros(0))
-        usable = np.flatnonzero(high > low)
-        if depth == limit or len(members) < 2 or not len(usable):
-            nodes[at] = (-1, 0.0, -1, depth + float(average_path(len(members))))
+        usable = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if depth < limit and len(members) > 1 else ()
+        if not len(usable):
+            nodes.append((at, -1, 0.0, depth + float(average_path(len(members)))))
             continue
         feature = int(rng.choice(usable))
-        cut = float(rng.uniform(low[feature], high[feature]))
-        goes_left = x[:, feature] <= cut
-        left = len(nodes)
-        nodes += [None, None]
-        nodes[at] = (feature, cut, left, 0.0)
-        todo.append((left, members[goes_left], depth + 1))
-        todo.append((left + 1, members[~goes_left], depth + 1))
+        column = x[:, feature]
+        cut = float(rng.uniform(column.min(), column.max()))
+        nodes.append((at, feature, cut, 0.0))
+        todo.append((2 * at + 1, members[column <= cut], depth + 1))
+        todo.append((2 * at + 2, members[column > cut], depth + 1))
     return nodes
 
 
 def fit_forest(df: DataFrame, vector: str, key: Sequence[str], seed: int, trees: int = TREES) -> DataFrame:
-    """Trees as a table ``tree, node, feature, threshold, left, path``; one task per slice of trees."""
+    """Trees as a table ``tree, node, feature, threshold, path``; one task per slice of trees."""
     require_columns(df, vector, *key)
     spark = df.sparkSession
     rows = df.count()
@@ -75,44 +72,50 @@ def fit_forest(df: DataFrame, vector: str, key: Sequence[str], seed: int, trees:
                 rng = np.random.default_rng([seed, int(tree)])
                 chosen = rng.choice(len(pool.value), size=size, replace=False)
                 grown = grow_tree(pool.value[chosen], rng)
-                out = pd.DataFrame(grown, columns=["feature", "threshold", "left", "path"])
-                out.insert(0, "node", range(len(out)))
+                out = pd.DataFrame(grown, columns=["node", "feature", "threshold", "path"])
                 out.insert(0, "tree", int(tree))
                 yield out
 
-    schema = "tree int, node int, feature int, threshold double, left int, path double"
+    schema = "tree int, node int, feature int, threshold double, path double"
     return spark.range(0, trees, 1, min(trees, spark.sparkContext.defaultParallelism)).mapInPandas(build, schema)
 
 
 def forest_score(forest: DataFrame, rows: int, vector: str) -> Column:
     """Decision score of a row: 0.5 - 2^(-mean path / c(psi)); below 0 is anomalous."""
     # At most trees x 511 nodes whatever the population.
-    nodes = forest.orderBy("tree", "node").toPandas()
-    starts = np.flatnonzero(nodes["node"].to_numpy() == 0)
-    offset = np.repeat(starts, np.diff(np.append(starts, len(nodes))))
-    feature = nodes["feature"].to_numpy()
-    model = forest.sparkSession.sparkContext.broadcast((
-        starts, feature, nodes["threshold"].to_numpy(),
-        np.where(feature >= 0, nodes["left"].to_numpy() + offset, np.arange(len(nodes))), nodes["path"].to_numpy(),
-    ))
+    nodes = forest.toPandas()
     size = min(TREE_ROWS, rows)
     scale = float(average_path(size)) or 1.0
     steps = math.ceil(math.log2(max(2, size)))
+    trees = int(nodes["tree"].max()) + 1
+    width = 2 ** (steps + 1) - 1
+    # A leaf above the last level sends every row left until it gets there.
+    feature = np.zeros((trees, width), dtype=np.int32)
+    threshold = np.full((trees, width), np.inf)
+    path = np.zeros((trees, width))
+    for tree, node, f, cut, length in nodes.itertuples(index=False):
+        if f >= 0:
+            feature[tree, node], threshold[tree, node] = f, cut
+        else:
+            while node < 2**steps - 1:
+                node = 2 * node + 1
+            path[tree, node] = length
+    model = forest.sparkSession.sparkContext.broadcast((feature, threshold, path))
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        roots, feature, threshold, left, path = model.value
+        feature, threshold, path = model.value
         x = matrix(column)
         total = np.zeros(len(x))
-        each = np.arange(len(x))
-        for root in roots:
-            at = np.full(len(x), root)
-            for _ in range(steps):
-                inner = feature[at] >= 0
-                right = x[each, np.maximum(feature[at], 0)] > threshold[at]
-                at = left[at] + (inner & right)
-            total += path[at]
-        return pa.array(0.5 - np.exp2(-total / len(roots) / scale))
+        for start in range(0, len(x), SCORE_ROWS):
+            part = x[start : start + SCORE_ROWS]
+            values, base = part.ravel(), np.arange(len(part)) * x.shape[1]
+            for f, t, p in zip(feature, threshold, path):
+                at = (values.take(base + f[0]) > t[0]) + 1
+                for _ in range(steps - 1):
+                    at = 2 * at + 1 + (values.take(base + f.take(at)) > t.take(at))
+                total[start : start + SCORE_ROWS] += p.take(at)
+        return pa.array(0.5 - np.exp2(-total / len(feature) / scale))
 
     return score(F.col(vector))
 
@@ -127,6 +130,6 @@ def isolation_forest_sample(
     if sample_size > rows:
         raise SampleSizeError(f"sample size {sample_size} exceeds population size {rows}")
     forest = fit_forest(df, vector, key, seed, trees)
-    scored = df.withColumn("anomaly_score", forest_score(forest, rows, vector))
-    scored = scored.withColumn("is_anomaly", (F.col("anomaly_score") < 0).cast("int"))
+    scored = spread(df).withColumn("anomaly_score", forest_score(forest, rows, vector))
+    scored = stored(scored, "forest-scores").withColumn("is_anomaly", (F.col("anomaly_score") < 0).cast("int"))
     return top_n_by_score(scored, "anomaly_score", sample_size, key)

@@ -1,7 +1,7 @@
 """Monetary-unit selection: probability proportional to value.
 
 Values are whole minor units laid end to end in the given order; a total of T units
-is cut into n intervals and one unit is drawn in each. A row covering the units
+is cut into n intervals, equal to within one unit, and one unit is drawn in each. A row covering the units
 (lo, hi] is selected when it covers a drawn unit. Which intervals a row touches is
 arithmetic on lo and hi, and an interval lying wholly inside a row always hits it, so
 two points per row decide membership (with fewer units than intervals every unit is
@@ -21,7 +21,6 @@ from ..cluster import bounded, require_columns, require_size, settled
 from ..errors import ColumnError, EmptyPopulationError, NegativeValueError, SampleSizeError
 from ..functions import hash_hex, hash_uint32, minor_units, ordered_bucket, seed_draw, uniform
 from ..functions.hashing import UINT32
-from ..functions.numeric import exact_div, wide_product
 from .order_statistics import hash_bucket, hash_buckets, kth_cut
 from .random_sampling import mark_sample
 from .ranking import RangeBuckets, rank_within_buckets
@@ -35,37 +34,41 @@ def threshold_filter(df: DataFrame, value: str, threshold: float) -> DataFrame:
     return df.where(F.col(value) >= F.lit(threshold))
 
 
-def interval_start(i: Column, total: Column, n: Column) -> Column:
-    """Units before interval i: floor(i * total / n)."""
-    return exact_div(wide_product(total, i), n)
+def interval_start(i: Column) -> Column:
+    """Units before interval i: the first ``__rem`` intervals have ``__w`` + 1 units, the others ``__w``."""
+    return i * F.col("__w") + F.least(i, F.col("__rem"))
 
 
-def drawn_unit(i: Column, total: Column, n: Column, seed: int, stratum: Column) -> Column:
-    """The monetary unit (1..total) drawn in interval i."""
-    low = interval_start(i, total, n)
-    width = interval_start(i + 1, total, n) - low
+def drawn_unit(i: Column, seed: int, stratum: Column) -> Column:
+    """The monetary unit drawn in interval i."""
+    width = F.col("__w") + (i < F.col("__rem")).cast("int")
     draw = hash_uint32(hash_hex(seed, "mus", stratum, i)) - 1
-    return low + 1 + exact_div(wide_product(width, draw), F.lit(UINT32))
+    offset = F.floor(draw / F.lit(float(UINT32)) * width)
+    return interval_start(i) + 1 + F.least(offset, width - 1)
 
 
-def interval_of(unit: Column, total: Column, n: Column) -> Column:
-    """Index of the interval that contains a unit."""
-    return exact_div(wide_product(unit, n) - 1, total)
+def interval_of(unit: Column) -> Column:
+    """Index of the interval that contains a unit; 64-bit throughout."""
+    wide_units = F.col("__rem") * (F.col("__w") + 1)
+    in_wide = F.call_function("div", unit - 1, F.col("__w") + 1)
+    in_narrow = F.col("__rem") + F.call_function("div", unit - 1 - wide_units, F.nullif(F.col("__w"), F.lit(0)))
+    return F.when(unit <= wide_units, in_wide).otherwise(in_narrow)
 
 
 def keep_hits(rows: DataFrame, low: Column, high: Column, seed: int, stratum: Column) -> DataFrame:
-    """Rows whose units (low, high] include a drawn unit; needs ``__total`` and ``__n`` of the stratum."""
-    total, n = F.col("__total"), F.col("__n")
+    """Rows whose units (low, high] include a drawn unit; needs ``__w`` and ``__rem`` of the stratum."""
     spans = (
         rows.where(high > low)
         .withColumn("__low", low)
         .withColumn("__high", high)
-        .withColumn("__first", interval_of(F.col("__low") + 1, total, n))
-        .withColumn("__last", interval_of(F.col("__high"), total, n))
-        .withColumn("__p", drawn_unit(F.col("__first"), total, n, seed, stratum))
-        .withColumn("__q", drawn_unit(F.col("__last"), total, n, seed, stratum))
+        .withColumn("__first", interval_of(F.col("__low") + 1))
+        .withColumn("__last", interval_of(F.col("__high")))
+        .withColumn("__p", drawn_unit(F.col("__first"), seed, stratum))
+        .withColumn("__q", drawn_unit(F.col("__last"), seed, stratum))
     )
-    inside = "(__last - __first >= 2) OR (__p > __low AND __p <= __high) OR (__q > __low AND __q <= __high)"
+    # An interval met only at one end is hit from that end; one in between is covered whole.
+    several = "__last > __first AND (__last - __first >= 2 OR __p > __low OR __q <= __high)"
+    inside = f"({several}) OR (__last = __first AND __p > __low AND __p <= __high)"
     return spans.where(inside).drop("__low", "__high", "__first", "__last", "__p", "__q")
 
 
@@ -140,11 +143,18 @@ def mus_picked(
         plan = wanted.join(sizes.select(*groups, "__total"), groups).withColumnRenamed("allocated", "__n")
     else:
         plan = sizes.withColumn("__n", F.lit(sample_size).cast("long"))
-    plan = bounded(plan.where("__n > 0").withColumn("__buckets", hash_buckets(F.col("stratum_size"))))[0]
+    width = F.call_function("div", F.col("__total"), F.col("__n"))
+    plan = (
+        plan.where("__n > 0")
+        .withColumn("__buckets", hash_buckets(F.col("stratum_size")))
+        .withColumn("__w", width)
+        .withColumn("__rem", F.col("__total") % F.col("__n"))
+    )
+    plan = bounded(plan)[0]
 
     whole = plan.where("stratum_size <= __n").select(*groups)
     worthless = plan.where("stratum_size > __n AND __total = 0")
-    valued = plan.where("stratum_size > __n AND __total > 0").select(*groups, "__n", "__total")
+    valued = plan.where("stratum_size > __n AND __total > 0").select(*groups, "__n", "__w", "__rem")
 
     picked = rows.join(whole, groups, "left_semi").select(*key)
 

@@ -123,9 +123,9 @@ def method_slug(name: str) -> str:
 def write_results(flagged: DataFrame, base: str, method: str, format: str = "parquet") -> tuple[str, str]:
     """Write ``<base>_<method>_population`` and ``<base>_<method>_sample``; returns both paths."""
     population, sample = (f"{base}_{method_slug(method)}_{part}" for part in ("population", "sample"))
-    for df, path in ((flagged, population), (flagged.where("is_sample = 1"), sample)):
-        writer = df.write.mode("errorifexists")
-        if format == "csv":
-            writer = writer.option("header", "true")
-        writer.format(format).save(path)
+    options = {"header": "true"} if format == "csv" else {}
+    flagged.write.mode("errorifexists").options(**options).format(format).save(population)
+    # The sample is filtered from what was written, so the selection is computed once.
+    written = flagged.sparkSession.read.schema(flagged.schema).options(**options).format(format).load(population)
+    written.where("is_sample = 1").write.mode("errorifexists").options(**options).format(format).save(sample)
     return population, sample
