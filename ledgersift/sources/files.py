@@ -23,7 +23,7 @@ DELIMITERS = [",", ";", "\t", "|"]
 
 SNIFF_BYTES = 65_536
 JAVA_CHARSETS = {"utf-8": "UTF-8", "cp1251": "windows-1251", "cp1252": "windows-1252", "latin1": "ISO-8859-1"}
-DIALECT_SCHEMA = "path string, encoding string, sep string, n_cols int"
+DIALECT_SCHEMA = "path string, encoding string, sep string, n_cols int, has_rows boolean"
 
 
 def dialect_of(head: bytes, complete: bool) -> tuple[str, str, int] | None:
@@ -55,8 +55,8 @@ def _sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 head = f.read(SNIFF_BYTES)
                 complete = not f.read(1)
             found = dialect_of(head, complete)
-            rows.append((path, *(found or (None, None, 0))))
-        yield pd.DataFrame(rows, columns=["path", "encoding", "sep", "n_cols"])
+            rows.append((path, *(found or (None, None, 0)), len(head.splitlines()) > 1))
+        yield pd.DataFrame(rows, columns=["path", "encoding", "sep", "n_cols", "has_rows"])
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -66,7 +66,7 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sniff_csv_dialects(paths: DataFrame) -> DataFrame:
-    """``path, encoding, sep, n_cols`` per file from its first 64 KB, one task per slice of paths."""
+    """``path, encoding, sep, n_cols, has_rows`` per file from its first 64 KB, one task per slice of paths."""
     return paths.select("path").mapInPandas(_sniff, DIALECT_SCHEMA)
 
 
@@ -83,8 +83,9 @@ def read_csv_files(
 
 def scan_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """CSV of any supported dialect. Files of one dialect are read together, dialects are united by name."""
-    dialects = sniff_csv_dialects(list_files(spark, path)).where("path NOT LIKE '%/\\_%' AND path NOT LIKE '%/.%'")
-    groups = dialects.groupBy("encoding", "sep").agg(F.collect_list("path").alias("paths")).collect()
+    # Hidden files are not data, and a file that is only a header adds no rows.
+    dialects = sniff_csv_dialects(list_files(spark, path).where("path NOT LIKE '%/\\_%' AND path NOT LIKE '%/.%'"))
+    groups = dialects.where("has_rows").groupBy("encoding", "sep").agg(F.collect_list("path").alias("paths")).collect()
     bad = [g for g in groups if g["encoding"] is None]
     if bad or not groups:
         raise SourceError(f"no encoding and delimiter fits {bad[0]['paths'][:3] if bad else path}")
