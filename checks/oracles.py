@@ -144,7 +144,9 @@ VECTOR_DISTANCE = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (x.v[i]
 VECTORS = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
 
 SILHOUETTE = f"""
-    WITH e AS ({VECTORS}),
+    WITH size AS (SELECT count(*) AS c FROM embeddings),
+    e AS (SELECT vec_id, label, v FROM (SELECT *, row_number() OVER (ORDER BY {h(42, 'silhouette0', 'vec_id')}, vec_id) AS rn FROM ({VECTORS})), size
+          WHERE rn <= CASE WHEN c < 1000 THEN c WHEN c < 100000 THEN least(greatest(c // 10, 1000), 5000) ELSE 5000 END),
     m AS (SELECT x.vec_id, x.label AS mine, y.label AS other, sum({VECTOR_DISTANCE}) AS s, count(*) AS c
           FROM e x JOIN e y ON true GROUP BY ALL),
     ab AS (SELECT vec_id, any_value(mine) AS mine,
@@ -154,7 +156,7 @@ SILHOUETTE = f"""
     SELECT vec_id, round(CASE WHEN size > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END, 6) AS silhouette
     FROM ab"""
 
-SILHOUETTE_SQUARED = SILHOUETTE.replace("sum(sqrt(", "sum((", 1).replace(", 6) AS silhouette", ", 12) AS silhouette")
+SILHOUETTE_SQUARED = SILHOUETTE.replace("sum(sqrt(", "sum((", 1).replace("WHERE rn <= CASE", "WHERE true OR rn <= CASE").replace(", 6) AS silhouette", ", 12) AS silhouette")
 
 CALINSKI = """
     WITH e AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings),
@@ -165,6 +167,14 @@ CALINSKI = """
     SELECT CAST(k AS BIGINT) AS clusters, (SELECT count(*) FROM embeddings) AS "rows",
            round((between_ss / (k - 1)) / (within_ss / ((SELECT count(*) FROM embeddings) - k)), 6) AS calinski_harabasz FROM t"""
 
+# Two principal axes in closed form; the largest entry of an axis is positive.
+PRINCIPAL = f"""
+    (SELECT p_partkey, x - mx AS cx, y - my AS cy,
+            CASE WHEN abs(cos(a)) >= abs(sin(a)) THEN sign(cos(a)) ELSE sign(sin(a)) END AS s1,
+            CASE WHEN abs(sin(a)) > abs(cos(a)) THEN sign(-sin(a)) ELSE sign(cos(a)) END AS s2, cos(a) AS c, sin(a) AS s
+     FROM ({PART_POINTS}), (SELECT avg(x) AS mx, avg(y) AS my,
+            0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS a FROM ({PART_POINTS})))"""
+
 TRIALS = "SELECT event_id AS trial, hour(ts)::DOUBLE AS hour, (user_id % 10)::DOUBLE AS \"user\", value FROM events"
 LONG = f"""(SELECT trial, 'hour' AS param, hour AS setting, value FROM ({TRIALS})
     UNION ALL SELECT trial, 'user', "user", value FROM ({TRIALS}))"""
@@ -289,6 +299,10 @@ ORACLES: dict[str, str] = {
     "silhouette_vectors": SILHOUETTE,
     "silhouette_squared_vectors": f"SELECT round(avg(silhouette), 6) AS silhouette FROM ({SILHOUETTE_SQUARED})",
     "sniff_csv_dialect": "SELECT kind, 'utf-8' AS encoding, sep, 5 AS n_cols, 4::BIGINT AS files FROM (VALUES ('comma', ','), ('semicolon', ';'), ('tab', chr(9)), ('pipe', '|')) AS t(kind, sep)",
+    "pca_reconstruction_parts": f"""SELECT p_partkey, round(e, 6) AS anomaly_score,
+        CAST(row_number() OVER (ORDER BY e DESC, p_partkey) <= 50 AS INTEGER) AS is_sample
+        FROM (SELECT p_partkey, (cy * c - cx * s) ** 2 / 2 AS e FROM {PRINCIPAL})""",
+    "projection_2d_parts": f"SELECT p_partkey, round((cx * c + cy * s) * s1, 6) AS x, round((cy * c - cx * s) * s2, 6) AS y FROM {PRINCIPAL}",
     "silhouette_sizes_tables": " UNION ALL ".join(
         f"SELECT '{t}' AS name, CASE WHEN c < 1000 THEN 1 ELSE 3 END AS parts, CAST(CASE WHEN c < 1000 THEN c WHEN c < 100000 THEN least(greatest(c // 10, 1000), 5000) ELSE 5000 END AS INTEGER) AS size FROM (SELECT count(*) AS c FROM {t})"
         for t in ("supplier", "customer", "part", "orders", "lineitem")

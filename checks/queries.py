@@ -23,7 +23,7 @@ from ledgersift.operators.monetary import mus_picked, mus_sample, threshold_filt
 from ledgersift.operators.neighbours import distinct_points, knn_join
 from ledgersift.operators.order_statistics import top_n_by_score
 from ledgersift.operators.outlier_factor import lof_sample
-from ledgersift.operators.quality import silhouette_rows, silhouette_sizes, silhouette_squared
+from ledgersift.operators.quality import silhouette_rows, silhouette_sizes, silhouette_squared, subsample
 from ledgersift.operators.random_sampling import (
     fraction_subsample, mark_sample, random_sample, systematic_sample,
 )
@@ -579,7 +579,11 @@ def calinski_harabasz_vectors(spark, sf):
 
 @query
 def silhouette_vectors(spark, sf):
-    scores = silhouette_rows(vectors(spark, sf), "features", "label", ["vec_id"])
+    """Silhouette values of the first subsample (every row below 1,000 rows)."""
+    rows = vectors(spark, sf)
+    count = rows.count()
+    part = subsample(rows, silhouette_sizes(count)[0], ["vec_id"], 42, 0, count)
+    scores = silhouette_rows(part, "features", "label", ["vec_id"])
     return scores.select("vec_id", r6(F.col("silhouette")).alias("silhouette"))
 
 
@@ -626,6 +630,19 @@ def pca_reconstruction_sample_orders(spark, sf):
     return flagged.select("o_orderkey", "anomaly_score", "is_sample")
 
 
+@query
+def pca_reconstruction_parts(spark, sf):
+    """One component of two: the distance to the main axis."""
+    flagged = pca_reconstruction_sample(part_points(spark, sf), "features", 50, ["p_partkey"], 1)
+    return flagged.select("p_partkey", r6(F.col("anomaly_score")).alias("anomaly_score"), "is_sample")
+
+
+@query
+def projection_2d_parts(spark, sf):
+    placed = projection_2d(part_points(spark, sf), "features", ["p_partkey"])
+    return placed.select("p_partkey", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+
+
 @query
 def density_clusters_parts(spark, sf):
     found = density_clusters(part_points(spark, sf), "features", "p_partkey", DensitySettings(10, 5))

@@ -71,7 +71,18 @@ def settled(df: DataFrame, name: str, max_rows: int) -> DataFrame:
     return stored(df, name)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Enough partitions to keep every core busy in a compute-heavy step; a no-op on large inputs."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+# Up to this many rows a shuffle is cheap next to per-row model arithmetic.
+SPREAD_ROWS = 10_000_000
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Give a small input, often one file split, to every core; larger inputs keep their splits."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if rows <= SPREAD_ROWS else df
+
+
+def attach(df: DataFrame, table: DataFrame, on: str, max_rows: int = 50_000) -> DataFrame:
+    """Join per-point results to rows; a checked small table is broadcast, so one point held by most rows costs no skew.
+
+    Larger tables meet the rows in a shuffle, where adaptive execution splits an oversized partition.
+    """
+    return df.join(bounded(table, max_rows)[0], on)

@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,12 +107,12 @@ def _train(batches, flat: np.ndarray, dims: int, seed: int, output: str):
 
 def fit_autoencoder(
     df: DataFrame, vector: str, key: Sequence[str], seed: int, epochs: int = EPOCHS,
-    output: str = "sigmoid", workers: int | None = None,
+    output: str = "sigmoid", workers: int | None = None, rows: int | None = None,
 ) -> np.ndarray:
     """Flat weights after ``epochs`` rounds. Rows are placed by key hash and sorted, so a seed repeats a run."""
     require_columns(df, vector, *key)
     spark = df.sparkSession
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     if not rows:
         raise SampleSizeError("no rows to train on")
     if workers is None:
@@ -168,35 +168,57 @@ def autoencoder_sample(
     """Add ``anomaly_score`` and ``is_sample`` for the n largest reconstruction errors."""
     require_size(sample_size)
     seed = seed_draw() if seed is None else seed
-    weights = fit_autoencoder(df, vector, key, seed, epochs, output, workers)
-    scored = spread(df).withColumn("anomaly_score", reconstruction_error(df, vector, weights, output))
+    rows = df.count()
+    if sample_size > rows:
+        raise SampleSizeError(f"sample size {sample_size} exceeds population size {rows}")
+    weights = fit_autoencoder(df, vector, key, seed, epochs, output, workers, rows)
+    scored = spread(df, rows).withColumn("anomaly_score", reconstruction_error(df, vector, weights, output))
     scored = stored(scored, "autoencoder-scores")
     return top_n_by_score(scored, "anomaly_score", sample_size, key, True)
 
 
+def principal_axes(df: DataFrame, vector: str, components: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and leading axes (columns); the largest entry of an axis is positive, which fixes its sign."""
+    dims = len(df.select(vector).first()[0])
+    fitted = df.select(array_to_vector(F.col(vector)).alias("__x"))
+    axes = PCA(k=min(components, dims), inputCol="__x", outputCol="__z").fit(fitted).pc.toArray()
+    largest = axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])]
+    mean = df.agg(*[F.avg(F.get(vector, i)) for i in range(dims)]).first()
+    return np.array(mean, dtype=float), axes * np.sign(largest)
+
+
+def coordinate(vector: str, origin: Sequence[float], axis: Sequence[float]) -> Column:
+    """Position of a centred row along an axis."""
+    terms = [(F.get(vector, i) - F.lit(float(o))) * F.lit(float(a)) for i, (o, a) in enumerate(zip(origin, axis))]
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return total
+
+
 def pca_reconstruction_sample(
     df: DataFrame, vector: str, sample_size: int, key: Sequence[str], components: int = BOTTLENECK
 ) -> DataFrame:
-    """Linear counterpart: squared distance of a row to the span of the leading components."""
+    """Linear counterpart: mean squared distance of a row to the span of the leading components."""
     require_size(sample_size)
-    rows = df.withColumn("__x", array_to_vector(F.col(vector)))
-    dims = len(rows.select(vector).first()[0])
-    model = PCA(k=min(components, dims), inputCol="__x", outputCol="__z").fit(rows.select("__x"))
-    mean = rows.agg(*[F.avg(F.get(vector, i)) for i in range(dims)]).first()
-    basis = model.pc.toArray()
-    centred = [F.get(vector, i) - F.lit(float(m)) for i, m in enumerate(mean)]
-    total = sum((c * c for c in centred[1:]), centred[0] * centred[0])
-    shift = [float(np.dot(np.array(mean, dtype=float), basis[:, j])) for j in range(basis.shape[1])]
-    projected = model.transform(rows).withColumn("__z", vector_to_array("__z"))
-    for j, s in enumerate(shift):
-        total = total - F.pow(F.get("__z", j) - F.lit(s), 2)
-    scored = projected.withColumn("anomaly_score", F.round(F.greatest(total, F.lit(0.0)) / dims, 9)).drop("__x", "__z")
+    mean, axes = principal_axes(df, vector, components)
+    placed = df
+    for j in range(axes.shape[1]):
+        placed = placed.withColumn(f"__z{j}", coordinate(vector, mean, axes[:, j]))
+    error = F.lit(0.0)
+    for i, m in enumerate(mean):
+        rebuilt = F.lit(float(m))
+        for j in range(axes.shape[1]):
+            rebuilt = rebuilt + F.col(f"__z{j}") * F.lit(float(axes[i, j]))
+        error = error + F.pow(F.get(vector, i) - rebuilt, 2)
+    scored = placed.withColumn("anomaly_score", error / F.lit(float(len(mean))))
+    scored = stored(scored.drop(*[f"__z{j}" for j in range(axes.shape[1])]), "pca-scores")
     return top_n_by_score(scored, "anomaly_score", sample_size, key, True)
 
 
 def projection_2d(df: DataFrame, vector: str, keep: Sequence[str]) -> DataFrame:
     """``keep`` columns with two principal coordinates ``x, y`` (a linear projection)."""
-    rows = df.withColumn("__x", array_to_vector(F.col(vector)))
-    model = PCA(k=2, inputCol="__x", outputCol="__z").fit(rows.select("__x"))
-    placed = model.transform(rows).withColumn("__z", vector_to_array("__z"))
-    return placed.select(*keep, F.get("__z", 0).alias("x"), F.get("__z", 1).alias("y"))
+    mean, axes = principal_axes(df, vector, 2)
+    return df.select(
+        *keep, coordinate(vector, mean, axes[:, 0]).alias("x"), coordinate(vector, mean, axes[:, 1]).alias("y")
+    )

@@ -123,6 +123,7 @@ def calinski_harabasz(df: DataFrame, vector: str, cluster: str, dims: int) -> Da
 
 @dataclass(frozen=True)
 class KMeansChoice:
+    rows: int
     clusters: int
     centres: list[list[float]]
     trials: DataFrame
@@ -183,13 +184,13 @@ def tune_kmeans(
     scores = dict(tasks.mapInPandas(attempt, "trial int, value double").collect())
     ranked = [(scores[t], -k, -t) for t, k, _ in grid if scores[t] is not None and np.isfinite(scores[t])]
     best = grid[-max(ranked)[2]] if ranked else grid[0]
-    points = spread(df.select(array_to_vector(F.col(vector)).alias("__v")))
+    points = spread(df.select(array_to_vector(F.col(vector)).alias("__v")), rows)
     model = KMeans(k=best[1], seed=best[2], maxIter=FULL_ITERATIONS, featuresCol="__v").fit(points)
     trials = trial_table(
         spark, [(t, {"n_clusters": float(k), "start": float(start)}, scores[t]) for t, k, start in grid]
     )
     centres = [[float(v) for v in c] for c in model.clusterCenters()]
-    return KMeansChoice(len(centres), centres, trials)
+    return KMeansChoice(rows, len(centres), centres, trials)
 
 
 def kmeans_sample(
@@ -199,7 +200,7 @@ def kmeans_sample(
     """(flagged population, trials): rows farthest from their centre relative to the cluster's spread."""
     require_size(sample_size)
     choice = tune_kmeans(df, vector, key, seed_draw() if seed is None else seed, **tuning)
-    placed = stored(nearest_centroid(spread(df), vector, choice.centres), "clusters")
+    placed = stored(nearest_centroid(spread(df, choice.rows), vector, choice.centres), "clusters")
     flagged = quota_sample(
         relative_distance(placed), sample_size, key, anomalies_per_cluster, choice.clusters
     )

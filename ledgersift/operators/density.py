@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import require_rows, require_size, stored
+from ..cluster import attach, require_rows, require_size, stored
 from ..errors import NoAnomaliesError, RowLimitError, SampleSizeError
 from ..functions import seed_draw
 from .neighbours import BROADCAST_POINTS, distinct_points, knn_join
 from .order_statistics import smallest_hashes
-from .quality import silhouette_sizes, silhouette_values
+from .quality import silhouette_sizes, silhouette_values, subsample
 from .random_sampling import mark_sample
 from .ranking import global_rank
 from .summaries import trial_table
@@ -291,7 +291,7 @@ def density_clusters(df: DataFrame, vector: str, key: str, settings: DensitySett
     points = stored(distinct_points(df, vector, key), "points")
     labels = density_labels(points, settings, **limits)
     labels = stored(points.join(labels, "pid").select(F.col("v").alias(vector), "cluster"), "labels")
-    return df.join(labels, vector).withColumn("is_anomaly", (F.col("cluster") == -1).cast("int"))
+    return attach(df, labels, vector).withColumn("is_anomaly", (F.col("cluster") == -1).cast("int"))
 
 
 def noise_sample(labelled: DataFrame, sample_size: int, key: Sequence[str], seed: int) -> tuple[DataFrame, str]:
@@ -349,9 +349,7 @@ def tune_density(
         raise SampleSizeError("too few rows to tune")
     subsamples = []
     for i, size in enumerate(silhouette_sizes(rows)):
-        part = df.select(vector, *key)
-        if size < rows:
-            part = smallest_hashes(part, size, key, seed, f"silhouette{i}", rows).where("is_sample = 1")
+        part = subsample(df.select(vector, *key), size, key, seed, i, rows)
         subsamples.append(matrix(part.orderBy(*key).select(vector).toArrow()[vector]))
     held = spark.sparkContext.broadcast(subsamples)
     grid = trial_settings(trials, seed)

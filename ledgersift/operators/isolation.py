@@ -53,11 +53,13 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator) -> list[tuple[int, int
     return nodes
 
 
-def fit_forest(df: DataFrame, vector: str, key: Sequence[str], seed: int, trees: int = TREES) -> DataFrame:
+def fit_forest(
+    df: DataFrame, vector: str, key: Sequence[str], seed: int, trees: int = TREES, rows: int | None = None
+) -> DataFrame:
     """Trees as a table ``tree, node, feature, threshold, path``; one task per slice of trees."""
     require_columns(df, vector, *key)
     spark = df.sparkSession
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     if not rows:
         raise SampleSizeError("no rows to fit")
     narrow = df.select(vector, *key)
@@ -129,7 +131,7 @@ def isolation_forest_sample(
     rows = df.count()
     if sample_size > rows:
         raise SampleSizeError(f"sample size {sample_size} exceeds population size {rows}")
-    forest = fit_forest(df, vector, key, seed, trees)
-    scored = spread(df).withColumn("anomaly_score", forest_score(forest, rows, vector))
+    forest = fit_forest(df, vector, key, seed, trees, rows)
+    scored = spread(df, rows).withColumn("anomaly_score", forest_score(forest, rows, vector))
     scored = stored(scored, "forest-scores").withColumn("is_anomaly", (F.col("anomaly_score") < 0).cast("int"))
     return top_n_by_score(scored, "anomaly_score", sample_size, key)

@@ -91,7 +91,10 @@ def _broadcast_pairs(points: DataFrame, k: int) -> DataFrame:
 def _placed(points: DataFrame, k: int, count: int, block_rows: int) -> tuple[DataFrame, np.ndarray, DataFrame]:
     """Points with their block, the pivots, and the block directory."""
     pivots = min(MAX_PIVOTS, max(k + 2, count // block_rows))
-    drawn = points.orderBy(F.xxhash64("pid"), "pid").limit(pivots).select("v").toArrow()
+    # Thinned by hash before the top-k, so no task or merge sees more than a few times the pivots.
+    share = min(1.0, (4 * pivots + 100) / count)
+    drawn = points.where(F.pmod(F.xxhash64("pid"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    drawn = drawn.orderBy(F.xxhash64("pid"), "pid").limit(pivots).select("v").toArrow()
     centres = matrix(drawn["v"])
     held = points.sparkSession.sparkContext.broadcast(centres)
 

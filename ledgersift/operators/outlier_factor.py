@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import require_rows, require_size, stored
+from ..cluster import attach, require_rows, require_size, stored
 from ..errors import SampleSizeError
 from .neighbours import distinct_points, knn_join
 from .order_statistics import top_n_by_score
@@ -39,7 +39,7 @@ def lof_scores(df: DataFrame, vector: str, key: str, k: int = NEIGHBOURS, **knn)
         raise SampleSizeError("at least two rows are needed")
     scores = local_outlier_factor(points, rows, k, **knn)
     scores = points.join(scores, "pid").select(F.col("v").alias(vector), "anomaly_score")
-    return df.join(scores, vector)
+    return attach(df, stored(scores, "point-scores"), vector)
 
 
 def lof_sample(
@@ -52,6 +52,6 @@ def lof_sample(
     """
     require_size(sample_size)
     require_rows(df, max_rows)
-    scored = stored(lof_scores(df, vector, key, k, **knn), "lof")
+    scored = lof_scores(df, vector, key, k, **knn)
     scored = scored.withColumn("is_anomaly", (F.col("anomaly_score") > ANOMALY_FACTOR).cast("int"))
     return top_n_by_score(scored, "anomaly_score", sample_size, [key], pick != "lowest")

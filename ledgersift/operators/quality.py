@@ -11,10 +11,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import require_rows
 from .order_statistics import smallest_hashes
 from .vectors import matrix, slices, squared_distances
 
 
+# All pairs are compared, so the sample must stay small.
+MAX_ROWS = 20_000
+
+
 def silhouette_sizes(rows: int) -> list[int]:
     """Subsample sizes for a population of ``rows``."""
     if rows < 1_000:
@@ -47,6 +52,7 @@ def silhouette_values(x: np.ndarray, points: np.ndarray, own: np.ndarray, codes:
 
 def silhouette_rows(sample: DataFrame, vector: str, label: str, key: Sequence[str]) -> DataFrame:
     """``key..., silhouette`` of every row of a bounded sample; noise counts as a cluster."""
+    require_rows(sample, MAX_ROWS)
     table = sample.select(vector, label, *key).orderBy(*key).toArrow()
     spark = sample.sparkSession
     held = spark.sparkContext.broadcast(table)
@@ -65,6 +71,13 @@ def silhouette_rows(sample: DataFrame, vector: str, label: str, key: Sequence[st
     return spark.range(0, table.num_rows, 1, parts).mapInArrow(measure, schema)
 
 
+def subsample(df: DataFrame, size: int, key: Sequence[str], seed: int, number: int, rows: int) -> DataFrame:
+    """Uniform subsample ``number`` of the given size."""
+    if size >= rows:
+        return df
+    return smallest_hashes(df, size, key, seed, f"silhouette{number}", rows).where("is_sample = 1").drop("is_sample")
+
+
 def silhouette(
     df: DataFrame, vector: str, key: Sequence[str], seed: int, label: str = "cluster",
     fit: Callable[[DataFrame], DataFrame] | None = None,
@@ -76,9 +89,7 @@ def silhouette(
     rows = df.count()
     scores = []
     for i, size in enumerate(silhouette_sizes(rows)):
-        part = df
-        if size < rows:
-            part = smallest_hashes(df, size, key, seed, f"silhouette{i}", rows).where("is_sample = 1").drop("is_sample")
+        part = subsample(df, size, key, seed, i, rows)
         if fit is not None:
             part = fit(part)
         if part.where(F.col(label) != -1).select(label).distinct().limit(2).count() < 2:
