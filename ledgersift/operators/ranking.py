@@ -8,8 +8,10 @@ total; windows then run inside buckets only.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 from ..cluster import bounded, require_columns
 from ..errors import ColumnError
 
-MAX_BUCKETS = 8_192
+MAX_BUCKETS = 16_384
 ROWS_PER_BUCKET = 500_000
 MIN_BUCKETS = 8
 OVERSAMPLE = 30
@@ -38,6 +40,10 @@ def _comparable(df: DataFrame, name: str) -> Column:
     raise ColumnError(f"cannot order by column {name} of type {kind.simpleString()}")
 
 
+def _json(value) -> str:
+    return format(value, "f") if isinstance(value, Decimal) else json.dumps(value)
+
+
 @dataclass(frozen=True)
 class RangeBuckets:
     """Cuts of the order tuple, held as literals: a row's bucket is a pure expression."""
@@ -68,11 +74,11 @@ class RangeBuckets:
         """Number of cuts below the row: a binary search over a literal array."""
         if not self.cuts:
             return F.lit(0)
-        row = F.struct(*[_comparable(df, c).alias(c) for c in self.order_by])
-        cuts = F.array(*[
-            F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(cut, self.types, self.order_by)])
-            for cut in self.cuts
-        ])
+        row = F.struct(*[_comparable(df, c).alias(f"f{i}") for i, c in enumerate(self.order_by)])
+        # One JSON literal, folded by the optimizer into an array; thousands of separate literals plan slowly.
+        lines = (",".join(f'"f{i}":{_json(v)}' for i, v in enumerate(cut)) for cut in self.cuts)
+        fields = ",".join(f"f{i}: {t.simpleString()}" for i, t in enumerate(self.types))
+        cuts = F.from_json(F.lit("[" + ",".join("{" + line + "}" for line in lines) + "]"), f"array<struct<{fields}>>")
         power = 1 << (len(self.cuts).bit_length() - 1)
         steps = []
         while power:

@@ -234,3 +234,14 @@ def test_silhouette_of_a_refit(spark):
     fit = lambda part: part.withColumn("cluster", (F.get("features", 0) > 3).cast("int"))
     assert silhouette(df, "features", ["id"], 1, fit=fit) > 0.3
     assert silhouette(df.withColumn("cluster", F.lit(0)), "features", ["id"], 1) == float("-inf")
+
+
+@pytest.mark.parametrize("kind", [
+    "CAST(id % 7 AS DECIMAL(20,3)) / 3", "CASE WHEN id % 5 = 0 THEN double('NaN') WHEN id % 5 = 1 THEN double('Infinity') ELSE id / 9.0D END",
+    "id % 2 = 0", "CONCAT('ключ\"\\\\', id % 11)", "DATE_ADD(DATE '2020-02-27', CAST(id % 9 AS INT))",
+    "TIMESTAMP_MICROS(id % 50 * 1000001)", "CAST(TIMESTAMP_MICROS(id % 50 * 1000001) AS TIMESTAMP_NTZ)", "(id % 13) * 1000000000000000 + 9007199254740993",
+])
+def test_rank_by_every_type(spark, kind):
+    df = spark.range(700).withColumn("k", F.expr(kind))
+    got = {r["id"]: r["position"] for r in global_rank(df, ["k"], ["id"]).collect()}
+    assert got == {r["id"]: i for i, r in enumerate(df.orderBy("k", "id").select("id").collect())}
