@@ -102,9 +102,11 @@ def quota_sample(
 
 def calinski_harabasz(df: DataFrame, vector: str, cluster: str, dims: int) -> DataFrame:
     """[B / (k - 1)] / [W / (N - k)] from per-cluster sums and sums of squares: one pass over the rows."""
+    # Moving the origin into the data keeps the sums of squares from cancelling.
+    origin = df.select(vector).first()[0]
     parts = []
     for i in range(dims):
-        x = F.get(F.col(vector), i).cast("double")
+        x = F.get(F.col(vector), i).cast("double") - F.lit(float(origin[i]))
         parts += [F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}")]
     per_cluster = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *parts)
     squares = sum((F.col(f"q{i}") for i in range(1, dims)), F.col("q0"))

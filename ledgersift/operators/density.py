@@ -25,7 +25,6 @@ from ..functions import seed_draw
 from .neighbours import BROADCAST_POINTS, distinct_points, knn_join
 from .order_statistics import smallest_hashes
 from .quality import silhouette_sizes, silhouette_values, subsample
-from .random_sampling import mark_sample
 from .ranking import global_rank
 from .summaries import trial_table
 from .vectors import matrix, slices, squared_distances
@@ -303,8 +302,7 @@ def noise_sample(labelled: DataFrame, sample_size: int, key: Sequence[str], seed
     if noise <= sample_size:
         text = f"only {noise} anomalies found, sample size {sample_size}" if noise < sample_size else ""
         return labelled.withColumn("is_sample", F.col("is_anomaly")), text
-    chosen = smallest_hashes(labelled.where("is_anomaly = 1"), sample_size, key, seed, "noise", noise)
-    return mark_sample(labelled, chosen.where("is_sample = 1"), key, sample_size), ""
+    return smallest_hashes(labelled, sample_size, key, seed, "noise", noise, F.col("is_anomaly") == 1), ""
 
 
 def dense_tree(x: np.ndarray, cores: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:

@@ -100,20 +100,28 @@ def top_n_by_score(
 
 
 def smallest_hashes(
-    df: DataFrame, n: int, key: Sequence[str], seed: int, tag: str = "srs", rows: int | None = None
+    df: DataFrame, n: int, key: Sequence[str], seed: int, tag: str = "srs", rows: int | None = None,
+    among: Column | None = None,
 ) -> DataFrame:
-    """Flag exactly n rows chosen uniformly: those with the smallest key hashes."""
+    """Flag exactly n rows chosen uniformly: those with the smallest key hashes.
+
+    ``among`` restricts the choice to rows that meet a condition; ``rows`` is their number.
+    """
     require_size(n)
     require_columns(df, *key)
-    rows = df.count() if rows is None else rows
+    pool = df if among is None else df.where(among)
+    rows = pool.count() if rows is None else rows
     if n > rows:
         raise SampleSizeError(f"sample size {n} exceeds population size {rows}")
     h = hash_hex(seed, tag, *key)
     order = [h.alias("__h"), *[F.col(k) for k in key]]
-    cuts = _pruned_cut(df, n, rows, h, order)
+    cuts = _pruned_cut(pool, n, rows, h, order)
     if cuts is None:
-        cuts = kth_cut(df, [], F.lit(n).cast("long"), hash_bucket(h, hash_buckets(F.lit(rows))), order)
-    return flag_up_to_cut(df, [], cuts, order)
+        cuts = kth_cut(pool, [], F.lit(n).cast("long"), hash_bucket(h, hash_buckets(F.lit(rows))), order)
+    flagged = flag_up_to_cut(df, [], cuts, order)
+    if among is None:
+        return flagged
+    return flagged.withColumn("is_sample", F.when(among, F.col("is_sample")).otherwise(0))
 
 
 def _pruned_cut(df: DataFrame, n: int, rows: int, h: Column, order: Sequence[Column]) -> DataFrame | None:

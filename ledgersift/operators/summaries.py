@@ -114,7 +114,7 @@ def param_effect(long: DataFrame, bins: int = 10) -> DataFrame:
     )
     place = F.coalesce(F.try_divide((F.col("setting") - F.col("low")) * bins, F.col("high") - F.col("low")), F.lit(0.0))
     slot = F.least(F.floor(place), F.lit(bins - 1))
-    binned = long.join(F.broadcast(spans), "param").groupBy("param", "mean", "variance", "n", slot.alias("slot"))
+    binned = long.join(bounded(spans)[0], "param").groupBy("param", "mean", "variance", "n", slot.alias("slot"))
     means = binned.agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("c"))
     between = F.sum(F.col("c") * F.pow(F.col("m") - F.col("mean"), 2)) / F.first("n")
     effect = F.coalesce(F.try_divide(between, F.first("variance")), F.lit(0.0))

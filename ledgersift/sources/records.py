@@ -38,7 +38,13 @@ def _first(files: DataFrame, path: str) -> bytes:
 # dBASE: type letter -> Spark type. Memo text lives in a side file and reads as null.
 DBF_TYPES = {
     "C": T.StringType(), "N": T.DoubleType(), "F": T.DoubleType(), "L": T.BooleanType(),
-    "D": T.DateType(), "I": T.IntegerType(), "M": T.StringType(),
+    "D": T.DateType(), "I": T.IntegerType(), "M": T.StringType(), "T": T.TimestampNTZType(), "Y": T.DoubleType(),
+}
+JULIAN_1970 = 2_440_588
+# Language byte of the header -> code page.
+CODE_PAGES = {
+    0x01: "cp437", 0x02: "cp850", 0x03: "cp1252", 0x26: "cp866", 0x57: "cp1252", 0x58: "cp1252", 0x64: "cp852",
+    0x65: "cp866", 0xC8: "cp1250", 0xC9: "cp1251", 0xCA: "cp1254", 0xCB: "cp1253",
 }
 
 
@@ -58,8 +64,14 @@ def dbf_type(kind: str, width: int, decimals: int) -> T.DataType:
     return DBF_TYPES.get(kind, T.StringType())
 
 
-def dbf_frame(content: bytes, encoding: str) -> pd.DataFrame:
+def padded(values: np.ndarray, width: int) -> bytes:
+    """The raw bytes of a binary field; numpy strips trailing zeros of single values, not of the array."""
+    return np.ascontiguousarray(values).astype(f"S{width}").tobytes()
+
+
+def dbf_frame(content: bytes, encoding: str | None = None) -> pd.DataFrame:
     """Live records of one file, decoded column by column from fixed-width bytes."""
+    encoding = encoding or CODE_PAGES.get(content[29], "cp1252")
     count, header, width = struct.unpack("<IHH", content[4:12])
     fields = dbf_fields(content)
     layout = np.dtype([("gone", "S1"), *[(f"f{i}", f"S{f[2]}") for i, f in enumerate(fields)]])
@@ -70,9 +82,10 @@ def dbf_frame(content: bytes, encoding: str) -> pd.DataFrame:
     out = {}
     for i, (name, kind, size, decimals) in enumerate(fields):
         raw = pd.Series(records[f"f{i}"])
-        text = raw.map(lambda b: b.decode(encoding).strip(" \0"))
+        if kind not in "ITYM":
+            text = raw.map(lambda b: b.decode(encoding).strip(" \0"))
         if kind == "I":
-            out[name] = pd.Series(np.frombuffer(np.ascontiguousarray(records[f"f{i}"]), "<i4")).astype("Int32")
+            out[name] = pd.Series(np.frombuffer(padded(records[f"f{i}"], 4), "<i4")).astype("Int32")
         elif kind in "NF":
             number = pd.to_numeric(text.replace("", None), errors="coerce")
             out[name] = number.astype("Int64" if dbf_type(kind, size, decimals) == T.LongType() else "float64")
@@ -80,6 +93,12 @@ def dbf_frame(content: bytes, encoding: str) -> pd.DataFrame:
             out[name] = text.map(lambda v: True if v in tuple("YyTt") else False if v in tuple("NnFf") else None)
         elif kind == "D":
             out[name] = pd.to_datetime(text, format="%Y%m%d", errors="coerce").dt.date
+        elif kind == "T":
+            days, ms = np.frombuffer(padded(records[f"f{i}"], 8), "<i4").reshape(-1, 2).T
+            when = pd.to_datetime((days.astype("i8") - JULIAN_1970) * 86_400_000 + ms, unit="ms")
+            out[name] = pd.Series(when).where(days > 0)
+        elif kind == "Y":
+            out[name] = pd.Series(np.frombuffer(padded(records[f"f{i}"], 8), "<i8") / 10_000)
         elif kind == "M":
             out[name] = pd.Series([None] * len(records), dtype=object)
         else:
@@ -87,7 +106,8 @@ def dbf_frame(content: bytes, encoding: str) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def scan_dbf(spark: SparkSession, path: str, encoding: str = "cp1252") -> DataFrame:
+def scan_dbf(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """Every DBF file below ``path``; text in the file's own code page unless one is given."""
     files = _files(spark, path, ".dbf")
     schema = T.StructType([T.StructField(n, dbf_type(k, w, d)) for n, k, w, d in dbf_fields(_first(files, path))])
 
@@ -109,7 +129,40 @@ def _column_index(reference: str) -> int:
     return index - 1
 
 
-def _cell(cell, shared: list[str]):
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+# Built-in number formats that show a date or time.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+EPOCH = pd.Timestamp("1899-12-30")
+
+
+def _first_sheet(book: zipfile.ZipFile) -> str:
+    """Part name of the first sheet in workbook order."""
+    names = book.namelist()
+    if "xl/workbook.xml" in names and "xl/_rels/workbook.xml.rels" in names:
+        first = next(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{SHEET}sheet"))
+        for link in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
+            if link.get("Id") == first.get(RELATION):
+                target = link.get("Target")
+                return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    sheets = [n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
+    return min(sheets, key=lambda n: int(re.search(r"\d+", n).group()))
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[str]:
+    """Cell style numbers that format a number as a date."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    custom = {
+        int(f.get("numFmtId")) for f in root.iter(f"{SHEET}numFmt")
+        if re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")), re.IGNORECASE)
+    }
+    cells = root.find(f"{SHEET}cellXfs")
+    formats = [int(x.get("numFmtId", 0)) for x in cells] if cells is not None else []
+    return {str(i) for i, f in enumerate(formats) if f in DATE_FORMATS or f in custom}
+
+
+def _cell(cell, shared: list[str], dates: set[str]):
     kind = cell.get("t")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in cell.iter(f"{SHEET}t"))
@@ -122,23 +175,25 @@ def _cell(cell, shared: list[str]):
         return value.text == "1"
     if kind in ("str", "e"):
         return value.text if kind == "str" else None
+    if kind is None and cell.get("s") in dates:
+        return EPOCH + pd.Timedelta(round(float(value.text) * 86_400_000), "ms")
     return float(value.text)
 
 
 def xlsx_frame(content: bytes) -> pd.DataFrame:
     """First sheet of a workbook; its first row names the columns."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = book.namelist()
         shared = []
-        if "xl/sharedStrings.xml" in names:
+        if "xl/sharedStrings.xml" in book.namelist():
             root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
             shared = ["".join(t.text or "" for t in item.iter(f"{SHEET}t")) for item in root.iter(f"{SHEET}si")]
-        sheets = [n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
-        sheet = min(sheets, key=lambda n: int(re.search(r"\d+", n).group()))
+        dates = _date_styles(book)
         rows = []
-        for row in ElementTree.fromstring(book.read(sheet)).iter(f"{SHEET}row"):
-            cells = {_column_index(c.get("r")): _cell(c, shared) for c in row.iter(f"{SHEET}c")}
+        for row in ElementTree.fromstring(book.read(_first_sheet(book))).iter(f"{SHEET}row"):
+            cells = {_column_index(c.get("r")): _cell(c, shared, dates) for c in row.iter(f"{SHEET}c")}
             rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
+    if not rows:
+        return pd.DataFrame()
     header = [str(h) for h in rows[0]]
     body = [(r + [None] * len(header))[: len(header)] for r in rows[1:]]
     return pd.DataFrame(body, columns=header, dtype=object)
@@ -150,6 +205,8 @@ def _xlsx_type(values: pd.Series) -> T.DataType:
         return T.BooleanType()
     if kinds == {float}:
         return T.DoubleType()
+    if kinds == {pd.Timestamp}:
+        return T.TimestampNTZType()
     return T.StringType()
 
 
@@ -172,6 +229,8 @@ def scan_xlsx(spark: SparkSession, path: str, schema: T.StructType | None = None
                 for field in schema.fields:
                     if isinstance(field.dataType, T.StringType):
                         frame[field.name] = frame[field.name].map(as_text)
+                    elif isinstance(field.dataType, T.TimestampNTZType):
+                        frame[field.name] = pd.to_datetime(frame[field.name], errors="coerce")
                     elif isinstance(field.dataType, T.DoubleType):
                         frame[field.name] = pd.to_numeric(frame[field.name], errors="coerce")
                 yield frame[schema.names]

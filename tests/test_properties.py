@@ -13,7 +13,7 @@ from ledgersift.operators.density import (
     DensitySettings, cluster_labels, core_distances, dense_tree, density_cluster_sample, density_clusters,
     spanning_forest, spanning_tree,
 )
-from ledgersift.operators.isolation import average_path, isolation_forest_sample
+from ledgersift.operators.isolation import average_path, fit_forest, forest_score, isolation_forest_sample
 from ledgersift.operators.monetary import mus_sample
 from ledgersift.operators.neighbours import distinct_points, knn_join
 from ledgersift.operators.outlier_factor import lof_sample
@@ -170,6 +170,23 @@ def test_forest_scores_are_centred_on_even_data(spark):
     assert float(average_path(256)) == pytest.approx(2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256)
 
 
+def test_forest_scores_match_a_plain_walk(spark):
+    df, x, _ = blobs(spark, per=120)
+    nodes = fit_forest(df, "features", ["id"], 5, trees=7).collect()
+    trees = {}
+    for r in nodes:
+        trees.setdefault(r["tree"], {})[r["node"]] = r
+    scored = df.withColumn("s", forest_score(fit_forest(df, "features", ["id"], 5, trees=7), len(x), "features"))
+    for r in scored.collect():
+        total = 0.0
+        for tree in trees.values():
+            at = 0
+            while tree[at]["feature"] >= 0:
+                at = 2 * at + (1 if r["features"][tree[at]["feature"]] <= tree[at]["threshold"] else 2)
+            total += tree[at]["path"]
+        assert r["s"] == pytest.approx(0.5 - 2 ** (-total / 7 / float(average_path(256))))
+
+
 def test_kmeans_finds_the_groups(spark):
     df, x, outliers = blobs(spark, outliers=0)
     flagged, trials = kmeans_sample(df, "features", 9, ["id"], 1)

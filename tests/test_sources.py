@@ -1,4 +1,8 @@
+import datetime
+import io
 import json
+import struct
+import zipfile
 
 import pytest
 
@@ -63,6 +67,52 @@ def test_record_files(spark, tmp_path, orders):
     assert sorted(tuple(r) for r in load(spark, f"{tmp_path}/x.xlsx").collect()) == wanted
 
 
+def test_dbf_binary_fields(spark, tmp_path):
+    fields = [("i", "I", 4), ("t", "T", 8), ("y", "Y", 8), ("l", "L", 1), ("d", "D", 8)]
+    rows = [
+        (256, (2_440_588 + 1, 3_600_000), 12_500, "T", "20240229"), (0, (0, 0), 0, "?", ""), (7, (2_440_588, 0), -10_000, "n", "19991231"),
+    ]
+    body = b"".join(
+        (b"*" if i == 7 else b" ") + struct.pack("<iiiq1s8s", i, *t, y, l.encode(), d.encode().ljust(8)) for i, t, y, l, d in rows
+    )
+    head = struct.pack("<BBBBIHH20x", 0x30, 124, 1, 1, 3, 33 + 32 * 5, 30)
+    head += b"".join(struct.pack("<11sc4xBB14x", n.encode(), k.encode(), w, 0) for n, k, w in fields)
+    (tmp_path / "a.dbf").write_bytes(head + b"\r" + body + b"\x1a")
+    got = [tuple(r) for r in load(spark, str(tmp_path / "a.dbf")).collect()]
+    assert got == [
+        (256, datetime.datetime(1970, 1, 2, 1), 1.25, True, datetime.date(2024, 2, 29)), (0, None, 0.0, None, None),
+    ]
+
+
+def test_dbf_code_page(spark, tmp_path):
+    head = bytearray(struct.pack("<BBBBIHH20x", 3, 124, 1, 1, 1, 33 + 32, 11))
+    head[29] = 0xC9
+    head += struct.pack("<11sc4xBB14x", b"name", b"C", 10, 0)
+    (tmp_path / "a.dbf").write_bytes(bytes(head) + b"\r " + "Київ".encode("cp1251").ljust(10) + b"\x1a")
+    assert load(spark, str(tmp_path / "a.dbf")).collect()[0]["name"] == "Київ"
+
+
+def test_workbook_order_strings_and_dates(spark, tmp_path):
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="b" r:id="r2"/><sheet name="a" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="170" formatCode="dd.mm.yyyy"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs></styleSheet>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{main}"><si><t>name</t></si><si><t>day</t></si><si><r><t>Ки</t></r><r><t>їв</t></r></si></sst>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1"><v>1</v></c></row></sheetData></worksheet>',
+        "xl/worksheets/sheet2.xml": f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row>'
+        '<row r="2"><c r="A2" t="s"><v>2</v></c><c r="B2" s="1"><v>45351.5</v></c></row><row r="3"><c r="B3" s="1"><v>1</v></c></row></sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as book:
+        for name, body in parts.items():
+            book.writestr(name, body)
+    (tmp_path / "a.xlsx").write_bytes(out.getvalue())
+    got = [tuple(r) for r in load(spark, str(tmp_path / "a.xlsx")).collect()]
+    assert got == [("Київ", datetime.datetime(2024, 2, 29, 12)), (None, datetime.datetime(1899, 12, 31))]
+
+
 def test_results_are_written_once(spark, tmp_path):
     flagged = spark.createDataFrame([(1, 0), (2, 1)], "id int, is_sample int")
     population, sample = write_results(flagged, f"{tmp_path}/base", "Monetary Unit Sampling", "csv")
