@@ -95,7 +95,8 @@ def dbf_frame(content: bytes, encoding: str | None = None) -> pd.DataFrame:
             out[name] = pd.to_datetime(text, format="%Y%m%d", errors="coerce").dt.date
         elif kind == "T":
             days, ms = np.frombuffer(padded(records[f"f{i}"], 8), "<i4").reshape(-1, 2).T
-            when = pd.to_datetime((days.astype("i8") - JULIAN_1970) * 86_400_000 + ms, unit="ms")
+            since = np.where(days > 0, days.astype("i8") - JULIAN_1970, 0)
+            when = pd.to_datetime(since * 86_400_000 + ms, unit="ms")
             out[name] = pd.Series(when).where(days > 0)
         elif kind == "Y":
             out[name] = pd.Series(np.frombuffer(padded(records[f"f{i}"], 8), "<i8") / 10_000)
