@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -33,12 +34,32 @@ def squared_distance(vector: Column, centre: Sequence[float]) -> Column:
     return total
 
 
+# Beyond this many differences one generated method would be too large to compile.
+EXPRESSION_TERMS = 400
+
+
 def nearest_centroid(df: DataFrame, vector: str, centres: Sequence[Sequence[float]]) -> DataFrame:
-    """Add ``cluster`` (lowest index on ties) and ``distance_to_centroid``."""
-    pairs = [
-        F.struct(squared_distance(F.col(vector), c).alias("d"), F.lit(i).alias("c")) for i, c in enumerate(centres)
-    ]
-    best = F.array_min(F.array(*pairs))
+    """Add ``cluster`` (lowest index on ties) and ``distance_to_centroid``.
+
+    A plain expression for few centres and dimensions, distance blocks over Arrow batches otherwise.
+    """
+    if len(centres) * len(centres[0]) <= EXPRESSION_TERMS:
+        pairs = [
+            F.struct(squared_distance(F.col(vector), c).alias("d"), F.lit(i).alias("c")) for i, c in enumerate(centres)
+        ]
+        best = F.array_min(F.array(*pairs))
+    else:
+        held = df.sparkSession.sparkContext.broadcast(np.array(centres, dtype=float))
+
+        @F.arrow_udf("struct<d:double,c:int>")
+        def closest(column: pa.Array) -> pa.Array:
+            x = matrix(column)
+            d = squared_distances(x, held.value) if len(x) else np.zeros((0, len(held.value)))
+            return pa.StructArray.from_arrays(
+                [pa.array(d.min(axis=1)), pa.array(d.argmin(axis=1).astype(np.int32))], names=["d", "c"]
+            )
+
+        best = closest(F.col(vector))
     return (
         df.withColumn("__best", best)
         .withColumn("cluster", F.col("__best.c"))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from ledgersift.operators import order_statistics as stats
 from ledgersift.operators.autoencoder import autoencoder_sample, pca_reconstruction_sample
-from ledgersift.operators.clustering import kmeans_sample
+from ledgersift.operators.clustering import kmeans_sample, nearest_centroid
 from ledgersift.operators.density import (
     DensitySettings, cluster_labels, core_distances, dense_tree, density_cluster_sample, density_clusters,
     spanning_forest, spanning_tree,
 )
+from ledgersift.operators.features import fit_features
 from ledgersift.operators.isolation import average_path, fit_forest, forest_score, isolation_forest_sample
 from ledgersift.operators.monetary import mus_sample
 from ledgersift.operators.neighbours import distinct_points, knn_join
@@ -262,3 +263,22 @@ def test_rank_by_every_type(spark, kind):
     df = spark.range(700).withColumn("k", F.expr(kind))
     got = {r["id"]: r["position"] for r in global_rank(df, ["k"], ["id"]).collect()}
     assert got == {r["id"]: i for i, r in enumerate(df.orderBy("k", "id").select("id").collect())}
+
+
+def test_nearest_centre_forms_agree(spark, monkeypatch):
+    df, x, _ = blobs(spark)
+    centres = [[float(v) for v in r] for r in x[::40]]
+    rows = nearest_centroid(df, "features", centres).orderBy("id").collect()
+    monkeypatch.setattr("ledgersift.operators.clustering.EXPRESSION_TERMS", 0)
+    assert nearest_centroid(df, "features", centres).orderBy("id").collect() == rows
+
+
+def test_scores_can_be_stored_with_any_column_name(spark):
+    df = spark.createDataFrame([(i, float(i % 5), "a b;c" if i % 2 else "d,(e)") for i in range(60)], "id bigint, v double, g string")
+    rows, plan = fit_features(df, ["v"], ["g"])
+    prepared = plan.apply(rows, ["id"]).withColumn("features", plan_vector(plan))
+    assert isolation_forest_sample(prepared, "features", 3, ["id"], 1, 5).where("is_sample = 1").count() == 3
+
+
+def plan_vector(plan):
+    return F.array(*[F.col(f"`{n}`").cast("double") for n in plan.names])
