@@ -64,7 +64,7 @@ def _split(rows: DataFrame, sizes: DataFrame, copies: int, level: int) -> DataFr
     salts = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
     pivots = sized.where(draw * F.col("n") < wanted + 3 * F.sqrt(wanted) + 3).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), salts - 1))
-    ).select("cell", "salt", "node", "vec")
+    ).select(*[F.col(c).alias(c) for c in ("cell", "salt", "node", "vec")])
     dealt = sized.select("cell", F.pmod(F.xxhash64(F.lit("salt"), "node"), salts).cast("int").alias("salt"), "node", "vec", "home")
 
     def assign(points: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
@@ -285,7 +285,9 @@ def _searched(members: DataFrame, visits: DataFrame, beam: int, bound: float) ->
     held = members.join(chunks, ["cell", "part"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     keys = ["cell", "part", "chunk"]
     left = held.select(*keys, "node", "vec", "home", "copies", "near", "cells").groupBy(*keys)
-    right = asked.select(*keys, "node", "vec", "cells").groupBy(*keys)
+    # New names: both sides come from the same table.
+    right = asked.select(*[F.col(c).alias(f"q_{c}") for c in keys], *[F.col(c).alias(c) for c in ("node", "vec", "cells")])
+    right = right.groupBy(*[f"q_{c}" for c in keys])
     return left.cogroup(right).applyInPandas(search, "kind int, a long, b long, cell string")
 
 

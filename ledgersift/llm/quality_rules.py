@@ -30,8 +30,9 @@ SHARE = 0.75  # part of a group that the determinant is minimised over
 STEPS = 4  # concentration steps per start
 MIN_ROWS = 200  # groups with fewer rows take the estimate of their language, then none
 TAIL = 1e-6  # a clean text's chance of rejection under the fitted normal
-# Smallest standard deviation per component, in log units: below it differences do not count as evidence.
-FLOORS = (0.15, 0.5, 0.5, 0.5, 0.5, 0.5)
+# Smallest standard deviation per component, in log units: below it differences do not count as evidence. Repeats,
+# which the base rule already bounds and which show in two components, get twice the width.
+FLOORS = (0.15, 0.5, 1.0, 1.0, 0.5, 0.5)
 D = len(FLOORS)
 BINS = 8  # distance bins per octave
 X = [f"x{i}" for i in range(D)]

@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 from .chat_format import CHAT_SQL, chat_digest
+from .embedding_graph import embedding_dedup
+from .line_dedup import line_dedup
+from .piece_tokens import piece_tokens
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
+from .simhash_dedup import simhash_dedup
+from .source_mixing import source_mixing
+from .toxicity import toxicity
 from .url_filters import URL_SQL, url_verdicts
 
 QUERIES = {
+    "op1_simhash_dedup": simhash_dedup,
     "op2_quality_rules": quality_rules,
+    "op3_embedding_dedup": embedding_dedup,
+    "op4_source_mixing": source_mixing,
     "op5_url_filters": url_verdicts,
+    "op6_piece_tokens": piece_tokens,
     "op7_secret_scan": secret_spans,
+    "op8_toxicity": toxicity,
     "op9_chat_format": chat_digest,
+    "op10_line_dedup": line_dedup,
 }
 ORACLES = {
     "op5_url_filters": URL_SQL,

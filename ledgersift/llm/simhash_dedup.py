@@ -117,12 +117,18 @@ def fingerprint_links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def fingerprint_groups(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(fp, component_id) for every distinct fp of ``rows`` (doc_id, fp): the smallest doc_id reachable by links."""
+    """(fp, root, component_id) for every distinct fp of ``rows`` (doc_id, fp): a fingerprint that stands for the
+    group, and the smallest doc_id reachable by links."""
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     roots = components(fingerprint_links(distinct.select("fp"), limit)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     rooted = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
+
+
+def _grouped(docs: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    rows = stored(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")), "doc-fingerprints")
+    return rows, fingerprint_groups(rows, limit)
 
 
 def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -133,20 +139,23 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     its rows are such). Repeated rows are answered each; other columns are ignored; an empty table gives an
     empty result.
     """
-    rows = stored(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")), "doc-fingerprints")
-    return rows.join(fingerprint_groups(rows, limit), "fp").select("doc_id", "fp", "component_id")
+    rows, groups = _grouped(docs, limit)
+    return rows.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Of every group of near-duplicates the row with the smallest doc_id, all columns as they are.
 
-    A row with a null doc_id stays only where no row of its group has an id; of rows that repeat the chosen
-    id one stays.
+    Of rows that repeat that id one stays. A group without any id keeps one of its rows.
     """
-    found = near_duplicates(docs, limit).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # For unnamed groups any of their rows would do, but they cannot be told apart by id: one per fingerprint.
-    chosen = found.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__id"])).drop("__id").dropDuplicates(["doc_id"])
+    rows, groups = _grouped(docs, limit)
+    groups = stored(groups, "groups")
+    chosen = rows.join(groups, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.join(chosen, docs["doc_id"] == chosen["__id"]).drop("__id").dropDuplicates(["doc_id"])
+    unnamed = groups.where("component_id IS NULL").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
+    rest = docs.where("doc_id IS NULL").withColumn("__own", fingerprints(F.col("text")))
+    rest = rest.join(unnamed, F.col("__own") == F.col("__fp")).dropDuplicates(["__root"]).drop("__own", "__fp", "__root")
+    return named.unionByName(rest)
 
 
 def simhash_dedup(spark, sf_dir: str) -> DataFrame:
