@@ -3,7 +3,7 @@
 P(grade <= k) = sigmoid(theta_k - w.x): the weights w are shared by all thresholds theta_0 < theta_1 < ...
 Features are sparse: log(1 + count) of the words and word beginnings whose presence is associated with the
 label, and the log of the text's length, so that what a long text holds by chance weighs less. The model is
-fitted on a bounded sample of labelled documents (``SAMPLE``, the smallest hashes of doc_id); every document is
+fitted on a bounded sample of labelled documents (about ``SAMPLE``); every document is
 scored, whole. The labels know only toxic or not; severity grades of toxic sample documents are derived from
 how large a part of their words is associated with the label (thirds of the toxic sample).
 """
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 20_000  # labelled documents that the model is fitted on
+SAMPLE = 20_000  # about so many labelled documents, by hash, fit the model
 MAX_FEATURES = 2_000  # most strongly associated words
 MIN_DOCS = 4  # documents of the sample a feature must occur in
 MIN_Z = 4.0  # standard errors its log odds must be away from zero
@@ -30,6 +30,7 @@ CUT = 0.5  # probability of any grade above zero at which a document counts as t
 
 BEGINNING = 5  # letters of a word's beginning, which inflected and compound forms share
 LENGTH = ""  # name of the length feature
+SHORT = 100  # terms up to which length says nothing
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -42,15 +43,16 @@ def terms(text: str | None) -> list[str]:
 
 def values_of(found: list[str], known) -> dict[str, float]:
     n = Counter(x for x in found if x in known)
-    return {**{x: float(np.log1p(c)) for x, c in sorted(n.items())}, LENGTH: float(np.log1p(len(found)))}
+    return {**{x: float(np.log1p(c)) for x, c in sorted(n.items())}, LENGTH: float(np.log(max(len(found), SHORT) / SHORT))}
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``size`` labelled documents. Repeated labels count once, as toxic if any says so."""
+    """(doc_id, text, toxic) of about ``size`` labelled documents (hash of doc_id below a bound). Repeated labels count once, as toxic if any says so."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    # ``size`` rows of two numbers: bounded, so it may be broadcast.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    share = size / max(labels.count(), size, 1)
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    # About ``size`` rows of two numbers: bounded, so they may be broadcast.
+    return docs.select("doc_id", "text").join(F.broadcast(known.where(draw < share)), "doc_id")
 
 
 def associated_words(sample: DataFrame) -> dict[str, float]:
@@ -125,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[dict[
             yield pd.DataFrame(out, columns=["doc_id", "toxic", "marked", "columns", "values"])
 
     kept = sample.mapInPandas(features, "doc_id long, toxic int, marked double, columns array<int>, values array<double>").toPandas()
-    kept = kept.sort_values(["doc_id", "marked"]).reset_index(drop=True)  # at most ``size`` rows of ``MAX_FEATURES``
+    kept = kept.sort_values(["doc_id", "marked"]).reset_index(drop=True)  # about ``size`` rows of up to ``MAX_FEATURES``
     grades = kept["toxic"].to_numpy(dtype=np.int64).copy()
     marked = kept["marked"].to_numpy()
     if grades.any():
