@@ -28,9 +28,9 @@ PENALTY = 0.1
 STEPS = 600
 CUT = 0.5  # probability of any grade above zero at which a document counts as toxic
 
-BEGINNING = 5  # letters of a word's beginning, which inflected and compound forms share
+BEGINNINGS = (3, 4, 5)  # letters of word beginnings, which inflected and compound forms share
 LENGTH = ""  # name of the length feature
-SHORT = 100  # terms up to which length says nothing
+SHORT = 200  # terms up to which length says nothing
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -38,7 +38,7 @@ WORD = re.compile(r"[^\W\d_]+")
 def terms(text: str | None) -> list[str]:
     """Words, and beginnings of longer words, in lower case."""
     ws = WORD.findall((text or "").lower())
-    return ws + ["^" + w[:BEGINNING] for w in ws if len(w) > BEGINNING]
+    return ws + ["^" + w[:n] for n in BEGINNINGS for w in ws if len(w) > n]
 
 
 def values_of(found: list[str], known) -> dict[str, float]:
