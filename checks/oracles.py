@@ -234,7 +234,9 @@ ORACLES: dict[str, str] = {
     "fraction_subsample_exact": f"SELECT event_id FROM ({srs('events', 'event_id', '(SELECT round_even(0.15 * count(*), 0) FROM events)', 5, 'fraction')}) WHERE is_sample = 1",
     "fraction_subsample_bernoulli": f"SELECT event_id FROM events WHERE {u(5, 'fraction', 'event_id')} <= 0.15",
     "with_row_key_lineitem": """SELECT hash || '-' || row_number() OVER (PARTITION BY hash) AS row_key, l_orderkey, l_linenumber, l_returnflag, l_linestatus
-        FROM (SELECT *, sha256(concat_ws('|', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_returnflag, l_linestatus)) AS hash FROM lineitem)""",
+        FROM (SELECT *, sha256(list_aggregate(list_transform([l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_returnflag, l_linestatus], lambda v: coalesce(length(v) || ':' || v, 'null;')), 'string_agg', '')) AS hash FROM lineitem)""",
+    "row_keys_unique_lineitem": "SELECT count(*) AS n_rows, count(*) AS n_keys FROM lineitem",
+    "row_keys_unique_documents": "SELECT count(*) AS n_rows, count(*) AS n_keys FROM documents",
     "global_rank_events": "SELECT event_id, row_number() OVER (ORDER BY event_type, ts, event_id) - 1 AS position FROM events",
     "prefix_sum_orders": f"SELECT o_orderkey, row_number() OVER w - 1 AS position, CAST(sum({minor('o_totalprice')}) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_total FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey)",
     "prefix_sum_by_stratum": f"SELECT o_orderkey, row_number() OVER w - 1 AS position, CAST(sum({minor('o_totalprice')}) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_total FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey)",

@@ -194,6 +194,20 @@ def fraction_subsample_bernoulli(spark, sf):
 # Keys, ranks, running totals -------------------------------------------------------------------
 
 
+@query
+def row_keys_unique_lineitem(spark, sf):
+    return with_row_key(table(spark, sf, "lineitem")).agg(
+        F.count("*").alias("n_rows"), F.countDistinct("row_key").alias("n_keys")
+    )
+
+
+@query
+def row_keys_unique_documents(spark, sf):
+    return with_row_key(table(spark, sf, "documents")).agg(
+        F.count("*").alias("n_rows"), F.countDistinct("row_key").alias("n_keys")
+    )
+
+
 @query
 def with_row_key_lineitem(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")

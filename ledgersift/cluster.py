@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import ColumnError, RowLimitError, SampleSizeError
+from .errors import ColumnError, RowLimitError, SampleSizeError, SharedFolderError
 
 # Largest table that may be broadcast; beyond it joins shuffle both sides.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def require_columns(df: DataFrame, *names: str) -> None:
@@ -32,13 +35,17 @@ def require_rows(df: DataFrame, max_rows: int | None) -> None:
 
 
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Evaluate a summary table once; broadcast it only if it has at most ``max_rows`` rows.
+    """Evaluate a summary table once; broadcast it only if it has at most ``max_rows`` rows and ``BROADCAST_BYTES``.
 
     Above the limit the table stays distributed and later joins shuffle, so the
     size of what is broadcast is always checked.
     """
+    arrays = any(f.dataType.typeName() == "array" for f in df.schema)  # their width shows in the rows only
+    few = df.limit(1_000).toArrow() if arrays else None
+    if few is not None and few.num_rows and few.nbytes / few.num_rows * max_rows > BROADCAST_BYTES:
+        max_rows = max(1, int(BROADCAST_BYTES * few.num_rows / few.nbytes))
     table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
+    if table.num_rows > max_rows or table.nbytes > BROADCAST_BYTES:
         return df, False
     return F.broadcast(df.sparkSession.createDataFrame(table, df.schema)), True
 
@@ -49,8 +56,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        # Unset only outside a cluster (tests, a laptop).
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise SharedFolderError("set spark.checkpoint.dir to a folder that all executors share")
+        # One machine runs everything (tests, a laptop): its own folder will do, and goes with the process.
         base = tempfile.mkdtemp(prefix="ledgersift-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -31,3 +31,7 @@ class RowLimitError(SamplingError):
 
 class SourceError(SamplingError):
     """A file could not be read with any supported dialect."""
+
+
+class SharedFolderError(SamplingError):
+    """A cluster session names no folder that all executors share."""

@@ -1,7 +1,8 @@
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def minor_units(value: Column, scale: int = 2) -> Column:
@@ -9,6 +10,15 @@ def minor_units(value: Column, scale: int = 2) -> Column:
     return F.round(value.cast("double") * F.lit(float(10**scale))).cast("long")
 
 
+def exact_minor_units(df: DataFrame, name: str, scale: int = 2) -> Column:
+    """``minor_units`` of a column of ``df``; decimals and whole numbers are converted digit by digit, not as doubles."""
+    value, kind = F.col(name), df.schema[name].dataType
+    if not isinstance(kind, (T.DecimalType, T.IntegralType)):
+        return minor_units(value, scale)
+    digits = F.round(value.cast("decimal(38,0)") if isinstance(kind, T.IntegralType) else value, scale)
+    return F.replace(digits.cast(f"decimal(38,{scale})").cast("string"), F.lit("."), F.lit("")).cast("long")
+
+
 def half_even_share(count: Column, total: Column, n: Column) -> Column:
     """round-half-even(count * n / total) in whole numbers."""
     product = count.cast("decimal(19,0)") * n.cast("decimal(18,0)")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import bounded, require_columns, require_size, settled
 from ..errors import ColumnError, EmptyPopulationError, NegativeValueError, SampleSizeError
-from ..functions import hash_hex, hash_uint32, minor_units, ordered_bucket, seed_draw, uniform
+from ..functions import hash_hex, hash_uint32, exact_minor_units, ordered_bucket, seed_draw, uniform
 from ..functions.hashing import UINT32
 from .order_statistics import hash_bucket, hash_buckets, kth_cut
 from .random_sampling import mark_sample
@@ -111,7 +111,7 @@ def mus_picked(
     """Keys of the selected rows."""
     order_by = list(order_by or key)
     kept = df if threshold is None else threshold_filter(df, value, threshold)
-    amount = minor_units(F.col(value), scale)
+    amount = exact_minor_units(df, value, scale)
     if negatives == "abs":
         amount = F.abs(amount)
     elif negatives == "drop":

@@ -2,7 +2,8 @@
 
 "The k smallest rows" is answered in two passes. The first counts rows per coarse
 bucket of the ordering (a small, map-side combined aggregate) and finds the bucket
-that holds the k-th row; the second ranks only the rows of that bucket. The result
+that holds the k-th row; the second ranks only the rows of that bucket, which is
+narrowed further by counting between drawn cuts until a task can hold it. The result
 is one cut per group, and ``row <= cut`` then flags the population with no join on
 keys and no task that holds a whole group.
 """
@@ -22,6 +23,9 @@ from ..functions.hashing import UINT32
 
 ROWS_PER_BUCKET = 65_536
 PRUNED_ROWS = 100_000
+EDGE_ROWS = 100_000  # rows of a group that one task may rank; a larger part is narrowed by counting first
+CUTS = 1_000
+LAST_BUCKET = 1 << 40
 
 
 def hash_buckets(rows: Column) -> Column:
@@ -49,23 +53,54 @@ def kth_cut(
     by = groups or ["__g"]
     counts = keyed.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c"), F.max("__k").alias("__k"))
     running = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    edges = (
-        counts.withColumn("__upto", F.sum("__c").over(running))
-        .withColumn("__k", F.least("__k", F.sum("__c").over(Window.partitionBy(*by))))
-        .where("__k <= __upto AND __k > __upto - __c")
-        .select(*by, "__b", (F.col("__k") - F.col("__upto") + F.col("__c")).alias("__nth"))
-    )
-    edges, _ = bounded(edges)
-    within = Window.partitionBy(*by).orderBy("cut")
+    edges = _edge(counts.withColumn("__nth", F.least("__k", F.sum("__c").over(Window.partitionBy(*by)))), by, ["__b"])
+    edges, _ = bounded(edges.select(*by, "__b", "__nth", "__c"))
+    pool = keyed.drop("__k").join(edges, [*by, "__b"]).drop("__b")
+    while (edges.agg(F.max("__c")).first()[0] or 0) > EDGE_ROWS:
+        edges, settled = _narrowed(pool, by)
+        low_high = edges.select(*by, "__nth", "__c", F.col("__lo"), F.col("__hi"))
+        pool = keyed.select(*by, "cut").join(low_high, by).where("cut >= __lo AND cut <= __hi").drop("__lo", "__hi")
+        if settled:  # what is left in every large group is one repeated tuple
+            break
+    # Equal tuples are one row with a count, so at most EDGE_ROWS rows of a group are ranked in a task.
+    distinct = pool.groupBy(*by, "cut").agg(F.count(F.lit(1)).alias("__n"), F.max("__nth").alias("__nth"))
+    within = Window.partitionBy(*by).orderBy("cut").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        keyed.drop("__k")
-        .join(edges, [*by, "__b"])
-        .withColumn("__r", F.row_number().over(within))
-        .where("__r = __nth")
+        distinct.withColumn("__upto", F.sum("__n").over(within))
+        .where("__nth <= __upto AND __nth > __upto - __n")
         .select(*groups, "cut")
     )
 
 
+def _edge(counts: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Of rows with a count ``__c``, the one per group that holds the ``__nth``; its ``__nth`` becomes local."""
+    running = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    held = counts.withColumn("__upto", F.sum("__c").over(running)).where("__nth <= __upto AND __nth > __upto - __c")
+    return held.withColumn("__nth", F.col("__nth") - F.col("__upto") + F.col("__c")).drop("__upto")
+
+
+def _narrowed(pool: DataFrame, by: Sequence[str]) -> tuple[DataFrame, bool]:
+    """Bounds of a part of each group's pool that still holds its ``__nth``: about ``CUTS`` times fewer rows.
+
+    Cuts are a random draw of order tuples; the part is bounded by tuples that were counted, so the draw decides
+    how far the pool shrinks, never the result.
+    """
+    drawn = pool.where(F.rand(7) < F.lit(float(CUTS)) / F.col("__c")).groupBy(*by).agg(
+        F.array_sort(F.collect_list("cut")).alias("__cuts")  # about CUTS tuples
+    )
+    steps = F.array(*[F.lit(1 << e) for e in range(CUTS.bit_length() + 1, -1, -1)])
+    place = F.aggregate(
+        steps, F.lit(0), lambda low, s: F.when(F.get("__cuts", low + s - 1) < F.col("cut"), low + s).otherwise(low)
+    )
+    placed = pool.join(drawn, by, "left").withColumn("__p", F.when(F.col("__cuts").isNull(), 0).otherwise(place))
+    counts = placed.groupBy(*by, "__p").agg(
+        F.count(F.lit(1)).alias("__c"), F.max("__nth").alias("__nth"), F.min("cut").alias("__lo"), F.max("cut").alias("__hi")
+    )
+    edges, _ = bounded(_edge(counts, by, ["__p"]))
+    open_groups = edges.where(F.col("__c") > EDGE_ROWS).where("__lo <> __hi")
+    return edges, open_groups.limit(1).count() == 0
+
+
 def flag_up_to_cut(df: DataFrame, groups: Sequence[str], cuts: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Add ``is_sample``: 1 for rows whose order tuple is not above their group's cut."""
     position = F.struct(*order)
@@ -90,12 +125,16 @@ def flag_up_to_cut(df: DataFrame, groups: Sequence[str], cuts: DataFrame, order:
 def top_n_by_score(
     df: DataFrame, score: str, n: int, key: Sequence[str], highest: bool = False, groups: Sequence[str] = ()
 ) -> DataFrame:
-    """Flag the n lowest (or highest) scores, overall or per group; ties by key."""
+    """Flag the n lowest (or highest) scores, overall or per group; ties by key, null and NaN scores last."""
     require_size(n)
     require_columns(df, score, *key, *groups)
-    signed = -F.col(score) if highest else F.col(score)
-    order = [signed.alias("__s"), *[F.col(k) for k in key]]
-    cuts = kth_cut(df, groups, F.lit(n).cast("long"), ordered_bucket(signed), order)
+    value = F.col(score)
+    missing = value.isNull() | F.isnan(value) if df.schema[score].dataType.typeName() in ("double", "float") else value.isNull()
+    signed = F.when(~missing, -value if highest else value)
+    # Rows without a score come last in either direction.
+    order = [missing.cast("int").alias("__missing"), signed.alias("__s"), *[F.col(k) for k in key]]
+    bucket = F.when(missing, F.lit(LAST_BUCKET)).otherwise(ordered_bucket(signed))
+    cuts = kth_cut(df, groups, F.lit(n).cast("long"), bucket, order)
     return flag_up_to_cut(df, groups, cuts, order)
 
 

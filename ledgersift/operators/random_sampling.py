@@ -11,7 +11,7 @@ from ..cluster import BROADCAST_ROWS, require_columns, require_size
 from ..errors import SampleSizeError
 from ..functions import seed_draw, uniform
 from .order_statistics import smallest_hashes
-from .ranking import RangeBuckets, rank_within_buckets
+from .ranking import RangeBuckets, rank_within_buckets, require_unique_key
 
 
 def random_sample(df: DataFrame, sample_size: int, key: Sequence[str], seed: int | None = None) -> DataFrame:
@@ -109,8 +109,10 @@ def systematic_sample(
 def mark_sample(df: DataFrame, picked: DataFrame, key: Sequence[str], size: int) -> DataFrame:
     """Add ``is_sample`` = 1 where the key is among the picked keys.
 
-    ``size`` is the proven bound on the picked rows; it decides whether they are broadcast.
+    ``size`` is the proven bound on the picked rows; it decides whether they are broadcast. A key that occurs
+    twice would select rows nobody picked, so it is refused.
     """
+    require_unique_key(df, key)
     picked = picked.select(*key).withColumn("__hit", F.lit(1))
     if size <= BROADCAST_ROWS:
         picked = F.broadcast(picked)

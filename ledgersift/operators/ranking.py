@@ -158,7 +158,9 @@ def with_row_key(df: DataFrame, name: str = "row_key", copies_per_task: int = 1_
     and its expansion is spread over tasks.
     """
     columns = df.columns
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns])
+    # Every value with its length in front, nulls as a mark of their own: no two rows share a text.
+    values = [F.col(f"`{c}`").cast("string") for c in columns]
+    text = F.concat(*[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("null;")) for v in values])
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__m"))
     counted = counted.withColumn("__h", F.sha2(text, 256))
 
@@ -178,3 +180,8 @@ def with_row_key(df: DataFrame, name: str = "row_key", copies_per_task: int = 1_
 def check_unique_key(df: DataFrame, key: Sequence[str]) -> bool:
     """True when no key value repeats; partial counts are combined before the shuffle."""
     return df.groupBy(*key).count().where("count > 1").limit(1).count() == 0
+
+
+def require_unique_key(df: DataFrame, key: Sequence[str]) -> None:
+    if not check_unique_key(df, key):
+        raise ColumnError(f"key {list(key)} is not unique; with_row_key builds one that is")

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..cluster import bounded
-from ..functions import minor_units
+from ..functions import exact_minor_units
 from .monetary import threshold_filter
 from .ranking import prefix_sum
 from .stratified import population_of, stratum_counts
 
 
 def population_totals(df: DataFrame, value: str, scale: int = 2) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("population_size"), F.sum(minor_units(F.col(value), scale)).alias("total_minor"))
+    return df.agg(F.count(F.lit(1)).alias("population_size"), F.sum(exact_minor_units(df, value, scale)).alias("total_minor"))
 
 
 def stratum_shares(df: DataFrame, stratum: str) -> DataFrame:
@@ -56,7 +56,7 @@ def cumulative_curve(
     """
     rows = flagged if threshold is None else threshold_filter(flagged, value, threshold)
     rows = rows.na.drop(subset=[value, *strata])
-    amount = minor_units(F.col(value), scale)
+    amount = exact_minor_units(flagged, value, scale)
     narrow = rows.select(*dict.fromkeys([*strata, *key]), F.col(value), F.col("is_sample"))
     count = narrow.count()
     curve = prefix_sum(narrow, amount, [value], key, strata, rows=count)
@@ -71,7 +71,7 @@ def method_summary(
     threshold: float | None = None, strata: str | None = None, created: str | None = None, scale: int = 2,
 ) -> DataFrame:
     """One row describing how the sample was drawn; ``created`` is passed in, not read from a clock."""
-    money = F.sum(minor_units(F.col(value), scale)) if value else F.lit(None).cast("long")
+    money = F.sum(exact_minor_units(flagged, value, scale)) if value else F.lit(None).cast("long")
     kept = F.count_if(F.col(value) >= threshold) if value and threshold is not None else F.count(F.lit(1))
     return flagged.agg(
         F.lit(method).alias("method"),

@@ -282,3 +282,81 @@ def test_scores_can_be_stored_with_any_column_name(spark):
 
 def plan_vector(plan):
     return F.array(*[F.col(f"`{n}`").cast("double") for n in plan.names])
+
+
+def test_top_n_with_null_and_nan_scores(spark):
+    from ledgersift.operators.order_statistics import top_n_by_score
+
+    rows = [(i, None if i % 4 == 0 else float("nan") if i % 5 == 0 else float(i % 7)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, s double")
+    known = [(i, s) for i, s in rows if s is not None and s == s]
+    for highest in (False, True):
+        for n in (1, 3, 17, 30, 40, 60):
+            got = {r["k"] for r in top_n_by_score(df, "s", n, ["k"], highest).where("is_sample = 1").collect()}
+            best = sorted(known, key=lambda r: (-r[1] if highest else r[1], r[0]))[:n]
+            assert len(got) == min(n, 40) and {i for i, _ in best} <= got
+
+
+def test_cut_is_narrowed_by_counting(spark, monkeypatch):
+    """No task ranks more than EDGE_ROWS rows of a group, whatever ties there are; the cut stays exact."""
+    from ledgersift.operators import order_statistics
+
+    monkeypatch.setattr(order_statistics, "EDGE_ROWS", 50)
+    monkeypatch.setattr(order_statistics, "CUTS", 20)
+    df = spark.range(20_000).selectExpr("id AS k", "id % 3 AS g", "CAST(id % 2 AS double) AS s").repartition(6)
+    for n in (1, 4_000, 19_999):
+        got = {r["k"] for r in order_statistics.top_n_by_score(df, "s", n, ["k"]).where("is_sample = 1").collect()}
+        assert got == set(sorted(range(20_000), key=lambda i: (i % 2, i))[:n])
+    got = order_statistics.top_n_by_score(df, "s", 10, ["k"], groups=["g"]).where("is_sample = 1").collect()
+    assert {(r["g"], r["k"]) for r in got} == {(g, k) for g in range(3) for k in [i for i in range(20_000) if i % 3 == g and i % 2 == 0][:10]}
+    same = spark.range(3_000).selectExpr("1 AS k", "0.5 AS s")
+    assert order_statistics.top_n_by_score(same, "s", 5, ["k"]).where("is_sample = 1").count() == 3_000
+
+
+def test_keys_of_unlike_rows_differ(spark):
+    from ledgersift.operators.ranking import with_row_key
+
+    df = spark.createDataFrame([("a|", "b"), ("a", "|b"), (None, "x"), ("\u0000", "x"), ("null;", ""), (None, ""), ("1:a", "b"), ("", None)], "p string, q string")
+    assert with_row_key(df).select("row_key").distinct().count() == 8
+
+
+def test_repeated_keys_are_refused(spark):
+    import pytest
+
+    from ledgersift.errors import ColumnError
+    from ledgersift.operators.monetary import mus_sample
+    from ledgersift.operators.random_sampling import systematic_sample
+
+    df = spark.range(100).selectExpr("id % 10 AS k", "id AS o", "1.0 AS v")
+    with pytest.raises(ColumnError):
+        systematic_sample(df, 10, ["o"], ["k"], 1)
+    with pytest.raises(ColumnError):
+        mus_sample(df, 10, "v", ["k"], seed=1)
+
+
+def test_money_keeps_every_digit(spark):
+    from ledgersift.operators.summaries import population_totals
+
+    df = spark.sql("SELECT CAST('90071992547409.93' AS decimal(20,2)) AS v UNION ALL SELECT CAST('-0.05' AS decimal(20,2))")
+    assert population_totals(df, "v").first()["total_minor"] == 9007199254740993 - 5
+    assert population_totals(spark.sql("SELECT 7 AS v"), "v").first()["total_minor"] == 700
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    import pytest
+
+    from ledgersift.cluster import shared_dir
+    from ledgersift.errors import SharedFolderError
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(SharedFolderError):
+        shared_dir(Session(), "x")
