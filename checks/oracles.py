@@ -223,6 +223,9 @@ ORACLES: dict[str, str] = {
     "scan_dbf_suppliers": "SELECT * FROM supplier",
     "scan_xlsx_suppliers": "SELECT * FROM supplier",
     "load_table": "SELECT * FROM part",
+    "scan_csv_documents": "SELECT * FROM documents",
+    "scan_csv_conversations": "SELECT * FROM conversations",
+    "write_results_csv_text": f"SELECT * FROM ({srs('documents', 'doc_id', '150', 11, columns='doc_id, text, source')}) WHERE is_sample = 1",
     "write_results_read_back": f"SELECT * FROM ({srs('orders', 'o_orderkey', '200', 11, columns='o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority')}) WHERE is_sample = 1",
     "table_shape": "SELECT count(*) AS n_rows, 11 AS n_columns FROM lineitem",
     "column_catalog": "SELECT column_name AS name, column_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'BOOLEAN') AS is_numeric FROM (DESCRIBE lineitem)",

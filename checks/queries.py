@@ -37,7 +37,7 @@ from ledgersift.operators.summaries import (
 )
 from ledgersift.plans import run_method
 from ledgersift.sources import load, scan_csv, scan_dbf, scan_xlsx, sniff_csv_dialects, write_results
-from ledgersift.sources.files import list_files, scan_json
+from ledgersift.sources.files import CSV_TEXT, list_files, scan_json
 
 from .exports import dbf_files, xlsx_files
 
@@ -80,6 +80,30 @@ def scan_csv_orders(spark, sf):
     return scan_csv(spark, path, ORDERS_SCHEMA)
 
 
+@query
+def scan_csv_documents(spark, sf):
+    """Texts with quotes and line breaks, written as CSV and read back."""
+    path = shared_dir(spark, "csv")
+    rows = table(spark, sf, "documents")
+    rows.write.options(**CSV_TEXT).csv(path)
+    return scan_csv(spark, path, rows.schema)
+
+
+@query
+def scan_csv_conversations(spark, sf):
+    path = shared_dir(spark, "csv")
+    rows = table(spark, sf, "conversations")
+    rows.write.options(**CSV_TEXT, sep="|").csv(path)
+    return scan_csv(spark, path, rows.schema)
+
+
+@query
+def write_results_csv_text(spark, sf):
+    flagged = random_sample(table(spark, sf, "documents").select("doc_id", "text", "source"), 150, ["doc_id"], 11)
+    _, sample = write_results(flagged, shared_dir(spark, "out"), "Random Sampling", "csv")
+    return scan_csv(spark, sample, flagged.schema)
+
+
 @query
 def sniff_csv_dialect(spark, sf):
     path = shared_dir(spark, "dialects")

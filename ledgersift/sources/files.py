@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import codecs
 import csv
+import io
 import os
 import re
-from collections.abc import Iterator, Sequence
+import sys
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
+from itertools import chain
+from typing import BinaryIO
 
 import pandas as pd
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import stored
 from ..errors import SourceError
 from .records import scan_dbf, scan_xlsx
 
@@ -21,29 +26,57 @@ from .records import scan_dbf, scan_xlsx
 ENCODINGS = ["utf-8", "cp1251", "cp1252", "latin1"]
 DELIMITERS = [",", ";", "\t", "|"]
 
-SNIFF_BYTES = 65_536
+CHUNK_BYTES = 1 << 20
 JAVA_CHARSETS = {"utf-8": "UTF-8", "cp1251": "windows-1251", "cp1252": "windows-1252", "latin1": "ISO-8859-1"}
-DIALECT_SCHEMA = "path string, encoding string, sep string, n_cols int, has_rows boolean"
-
-
-def dialect_of(head: bytes, complete: bool) -> tuple[str, str, int] | None:
-    """First (encoding, delimiter) that gives more than one column and at least one data row."""
-    for encoding in ENCODINGS:
-        try:
-            text = codecs.getincrementaldecoder(encoding)().decode(head, final=complete)
-        except UnicodeDecodeError:
+DIALECT_SCHEMA = "path string, encoding string, sep string, n_cols int, has_rows boolean, multi_line boolean"
+
+
+def fitting_encoding(chunks: Iterator[bytes]) -> str:
+    """First encoding in which every byte of a file is valid; a chunk is held at a time."""
+    decoders = {e: codecs.getincrementaldecoder(e)() for e in ENCODINGS}
+    for chunk in chain(chunks, [None]):
+        for e, decoder in list(decoders.items()):
+            try:
+                decoder.decode(chunk or b"", final=chunk is None)
+            except UnicodeDecodeError:
+                del decoders[e]
+    return next(iter(decoders))  # latin1 takes any byte
+
+
+def record_shape(lines: Iterable[str], sep: str) -> tuple[int, bool, bool]:
+    """(columns, has rows, some record spans lines) of a whole file; 0 columns if the delimiter does not fit."""
+    csv.field_size_limit(sys.maxsize)
+    width, rows, spans, before = 0, False, False, 0
+    reader = csv.reader(lines, delimiter=sep)
+    for record in reader:
+        spans |= reader.line_num - before > 1
+        before = reader.line_num
+        if not record:
             continue
-        lines = text.splitlines()
-        if not complete and len(lines) > 2:
-            lines = lines[:-1]
-        for sep in DELIMITERS:
-            records = [r for r in csv.reader(lines, delimiter=sep) if r]
-            if len(records) < 2:
-                continue
-            width = len(records[0])
-            if width > 1 and all(len(r) <= width for r in records[1:]):
-                return encoding, sep, width
-    return None
+        if not width:
+            width = len(record)
+        elif len(record) > width:
+            return 0, False, False
+        else:
+            rows = True
+        if width < 2:
+            return 0, False, False
+    return width, rows, spans
+
+
+def file_dialect(open_file: Callable[[], BinaryIO]) -> tuple[str | None, str | None, int, bool, bool]:
+    """(encoding, delimiter, columns, has rows, multi-line) decided from all of a file, read as a stream."""
+    with open_file() as f:
+        encoding = fitting_encoding(iter(lambda: f.read(CHUNK_BYTES), b""))
+    header_only = None
+    for sep in DELIMITERS:
+        with open_file() as f:
+            width, rows, spans = record_shape(io.TextIOWrapper(f, encoding, newline=""), sep)
+        if width and rows:
+            return encoding, sep, width, True, spans
+        if width and header_only is None:
+            header_only = (encoding, sep, width, False, spans)
+    return header_only or (None, None, 0, True, False)
 
 
 def _sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,12 +84,8 @@ def _sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for path in batch["path"]:
             store, location = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-            with store.open_input_stream(location) as f:
-                head = f.read(SNIFF_BYTES)
-                complete = not f.read(1)
-            found = dialect_of(head, complete)
-            rows.append((path, *(found or (None, None, 0)), len(head.splitlines()) > 1))
-        yield pd.DataFrame(rows, columns=["path", "encoding", "sep", "n_cols", "has_rows"])
+            rows.append((path, *file_dialect(lambda: store.open_input_stream(location))))
+        yield pd.DataFrame(rows, columns=["path", "encoding", "sep", "n_cols", "has_rows", "multi_line"])
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -66,17 +95,21 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sniff_csv_dialects(paths: DataFrame) -> DataFrame:
-    """``path, encoding, sep, n_cols, has_rows`` per file from its first 64 KB, one task per slice of paths."""
+    """``path, encoding, sep, n_cols, has_rows, multi_line`` per file, each read as a stream by one task."""
     return paths.select("path").mapInPandas(_sniff, DIALECT_SCHEMA)
 
 
+# Quotes are doubled inside quoted text, and spaces belong to the text.
+CSV_TEXT = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def read_csv_files(
-    spark: SparkSession, paths: str | Sequence[str], encoding: str, sep: str, schema=None
+    spark: SparkSession, paths: str | Sequence[str], encoding: str, sep: str, schema=None, multi_line: bool = False
 ) -> DataFrame:
-    """One splittable read of files that share a dialect."""
+    """One read of files that share a dialect; files whose quoted records span lines are not split."""
     if encoding != "utf-8":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    reader = spark.read.option("header", "true").option("sep", sep).option("encoding", JAVA_CHARSETS[encoding])
+    reader = spark.read.options(**CSV_TEXT, sep=sep, encoding=JAVA_CHARSETS[encoding], multiLine=str(multi_line).lower())
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
     return reader.csv(paths if isinstance(paths, str) else list(paths))
 
@@ -85,13 +118,17 @@ def scan_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """CSV of any supported dialect. Files of one dialect are read together, dialects are united by name."""
     # Hidden files are not data, and a file that is only a header adds no rows.
     dialects = sniff_csv_dialects(list_files(spark, path).where("path NOT LIKE '%/\\_%' AND path NOT LIKE '%/.%'"))
-    groups = dialects.where("has_rows").groupBy("encoding", "sep").agg(F.collect_list("path").alias("paths")).collect()
-    bad = [g for g in groups if g["encoding"] is None]
-    if bad or not groups:
-        raise SourceError(f"no encoding and delimiter fits {bad[0]['paths'][:3] if bad else path}")
+    groups: dict[tuple, list[str]] = {}
+    for r in dialects.where("has_rows").toLocalIterator():  # one path at a time; the reader needs the list itself
+        if r["encoding"] is None:
+            raise SourceError(f"no encoding and delimiter fits {r['path']}")
+        groups.setdefault((r["encoding"], r["sep"], r["multi_line"]), []).append(r["path"])
+    if not groups:
+        raise SourceError(f"no rows in {path}")
     if len(groups) == 1:
-        return read_csv_files(spark, path, groups[0]["encoding"], groups[0]["sep"], schema)
-    parts = [read_csv_files(spark, g["paths"], g["encoding"], g["sep"], schema) for g in groups]
+        ((encoding, sep, multi),) = groups
+        return read_csv_files(spark, path, encoding, sep, schema, multi)
+    parts = [read_csv_files(spark, paths, e, sep, schema, multi) for (e, sep, multi), paths in sorted(groups.items())]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -124,9 +161,11 @@ def method_slug(name: str) -> str:
 def write_results(flagged: DataFrame, base: str, method: str, format: str = "parquet") -> tuple[str, str]:
     """Write ``<base>_<method>_population`` and ``<base>_<method>_sample``; returns both paths."""
     population, sample = (f"{base}_{method_slug(method)}_{part}" for part in ("population", "sample"))
-    options = {"header": "true"} if format == "csv" else {}
-    flagged.write.mode("errorifexists").options(**options).format(format).save(population)
-    # The sample is filtered from what was written, so the selection is computed once.
-    written = flagged.sparkSession.read.schema(flagged.schema).options(**options).format(format).load(population)
-    written.where("is_sample = 1").write.mode("errorifexists").options(**options).format(format).save(sample)
+    options = CSV_TEXT if format == "csv" else {}
+    # The selection is computed once; both tables come from the stored rows, never from a text file.
+    rows = stored(flagged, "results") if format != "parquet" else flagged
+    rows.write.mode("errorifexists").options(**options).format(format).save(population)
+    if format == "parquet":
+        rows = flagged.sparkSession.read.schema(flagged.schema).parquet(population)
+    rows.where("is_sample = 1").write.mode("errorifexists").options(**options).format(format).save(sample)
     return population, sample

@@ -118,3 +118,31 @@ def test_results_are_written_once(spark, tmp_path):
     population, sample = write_results(flagged, f"{tmp_path}/base", "Monetary Unit Sampling", "csv")
     assert population.endswith("base_monetary_unit_sampling_population") and method_slug("K-Means Clustering") == "k-means_clustering"
     assert load(spark, sample, "csv").count() == 1
+
+
+def test_quotes_and_line_breaks_survive(spark, tmp_path):
+    (tmp_path / "t.csv").write_bytes(b'a,b\n"say ""hi"" now",1\n"two\nlines",2\n"x, ""y"", z", 3\n'.replace(b" 3", b"3"))
+    got = {r["b"]: r["a"] for r in scan_csv(spark, str(tmp_path)).collect()}
+    assert got == {1: 'say "hi" now', 2: "two\nlines", 3: 'x, "y", z'}
+
+
+def test_encoding_is_decided_by_the_whole_file(spark, tmp_path):
+    body = b"name,n\n" + b"plain,1\n" * 20_000 + "Київ,2\n".encode("cp1251")
+    (tmp_path / "t.csv").write_bytes(body)
+    got = scan_csv(spark, str(tmp_path))
+    assert got.count() == 20_001 and got.where("n = 2").first()["name"] == "Київ"
+
+
+def test_long_header_among_dialects(spark, tmp_path):
+    wide = [f"a_rather_long_column_name_{i}" for i in range(4_000)]
+    (tmp_path / "a.csv").write_text(";".join(wide) + "\n" + ";".join("1" * 4_000) + "\n")
+    (tmp_path / "b.csv").write_text("p,q\n1,2\n")
+    (tmp_path / "c.csv").write_text("only|header\n")
+    got = scan_csv(spark, str(tmp_path))
+    assert got.count() == 2 and got.where(f"{wide[-1]} = 1").count() == 1
+
+
+def test_csv_results_keep_every_row(spark, tmp_path):
+    rows = [(1, "one\nline, \"break\"", 1), (2, " plain ", 1), (3, None, 1), (4, "", 0)]
+    _, sample = write_results(spark.createDataFrame(rows, "id int, t string, is_sample int"), f"{tmp_path}/base", "M", "csv")
+    assert sorted(tuple(r) for r in scan_csv(spark, sample, "id int, t string, is_sample int").collect()) == rows[:3]
