@@ -263,7 +263,7 @@ ORACLES: dict[str, str] = {
                           f"SELECT o_orderstatus AS s, allocated AS n FROM ({half_even_allocation(KEPT, 'o_orderstatus', 301)}) WHERE allocated > 0")
     + is_picked("orders", "o_orderkey", "o_orderkey, o_orderstatus"),
     "mark_sample_orders": "SELECT o_orderkey, CAST(o_totalprice >= 400000 AS INTEGER) AS is_sample FROM orders",
-    "semi_mark": "SELECT c_custkey, 1 AS is_sample FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
+    "semi_mark": "SELECT c_custkey, CAST(c_custkey IN (SELECT o_custkey FROM orders) AS INTEGER) AS is_sample FROM customer",
     "method_summary_orders": f"""SELECT 'Monetary Unit Sampling' AS method, count(*) AS population_size, 200 AS sample_size,
         CAST(200 AS BIGINT) AS selected, CAST(sum({minor('o_totalprice')}) AS BIGINT) AS total_minor, 50000.0::DOUBLE AS threshold,
         count(*) FILTER (o_totalprice >= 50000) AS filtered_size, NULL::VARCHAR AS strata, 9 AS seed, '2024-01-01' AS created FROM orders""",
@@ -291,8 +291,8 @@ ORACLES: dict[str, str] = {
     "top_n_by_score_lowest": "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal, c_custkey) <= 100 AS INTEGER) AS is_sample FROM customer",
     "global_nlargest": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 25",
     "sorted_output": "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal, s_suppkey",
-    "concat_strata": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice >= 450000 AND o_orderstatus IN ('F', 'O', 'P')",
-    "distinct_hits": "SELECT DISTINCT o_orderkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_extendedprice >= 80000",
+    "concat_strata": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')",
+    "distinct_hits": "SELECT DISTINCT o_orderkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     "anomaly_and_cluster_count": f"SELECT CAST(count(*) FILTER (distance_to_centroid > 0.3) AS BIGINT) AS anomaly_count, CAST(max(cluster) + 1 AS INTEGER) AS cluster_count FROM {PLACED}",
     "share_left_join": """SELECT p.p_brand AS stratum, round(coalesce(s.c, 0) * 100.0::DOUBLE / (SELECT count(*) FROM part WHERE p_size = 1), 6) AS sample_percent
         FROM (SELECT DISTINCT p_brand FROM part) p LEFT JOIN (SELECT p_brand, count(*) AS c FROM part WHERE p_size = 1 GROUP BY p_brand) s USING (p_brand)""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import csv
 import io
+import json
 import os
 import re
 import sys
@@ -17,6 +18,7 @@ import pandas as pd
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..cluster import stored
 from ..errors import SourceError
@@ -133,12 +135,38 @@ def scan_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def scan_json(spark: SparkSession, path: str, multi_line: bool | None = None, schema=None) -> DataFrame:
-    """JSON lines, or one array document per file (``multi_line``; detected when not given)."""
+    """JSON lines, or one document per file: an array of rows, or an object whose keys are columns.
+
+    ``multi_line`` is detected when not given: a file is one document if it starts with an array or its first
+    line is no complete object. A document ``{column: {row: value}}`` becomes a row per row label.
+    """
     if multi_line is None:
         first = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''").first()
-        multi_line = first is not None and first["v"].startswith("[")
+        multi_line = first is not None and not _whole_object(first["v"])
     reader = spark.read.option("multiLine", str(multi_line).lower())
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    rows = (reader.schema(schema) if schema is not None else reader).json(path)
+    kinds = [f.dataType for f in rows.schema]
+    if schema is None and kinds and all(isinstance(k, T.StructType) for k in kinds) and _columns_first(rows, path):
+        labels = list(dict.fromkeys(n for k in kinds for n in k.names))
+        picked = [
+            F.struct(*[(F.col(f"`{f.name}`.`{n}`") if n in f.dataType.names else F.lit(None)).alias(f.name) for f in rows.schema])
+            for n in labels
+        ]
+        return rows.select(F.inline(F.array(*picked)))
+    return rows
+
+
+def _whole_object(line: str) -> bool:
+    try:
+        return isinstance(json.loads(line), dict)
+    except ValueError:
+        return False
+
+
+def _columns_first(rows: DataFrame, path: str) -> bool:
+    """One object whose members are objects keyed by row labels, as tables are written by column."""
+    labels = {n for f in rows.schema for n in f.dataType.names}
+    return bool(labels) and all(n.isdigit() for n in labels) and len(rows.limit(2).collect()) == 1
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -69,6 +69,21 @@ def padded(values: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(values).astype(f"S{width}").tobytes()
 
 
+def same_columns(frame: pd.DataFrame, schema: T.StructType, path: str) -> None:
+    """Refuse a file whose columns are not those of the first one: nothing is dropped or filled in."""
+    if list(frame.columns) != schema.names:
+        odd = sorted(set(frame.columns) ^ set(schema.names)) or list(frame.columns)
+        raise SourceError(f"{path}: columns differ from the first file's: {odd}")
+
+
+def whole(converted: pd.Series, given: pd.Series, path: str) -> pd.Series:
+    """``converted``, unless a value was lost in conversion."""
+    lost = converted.isna() & given.notna() & (given.astype(str).str.strip() != "")
+    if lost.any():
+        raise SourceError(f"{path}: {given[lost].iloc[0]!r} in {given.name} does not fit the first file's type; give a schema")
+    return converted
+
+
 def dbf_frame(content: bytes, encoding: str | None = None) -> pd.DataFrame:
     """Live records of one file, decoded column by column from fixed-width bytes."""
     encoding = encoding or CODE_PAGES.get(content[29], "cp1252")
@@ -87,7 +102,8 @@ def dbf_frame(content: bytes, encoding: str | None = None) -> pd.DataFrame:
         if kind == "I":
             out[name] = pd.Series(np.frombuffer(padded(records[f"f{i}"], 4), "<i4")).astype("Int32")
         elif kind in "NF":
-            number = pd.to_numeric(text.replace("", None), errors="coerce")
+            # Unfilled fields hold spaces, overflown ones asterisks.
+            number = whole(pd.to_numeric(text.replace("", None), errors="coerce"), text.mask(text.str.fullmatch(r"\*+")), name)
             out[name] = number.astype("Int64" if dbf_type(kind, size, decimals) == T.LongType() else "float64")
         elif kind == "L":
             out[name] = text.map(lambda v: True if v in tuple("YyTt") else False if v in tuple("NnFf") else None)
@@ -114,10 +130,12 @@ def scan_dbf(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                yield dbf_frame(bytes(content), encoding)[schema.names]
+            for path, content in zip(batch["path"], batch["content"]):
+                frame = dbf_frame(bytes(content), encoding)
+                same_columns(frame, schema, path)
+                yield frame
 
-    return files.select("content").mapInPandas(decode, schema)
+    return files.select("path", "content").mapInPandas(decode, schema)
 
 
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -225,15 +243,16 @@ def scan_xlsx(spark: SparkSession, path: str, schema: T.StructType | None = None
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
+            for path, content in zip(batch["path"], batch["content"]):
                 frame = xlsx_frame(bytes(content))
+                same_columns(frame, schema, path)
                 for field in schema.fields:
                     if isinstance(field.dataType, T.StringType):
                         frame[field.name] = frame[field.name].map(as_text)
                     elif isinstance(field.dataType, T.TimestampNTZType):
-                        frame[field.name] = pd.to_datetime(frame[field.name], errors="coerce")
+                        frame[field.name] = whole(pd.to_datetime(frame[field.name], errors="coerce"), frame[field.name], path)
                     elif isinstance(field.dataType, T.DoubleType):
-                        frame[field.name] = pd.to_numeric(frame[field.name], errors="coerce")
-                yield frame[schema.names]
+                        frame[field.name] = whole(pd.to_numeric(frame[field.name], errors="coerce"), frame[field.name], path)
+                yield frame
 
-    return files.select("content").mapInPandas(decode, schema)
+    return files.select("path", "content").mapInPandas(decode, schema)

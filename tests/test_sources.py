@@ -146,3 +146,18 @@ def test_csv_results_keep_every_row(spark, tmp_path):
     rows = [(1, "one\nline, \"break\"", 1), (2, " plain ", 1), (3, None, 1), (4, "", 0)]
     _, sample = write_results(spark.createDataFrame(rows, "id int, t string, is_sample int"), f"{tmp_path}/base", "M", "csv")
     assert sorted(tuple(r) for r in scan_csv(spark, sample, "id int, t string, is_sample int").collect()) == rows[:3]
+
+
+def test_json_documents(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"a": {"0": 1, "1": 2}, "b": {"0": "x", "1": null}}')
+    (tmp_path / "p.json").write_text(json.dumps({"a": 1, "b": "x"}, indent=2))
+    assert sorted(tuple(r) for r in load(spark, str(tmp_path / "c.json")).collect()) == [(1, "x"), (2, None)]
+    assert tuple(load(spark, str(tmp_path / "p.json")).first()) == (1, "x")
+
+
+def test_record_files_that_do_not_fit_are_refused(spark, tmp_path, orders):
+    table = orders.select("o_orderkey", "o_orderstatus").limit(20)
+    dbf_files(table, "o_orderstatus", f"{tmp_path}/d.dbf")
+    dbf_files(orders.select("o_custkey", "o_orderstatus").limit(20), "o_orderstatus", f"{tmp_path}/d.dbf/more")
+    with pytest.raises(Exception, match="columns differ"):
+        load(spark, f"{tmp_path}/d.dbf").collect()
