@@ -28,8 +28,9 @@ SLOPE = 0.2
 BATCH, EPOCHS = 64, 10
 STEP, BETA1, BETA2, EPSILON = 1e-3, 0.9, 0.999, 1e-8
 
-ROWS_PER_WORKER = 250_000
-MAX_WORKERS = 1_000
+# Models trained side by side and averaged after every round. The number shapes the result, so it is an
+# argument with a fixed default and never follows the table's size; raise it for tables of many millions.
+WORKERS = 8
 
 
 def layer_shapes(dims: int) -> list[tuple[int, ...]]:
@@ -107,7 +108,7 @@ def _train(batches, flat: np.ndarray, dims: int, seed: int, output: str):
 
 def fit_autoencoder(
     df: DataFrame, vector: str, key: Sequence[str], seed: int, epochs: int = EPOCHS,
-    output: str = "sigmoid", workers: int | None = None, rows: int | None = None,
+    output: str = "sigmoid", workers: int = WORKERS, rows: int | None = None,
 ) -> np.ndarray:
     """Flat weights after ``epochs`` rounds. Rows are placed by key hash and sorted, so a seed repeats a run."""
     require_columns(df, vector, *key)
@@ -115,8 +116,6 @@ def fit_autoencoder(
     rows = df.count() if rows is None else rows
     if not rows:
         raise SampleSizeError("no rows to train on")
-    if workers is None:
-        workers = min(MAX_WORKERS, max(8, -(-rows // ROWS_PER_WORKER)))
     placed = df.select(vector, *key, F.pmod(F.xxhash64(*key), F.lit(workers)).cast("int").alias("worker"))
     parts = placed.repartition(workers, "worker").sortWithinPartitions("worker", F.xxhash64(*key), *key)
     parts = parts.select(vector).persist()
@@ -163,7 +162,7 @@ def reconstruction_error(df: DataFrame, vector: str, weights: np.ndarray, output
 
 def autoencoder_sample(
     df: DataFrame, vector: str, sample_size: int, key: Sequence[str], seed: int | None = None,
-    epochs: int = EPOCHS, output: str = "sigmoid", workers: int | None = None,
+    epochs: int = EPOCHS, output: str = "sigmoid", workers: int = WORKERS,
 ) -> DataFrame:
     """Add ``anomaly_score`` and ``is_sample`` for the n largest reconstruction errors."""
     require_size(sample_size)

@@ -19,9 +19,6 @@ from .vectors import matrix
 
 TREES = 100
 TREE_ROWS = 256
-# Rows the trees draw from. A uniform draw from a uniform draw is uniform, so every
-# tree still sees a simple random sample of the population.
-POOL_ROWS = 25_600
 SCORE_ROWS = 2_048
 EULER = 0.5772156649015329
 
@@ -63,16 +60,24 @@ def fit_forest(
     if not rows:
         raise SampleSizeError("no rows to fit")
     narrow = df.select(vector, *key)
-    if rows > POOL_ROWS:
-        narrow = smallest_hashes(narrow, POOL_ROWS, key, seed, "forest", rows).where("is_sample = 1")
-    pool = spark.sparkContext.broadcast(matrix(narrow.orderBy(*key).select(vector).toArrow().column(0)))
     size = min(TREE_ROWS, rows)
+    # The trees' samples come out of one uniform draw of trees * size rows, shuffled and dealt out: each is a
+    # simple random sample of the population and none shares a row. A population below that is drawn from
+    # anew by every tree.
+    dealt = rows > trees * size
+    if dealt:
+        narrow = smallest_hashes(narrow, trees * size, key, seed, "forest", rows).where("is_sample = 1")
+    pool = spark.sparkContext.broadcast(matrix(narrow.orderBy(*key).select(vector).toArrow().column(0)))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for tree in batch["id"]:
                 rng = np.random.default_rng([seed, int(tree)])
-                chosen = rng.choice(len(pool.value), size=size, replace=False)
+                if dealt:
+                    order = np.random.default_rng(seed).permutation(len(pool.value))
+                    chosen = order[tree * size : (tree + 1) * size]
+                else:
+                    chosen = rng.choice(len(pool.value), size=size, replace=False)
                 grown = grow_tree(pool.value[chosen], rng)
                 out = pd.DataFrame(grown, columns=["node", "feature", "threshold", "path"])
                 out.insert(0, "tree", int(tree))

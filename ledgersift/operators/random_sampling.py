@@ -41,6 +41,12 @@ def systematic_start(seed: int, interval: int, spark) -> int:
     return min(int(draw * interval), interval - 1)
 
 
+def systematic_step(df: DataFrame, sample_size: int, seed: int) -> tuple[int, int]:
+    """(interval, start) of a systematic sample with whole intervals."""
+    step = df.count() // sample_size
+    return step, systematic_start(seed, step, df.sparkSession)
+
+
 def systematic_sample(
     df: DataFrame,
     sample_size: int,

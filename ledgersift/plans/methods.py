@@ -15,11 +15,11 @@ from ..functions import seed_draw
 from ..operators.autoencoder import autoencoder_sample
 from ..operators.clustering import kmeans_sample
 from ..operators.density import density_cluster_sample
-from ..operators.features import FeaturePlan, fit_features
+from ..operators.features import SKEW_THRESHOLD, FeaturePlan, fit_features
 from ..operators.isolation import isolation_forest_sample
 from ..operators.monetary import mus_sample
 from ..operators.outlier_factor import lof_sample
-from ..operators.random_sampling import random_sample, systematic_sample
+from ..operators.random_sampling import fraction_subsample, random_sample, systematic_sample, systematic_step
 from ..operators.ranking import with_row_key
 from ..operators.stratified import stratified_sample
 from ..operators.summaries import method_summary, sampling_report, strata_comparison
@@ -39,6 +39,7 @@ class MethodResult:
     comparison: DataFrame | None = None
     features: FeaturePlan | None = None
     warning: str = ""
+    settings: dict[str, object] = field(default_factory=dict)
 
     @property
     def sample(self) -> DataFrame:
@@ -48,6 +49,16 @@ class MethodResult:
         """``section, item, value`` rows describing preparation and selection."""
         row = self.summary.first().asDict()
         sections = {"method": [(k, v) for k, v in row.items() if v is not None]}
+        if "is_anomaly" in self.population.columns:
+            sections["method"].append(("anomalies", self.population.agg(F.sum("is_anomaly")).first()[0]))
+        sections["settings"] = list(self.settings.items())
+        if self.comparison is not None:  # one row per stratum, a small table
+            names = self.comparison.columns
+            sections["strata"] = [
+                (str(r[names[0]]), ", ".join(f"{n} {r[n]:.3f}" for n in names[1:])) for r in self.comparison.collect()
+            ]
+        if self.trials is not None:
+            sections["trials"] = [(str(r["trial"]), r["value"]) for r in self.trials.select("trial", "value").collect()]
         if self.features is not None:
             sections = {"preparation": self.features.describe(), **sections}
         if self.warning:
@@ -110,9 +121,15 @@ def run_method(
     created: str | None = None,
     max_rows: int | None = None,
     nulls: str = "error",
+    sample_fraction: float = 1.0,
+    skew_threshold: float = SKEW_THRESHOLD,
     **params,
 ) -> MethodResult:
-    """Validate, prepare features where the method needs them, select, and describe the selection."""
+    """Validate, prepare features where the method needs them, select, and describe the selection.
+
+    ``sample_fraction`` below 1 prepares, and selects from, a uniform part of the rows; ``skew_threshold`` sends
+    numeric features above it through the logarithm. Both apply to methods that use features.
+    """
     chosen = find_method(method)
     require_size(sample_size)
     missing = [p for p in chosen.needs if not params.get(p)]
@@ -131,7 +148,8 @@ def run_method(
     if "seed" in known:
         params["seed"] = seed
     if chosen.uses_features:
-        df, plan = fit_features(df, numerical, categorical, nulls=nulls)
+        df = fraction_subsample(df, sample_fraction, key, seed)
+        df, plan = fit_features(df, numerical, categorical, skew_threshold, nulls)
         found = chosen.call(df.withColumn(VECTOR, plan.vector()), VECTOR, sample_size, key, **params)
         found = found if isinstance(found, tuple) else (found,)
         flagged = found[0].drop(VECTOR)
@@ -147,4 +165,11 @@ def run_method(
     comparison = None
     if len(strata) == 1:
         comparison = strata_comparison(flagged, strata[0], params.get("threshold"), params.get("value"))
-    return MethodResult(chosen.name, flagged, summary, seed, trials, comparison, plan, warning)
+    settings = {
+        name: params.get(name, p.default)
+        for name, p in known.items()
+        if name not in ("df", "vector", "sample_size", "key", "seed") and (name in params or p.default is not p.empty)
+    }
+    if chosen.number == 2 and settings["interval"] == "integer":
+        settings["step"], settings["start"] = systematic_step(df, sample_size, seed)
+    return MethodResult(chosen.name, flagged, summary, seed, trials, comparison, plan, warning, settings)

@@ -360,3 +360,19 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(SharedFolderError):
         shared_dir(Session(), "x")
+
+
+def test_run_method_options_and_report(spark):
+    from ledgersift.plans import run_method
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    found = run_method(orders, 5, 20, ["o_orderkey"], ["o_totalprice"], ["o_orderpriority"], seed=3, sample_fraction=0.5, skew_threshold=0.0)
+    assert found.population.count() == round(orders.count() * 0.5) and found.sample.count() == 20
+    report = {(r["section"], r["item"]): r["value"] for r in found.report().collect()}
+    assert ("method", "anomalies") in report and report["settings", "trees"] == "100"
+    assert any("log" in str(v) for (section, _), v in report.items() if section == "preparation")
+    found = run_method(orders, 2, 30, ["o_orderkey"], seed=3, order_by=["o_orderdate"])
+    report = {(r["section"], r["item"]): r["value"] for r in found.report().collect()}
+    assert report["settings", "step"] == str(orders.count() // 30)
+    found = run_method(orders, 3, 30, ["o_orderkey"], seed=3, strata=["o_orderpriority"])
+    assert sum(r["section"] == "strata" for r in found.report().collect()) == 5
