@@ -276,6 +276,8 @@ ORACLES: dict[str, str] = {
     "mean_std": f"SELECT {stats(NUMBERS, [('mean', 'avg({c})'), ('sd', 'stddev_pop({c})')], 6)} FROM lineitem",
     "distinct_levels": "SELECT DISTINCT 'p_brand' AS name, p_brand AS level FROM part UNION ALL SELECT DISTINCT 'p_type', p_type FROM part",
     "one_hot": "SELECT o_orderkey, " + ", ".join(f"CAST(o_orderstatus = '{v}' AS INTEGER) AS \"o_orderstatus_{v}\"" for v in "FOP") + " FROM orders",
+    "sparse_one_hot_customers": """SELECT o_orderkey, CAST((SELECT count(DISTINCT o_custkey) FROM orders) AS INTEGER) AS levels,
+        CAST(dense_rank() OVER (ORDER BY o_custkey::VARCHAR) - 1 AS INTEGER) AS place FROM orders""",
     "skew_route": f"SELECT 'value' AS name, abs({SKEW}) > 0.75 AS log_route FROM (SELECT value AS x FROM events) UNION ALL SELECT 'user_id', abs({SKEW}) > 0.75 FROM (SELECT user_id::DOUBLE AS x FROM events)",
     "log1p_positive": "SELECT c_custkey, round(CASE WHEN c_acctbal > 0 THEN ln(1 + c_acctbal) ELSE c_acctbal END, 6) AS logged FROM customer",
     "minmax_scale": "SELECT event_id, round((value - lo) / (hi - lo), 6) AS scaled FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events)",

@@ -448,6 +448,15 @@ def one_hot(spark, sf):
     return orders.select("o_orderkey", *prep.one_hot("o_orderstatus", levels))
 
 
+@query
+def sparse_one_hot_customers(spark, sf):
+    """More levels than columns could hold: place of the one, and the vector's length."""
+    hot = prep.sparse_one_hot(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "hot")
+    shape = r"\((\d+),\[(\d+)\]"
+    size, place = (F.regexp_extract(F.col("hot").cast("string"), shape, i).cast("int") for i in (1, 2))
+    return hot.select("o_orderkey", size.alias("levels"), place.alias("place"))
+
+
 @query
 def skew_route(spark, sf):
     _, plan = prep.fit_features(table(spark, sf, "events"), ["value", "user_id"], [])

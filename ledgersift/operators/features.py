@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,19 +41,31 @@ def drop_null_labels(df: DataFrame, *labels: str) -> DataFrame:
 
 
 def distinct_levels(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
-    """Sorted distinct non-null values per categorical column, one pass for all of them.
-
-    Refuses a column with more than ``max_levels`` values before collecting any of them.
-    """
+    """Sorted distinct non-null values per categorical column; a column with more than ``max_levels`` is refused."""
     if not columns:
         return {}
     require_columns(df, *columns)
-    sizes = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
-    wide = [c for c in columns if sizes[c] > max_levels * 1.1]
-    if wide:
-        raise ColumnError(f"more than {max_levels} distinct values in {wide}")
-    row = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
-    return {c: list(row[c]) for c in columns}
+    levels = {}
+    for c in columns:
+        found = df.select(c).where(F.col(c).isNotNull()).distinct().limit(max_levels + 1).sort(c).collect()
+        if len(found) > max_levels:
+            raise ColumnError(f"more than {max_levels} distinct values in {c}; sparse_one_hot takes any number")
+        levels[c] = [r[0] for r in found]
+    return levels
+
+
+def sparse_one_hot(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Add ``name``: a sparse vector with a one at the row's level (levels in ascending order), for any number of levels.
+
+    Null gives a vector of zeros. The levels are gathered once by the indexer.
+    """
+    require_columns(df, column)
+    text = df.withColumn("__text", F.col(column).cast("string"))
+    indexer = StringIndexer(inputCol="__text", outputCol="__index", stringOrderType="alphabetAsc", handleInvalid="keep")
+    placed = indexer.fit(text.where(F.col("__text").isNotNull())).transform(text)
+    # Unknown and null share the last index, which the encoder drops.
+    encoder = OneHotEncoder(inputCol="__index", outputCol=name, dropLast=True)
+    return encoder.fit(placed).transform(placed).drop("__text", "__index")
 
 
 def skewness(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
@@ -175,4 +188,9 @@ def fit_features(
         else:
             standard_route[c] = (row[f"mean{i}"], row[f"sd{i}"])
     levels = distinct_levels(df, categorical, max_levels)
-    return df, FeaturePlan(log_route, standard_route, tuple(numerical), levels, medians)
+    plan = FeaturePlan(log_route, standard_route, tuple(numerical), levels, medians)
+    lower = [n.lower() for n in plan.names]  # column names do not tell cases apart
+    twice = sorted({n for n in plan.names if lower.count(n.lower()) > 1})
+    if twice:
+        raise ColumnError(f"two features would be named {twice}; rename a column")
+    return df, plan

@@ -376,3 +376,20 @@ def test_run_method_options_and_report(spark):
     assert report["settings", "step"] == str(orders.count() // 30)
     found = run_method(orders, 3, 30, ["o_orderkey"], seed=3, strata=["o_orderpriority"])
     assert sum(r["section"] == "strata" for r in found.report().collect()) == 5
+
+
+def test_level_limit_is_exact_and_names_do_not_collide(spark):
+    import pytest
+
+    from ledgersift.errors import ColumnError
+    from ledgersift.operators.features import distinct_levels, fit_features, sparse_one_hot
+
+    df = spark.range(1_001).selectExpr("CAST(id AS string) AS c", "IF(id < 1000, id, 0) AS d")
+    with pytest.raises(ColumnError):
+        distinct_levels(df, ["c"])
+    assert len(distinct_levels(df, ["d"])["d"]) == 1_000
+    hot = sparse_one_hot(spark.createDataFrame([("b",), ("a",), (None,)], "c string"), "c", "v").collect()
+    assert [tuple(r["v"].toArray()) for r in hot] == [(0.0, 1.0), (1.0, 0.0), (0.0, 0.0)]
+    rows = spark.createDataFrame([("b_c", "x"), ("y", "c")], "a string, a_b string")
+    with pytest.raises(ColumnError):
+        fit_features(rows, [], ["a", "a_b"])
