@@ -28,6 +28,7 @@ SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
 LIMIT = 64  # pairs are listed up to this many fingerprints under a key; fuller keys are filed finer
+SENT_KEYS = 1_000_000  # keys (16 bytes each) up to which a broadcast replaces a shuffle of all keys
 HALF = 32
 LOW = 0xFFFFFFFF
 
@@ -95,8 +96,11 @@ def fingerprint_links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
         "shared-keys",
     )
     two = shared.where("n = 2").select("x", "y")
-    lists = keys.join(shared.where((F.col("n") > 2) & (F.col("n") <= limit)).select("key"), "key")
-    lists = lists.groupBy("key").agg(F.collect_list("fp").alias("fps"))  # limit at most
+    fuller = shared.where("n > 2").select("key", "n")
+    # A counted number of keys is sent to the fingerprints; more keys meet them in a shuffle.
+    fuller = F.broadcast(fuller) if fuller.count() <= SENT_KEYS else fuller
+    members = keys.join(fuller, "key")
+    lists = members.where(F.col("n") <= limit).groupBy("key").agg(F.collect_list("fp").alias("fps"))  # limit at most
     # Under a wildcarded key only pairs that differ in the removed bit are new.
     number = F.shiftright("key", HALF)
     pairs = lists.select("fps", number.cast("int").alias("i")).select(
@@ -112,7 +116,7 @@ def fingerprint_links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
             )
         ).alias("p")
     ).select("p.x", "p.y")
-    full = keys.join(shared.where(F.col("n") > limit).select("key"), "key")
+    full = members.where(F.col("n") > limit).select("fp", "key")
     return two.unionAll(pairs).where(_close(F.col("x"), F.col("y"))).unionAll(_finer(full))
 
 
