@@ -2,7 +2,7 @@
 
 Runs of digits are variable fields. A line's place in the tree is its token count and its ``DEPTH`` leading
 tokens; the whole line is kept as up to ``BANDS`` hashes of consecutive token ranges. Within a leaf the most
-frequent line is the template, and a line that agrees with it in at least ``AGREE`` of the bands belongs to
+frequent line (of equally frequent ones the first) is the template, and a line that agrees with it in at least ``AGREE`` of the bands belongs to
 it: the bands that differ are its variable fields. What is left forms one more template per round; after
 ``ROUNDS`` rounds a line stands for itself. A template that at least ``MIN_DOCS`` documents hold recurs: its
 first line, by doc_id and place, stays and all others are dropped.
@@ -58,14 +58,15 @@ def parse_lines(docs: DataFrame) -> DataFrame:
 def _templates(lines: DataFrame, rounds: int) -> DataFrame:
     """(leaf, b0.., template, rows): the template of every distinct line."""
     distinct = stored(
-        lines.groupBy("n", "leaf", *B).agg(F.count(F.lit(1)).alias("rows")).withColumn("own", F.xxhash64("n", "leaf", *B)), "lines"
+        lines.groupBy("n", "leaf", *B).agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(*PLACE)).alias("first"))
+        .withColumn("own", F.xxhash64("n", "leaf", *B)), "lines"
     )
     # Only leaves with several distinct lines have anything to merge.
     left = distinct.withColumn("template", F.lit(None).cast("long"))
     for _ in range(rounds):
         open_rows = left.where("template IS NULL")
         best = open_rows.groupBy("leaf").agg(
-            F.count(F.lit(1)).alias("lines"), F.max(F.struct("rows", "own", *B)).alias("top")
+            F.count(F.lit(1)).alias("lines"), F.min(F.struct(-F.col("rows"), "first", "own", *B)).alias("top")
         ).where("lines > 1").select(F.col("leaf").alias("__leaf"), "top")
         same = sum((F.when(F.col(b) == F.col(f"top.{b}"), 1).otherwise(0) for b in B), F.lit(0))
         left = left.join(best, F.col("leaf") == F.col("__leaf"), "left").withColumn(
@@ -132,3 +133,38 @@ def line_dedup(spark, sf_dir: str) -> DataFrame:
         F.array_join(F.col("__dropped").cast("array<string>"), ",").alias("dropped_lines"),
         F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"),
     )
+
+
+def _sql() -> str:
+    """The same on token lists instead of hashes; doc_id is unique in ``documents``."""
+    bands = ", ".join(f"list_slice(t, (len(t) * {k}) // {BANDS} + 1, (len(t) * {k + 1}) // {BANDS}) AS {B[k]}" for k in range(BANDS))
+    names = ", ".join(B)
+    steps, known = [], "d0"
+    for r in range(ROUNDS):
+        same = " + ".join(f"CAST(d.{b} = m.{b} AS INTEGER)" for b in B)
+        steps.append(f"""
+m{r} AS (SELECT * FROM (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY n, leaf) AS lines
+  FROM {known} WHERE template IS NULL WINDOW w AS (PARTITION BY n, leaf ORDER BY n_rows DESC, first)) WHERE place = 1 AND lines > 1),
+d{r + 1} AS (SELECT d.* REPLACE (coalesce(d.template, CASE WHEN {same} >= {AGREE * BANDS} THEN m.line END) AS template)
+  FROM {known} d LEFT JOIN m{r} m ON d.n = m.n AND d.leaf = m.leaf)""")
+        known = f"d{r + 1}"
+    return f"""
+WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+numbered AS (SELECT doc_id, unnest(ls) AS raw_line, generate_subscripts(ls, 1) - 1 AS line_no FROM raw),
+parsed AS (SELECT doc_id, line_no, list_filter(string_split_regex(regexp_replace(raw_line, '[0-9]+', '<*>', 'g'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS t
+  FROM numbered),
+cut AS (SELECT doc_id, line_no, t AS line, len(t) AS n, list_slice(t, 1, {DEPTH}) AS leaf, {bands} FROM parsed WHERE len(t) >= {MIN_TOKENS}),
+d0 AS (SELECT line, n, leaf, {names}, count(*) AS n_rows, min((doc_id, line_no)) AS first, CAST(NULL AS VARCHAR[]) AS template
+  FROM cut GROUP BY line, n, leaf, {names}),{','.join(steps)},
+hits AS (SELECT doc_id, line_no, coalesce(template, line) AS template FROM cut JOIN {known} USING (line)),
+kept AS (SELECT template, count(DISTINCT doc_id) AS docs, min((doc_id, line_no)) AS first FROM hits GROUP BY template),
+dropped AS (SELECT doc_id, list(DISTINCT line_no ORDER BY line_no) AS gone FROM hits JOIN kept USING (template)
+  WHERE docs >= {MIN_DOCS} AND (doc_id, line_no) <> first GROUP BY doc_id),
+texts AS (SELECT doc_id, len(ls) AS n_lines, coalesce(gone, []) AS gone,
+  array_to_string(list_filter(ls, lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), chr(10)) AS kept FROM raw LEFT JOIN dropped USING (doc_id))
+SELECT doc_id, n_lines, CAST(len(gone) AS BIGINT) AS n_dropped, array_to_string(gone, ',') AS dropped_lines,
+  length(kept) AS kept_chars, md5(kept) AS kept_md5 FROM texts
+"""
+
+
+LINE_SQL = _sql()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .chat_format import CHAT_SQL, chat_digest
 from .embedding_graph import embedding_dedup
-from .line_dedup import line_dedup
+from .line_dedup import LINE_SQL, line_dedup
 from .piece_tokens import piece_tokens
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
@@ -28,4 +28,5 @@ QUERIES = {
 ORACLES = {
     "op5_url_filters": URL_SQL,
     "op9_chat_format": CHAT_SQL,
+    "op10_line_dedup": LINE_SQL,
 }
