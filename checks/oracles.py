@@ -304,6 +304,9 @@ ORACLES: dict[str, str] = {
     "lof_sample_vectors": lof(VECTORS, "vec_id", 20, VECTOR_DISTANCE, 5, 20, False, False),
     "calinski_harabasz_vectors": CALINSKI,
     "silhouette_vectors": SILHOUETTE,
+    "silhouette_mean_vectors": "SELECT round(avg(m), 6) AS silhouette FROM (" + " UNION ALL ".join(
+        f"SELECT avg(silhouette) AS m FROM ({SILHOUETTE.replace('silhouette0', f'silhouette{i}').replace(', 6) AS silhouette', ', 12) AS silhouette')})"
+        + (" WHERE (SELECT count(*) FROM embeddings) >= 1000" if i else "") for i in range(3)) + ") WHERE m IS NOT NULL",
     "silhouette_squared_vectors": f"SELECT round(avg(silhouette), 6) AS silhouette FROM ({SILHOUETTE_SQUARED})",
     "sniff_csv_dialect": "SELECT kind, 'utf-8' AS encoding, sep, 5 AS n_cols, 4::BIGINT AS files FROM (VALUES ('comma', ','), ('semicolon', ';'), ('tab', chr(9)), ('pipe', '|')) AS t(kind, sep)",
     "pca_reconstruction_parts": f"""SELECT p_partkey, round(e, 6) AS anomaly_score,
@@ -338,3 +341,6 @@ ORACLES: dict[str, str] = {
     "prepare_features": EVENT_FEATURES,
     "resolve_features": RESOLVED,
 }
+
+for _same, _as in (("run_method_systematic", "systematic_sample_events"), ("run_method_mus", "mus_sample_orders")):
+    ORACLES[_same] = ORACLES[_as]

@@ -23,7 +23,7 @@ from ledgersift.operators.monetary import mus_picked, mus_sample, threshold_filt
 from ledgersift.operators.neighbours import distinct_points, knn_join
 from ledgersift.operators.order_statistics import top_n_by_score
 from ledgersift.operators.outlier_factor import lof_sample
-from ledgersift.operators.quality import silhouette_rows, silhouette_sizes, silhouette_squared, subsample
+from ledgersift.operators.quality import silhouette, silhouette_rows, silhouette_sizes, silhouette_squared, subsample
 from ledgersift.operators.random_sampling import (
     fraction_subsample, mark_sample, random_sample, systematic_sample,
 )
@@ -636,6 +636,13 @@ def silhouette_vectors(spark, sf):
     return scores.select("vec_id", r6(F.col("silhouette")).alias("silhouette"))
 
 
+@query
+def silhouette_mean_vectors(spark, sf):
+    """The score itself: mean over all subsamples."""
+    found = silhouette(vectors(spark, sf), "features", ["vec_id"], 42, "label")
+    return spark.createDataFrame([(round(found, 6),)], "silhouette double")
+
+
 @query
 def silhouette_squared_vectors(spark, sf):
     value = silhouette_squared(vectors(spark, sf), "features", "label")
@@ -730,6 +737,36 @@ def run_method_isolation_forest(spark, sf):
     return found.population.select("event_id", "anomaly_score", "is_sample")
 
 
+@query
+def run_method_systematic(spark, sf):
+    found = run_method(table(spark, sf, "events"), "Systematic Sampling", 300, ["event_id"], seed=42, order_by=["ts"])
+    return found.population.select("event_id", "is_sample")
+
+
+@query
+def run_method_mus(spark, sf):
+    found = run_method(table(spark, sf, "orders"), 4, 500, ["o_orderkey"], seed=42, value="o_totalprice")
+    return found.population.select("o_orderkey", "is_sample")
+
+
+@query
+def run_method_lof(spark, sf):
+    found = run_method(table(spark, sf, "part"), 6, 20, ["p_partkey"], ["p_size", "p_retailprice"], seed=42)
+    return found.population.select("p_partkey", r6(F.col("anomaly_score")).alias("anomaly_score"), "is_sample")
+
+
+@query
+def run_method_kmeans(spark, sf):
+    found = run_method(table(spark, sf, "customer"), 7, 50, ["c_custkey"], ["c_acctbal"], ["c_mktsegment"], seed=42)
+    return found.population.select("c_custkey", "cluster", "is_sample")
+
+
+@query
+def run_method_autoencoder(spark, sf):
+    found = run_method(table(spark, sf, "orders"), 8, 50, ["o_orderkey"], ["o_totalprice"], ["o_orderpriority"], seed=42)
+    return found.population.select("o_orderkey", "anomaly_score", "is_sample")
+
+
 # Summary tables -----------------------------------------------------------------------------------------
 
 
