@@ -260,19 +260,12 @@ def _searched(members: DataFrame, visits: DataFrame, beam: int, bound: float) ->
         weight = np.where(table["home"].to_numpy(), table["copies"].to_numpy(), 0)
         counts = np.bincount(hq, weights=weight[hx], minlength=len(asked)).astype(np.int64)
         child, root = _forest(asked_names[hq], names[hx])
-        own = asked["cells"].map(set).to_list()
+        # Cells of hits that the query is not dealt to; hits are grouped by their cells, of which there are few sets.
+        own = asked["cells"].map(frozenset).to_list()
+        kinds, kind_of = np.unique([" ".join(sorted(v)) for v in table["cells"]], return_inverse=True)
         more = set()
-        cells = table["cells"].to_list()
-        lone = [{c for c in v} for v in cells]
-        groups: dict[frozenset, list[int]] = {}
-        for i, v in enumerate(lone):
-            groups.setdefault(frozenset(v), []).append(i)
-        kind_of = np.zeros(len(names), np.int64)
-        kinds = list(groups)
-        for k, g in enumerate(kinds):
-            kind_of[groups[g]] = k
         for q, k in np.unique(np.stack([hq, kind_of[hx]], 1), axis=0).tolist() if len(hq) else []:
-            more |= {(int(asked_names[q]), c) for c in kinds[k] - own[q]}
+            more |= {(int(asked_names[q]), c) for c in kinds[k].split(" ") if c not in own[q]}
         out = [
             pd.DataFrame({"kind": 0, "a": asked_names, "b": counts, "cell": ""}),
             pd.DataFrame({"kind": 1, "a": child, "b": root, "cell": ""}),

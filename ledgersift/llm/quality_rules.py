@@ -63,8 +63,6 @@ CONSISTENT_975 = 0.975 / chi2_cdf(chi2_quantile(0.975, D), D + 2)
 
 def _repeat_words(ws: Column) -> Column:
     """Words inside windows of five that occur twice or more in the text. Windows are told apart by a 64-bit hash."""
-    one = F.lit(1).cast("long")
-
     def covered(at):
         # Sorted starts of repeated windows: each adds up to five words not covered by the next.
         gaps = F.transform(at, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - p, F.lit(WINDOW))))
@@ -90,7 +88,7 @@ def _repeat_words(ws: Column) -> Column:
         hashes,
         lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0).cast("long")).otherwise(repeated(hs)),
     )
-    return F.when(F.size(ws) > WINDOW, counted).otherwise(one - one)
+    return F.when(F.size(ws) > WINDOW, counted).otherwise(F.lit(0).cast("long"))
 
 
 def text_stats(text: Column) -> Column:
@@ -214,10 +212,6 @@ def _levels(stats: DataFrame) -> DataFrame:
     return stats.withColumn("g", F.explode(groups)).select("*", "g.*").drop("g")
 
 
-def _same_group(a: DataFrame, b: DataFrame) -> Column:
-    return (a["level"] == b["level"]) & a["g_lang"].eqNullSafe(b["g_lang"]) & a["g_source"].eqNullSafe(b["g_source"])
-
-
 def fit_groups(stats: DataFrame) -> DataFrame:
     """Centre and scatter per group with at least ``MIN_ROWS`` rows, from stats rows (lang, source, x0..)."""
     rows = _levels(stats.select("lang", "source", *X))
@@ -241,9 +235,10 @@ def fit_groups(stats: DataFrame) -> DataFrame:
 
 
 def _near(rows: DataFrame, params: DataFrame) -> DataFrame:
-    joined = rows.join(params.withColumnsRenamed({g: f"p_{g}" for g in GROUP}), 
-                       (F.col("level") == F.col("p_level")) & F.col("g_lang").eqNullSafe(F.col("p_g_lang"))
-                       & F.col("g_source").eqNullSafe(F.col("p_g_source")))
+    """rows with the estimate of their group, and d2: the squared distance from it."""
+    same = (F.col("level") == F.col("p_level")) & F.col("g_lang").eqNullSafe(F.col("p_g_lang"))
+    same = same & F.col("g_source").eqNullSafe(F.col("p_g_source"))
+    joined = rows.join(params.withColumnsRenamed({g: f"p_{g}" for g in GROUP}), same)
     return joined.withColumn("d2", _distance())
 
 
