@@ -8,6 +8,7 @@ scanning is one pass without join or shuffle. Everything is DataFrame expression
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,7 @@ ALPHABET = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/
 LIMIT = len(ALPHABET)  # index of a string's start
 MIN_RANDOM = 16  # shorter strings hold too little evidence
 CANDIDATE = f"[A-Za-z0-9+/_=-]{{{MIN_RANDOM},}}"
-SAMPLE_ROWS = 20_000  # documents (smallest hashes of doc_id) that give labelled strings; bounds the training only
+SAMPLE_ROWS = 20_000  # about so many documents (by hash) give labelled strings; bounds the training only
 THRESHOLD = 14.0  # natural log: about a million to one
 
 
@@ -76,11 +77,15 @@ def _symbols(s: Column) -> Column:
 def labelled_strings(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(s, random) for training: ordinary identifiers out of texts, random strings out of hashes of ids.
 
-    ``sample_rows`` documents are taken, those with the smallest hashes. Ordinary: their words made of ASCII
-    letters, digits and joining signs, and compounds of neighbouring words as identifiers have them; words
-    inside base spans do not count. Random: hexadecimal, base 64 and upper-case alphanumeric digests.
+    About ``sample_rows`` documents are taken, by a hash of id and text below a bound, so no text is moved to
+    choose them. Ordinary: their words made of ASCII letters, digits and joining signs, and compounds of
+    neighbouring words as identifiers have them; words inside base spans do not count. Random: hexadecimal,
+    base 64 and upper-case alphanumeric digests.
     """
-    chosen = docs.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.coalesce("text", F.lit("")).alias("text")).orderBy("h").limit(sample_rows)
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    share = sample_rows / max(docs.count(), sample_rows, 1)
+    draw = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    chosen = hashed.where(draw < share).dropDuplicates(["h"])
     clean = F.regexp_replace(F.regexp_replace(F.col("text"), ASSIGN, " "), f"AKIA[A-Z0-9]+|[0-9a-f]{{{MIN_HEX},}}", " ")
     plain = F.filter(words(F.regexp_replace(clean, "[.,;:!?]+", " ")), lambda w: F.regexp_like(w, F.lit("^[A-Za-z0-9+/_=-]{2,40}$")))
     signs = ["", "_", "-", "/"]
@@ -117,8 +122,6 @@ def train_weights(labelled: DataFrame) -> list[float]:
         ).alias("p"),
     ).where("p.a >= 0 AND p.b >= 0")
     counts = {(r["random"], r["a"], r["b"]): r["n"] for r in pairs.groupBy("random", "p.a", "p.b").agg(F.count("*").alias("n")).collect()}
-    import math
-
     table = []
     for a in range(LIMIT + 1):
         totals = {k: sum(counts.get((k, a, b), 0) + 1 for b in range(LIMIT)) for k in (True, False)}
