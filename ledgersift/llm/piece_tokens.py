@@ -57,7 +57,8 @@ class Encoder:
         self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == NORMAL}
         self.score = {p: s for p, s, kind in pieces if kind == NORMAL}
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
+        self.raw = [byte_of.get(i, p.encode("utf-8")) for i, p in enumerate(self.text)]
         self.unknown = len(pieces)  # stands for any character that no piece holds
         self.longest = max(map(len, self.ids))
         chars = sorted({c for p in self.ids for c in p})
@@ -229,14 +230,7 @@ class Encoder:
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces as UTF-8, marks as spaces, without the space put in front."""
-        out = bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                out.append(b)
-            else:
-                out += self.text[i].encode("utf-8", "surrogatepass")
-        return out.decode("utf-8", "replace").replace(MARK, " ")[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -284,7 +278,7 @@ def decode_documents(tokens: DataFrame, model: str = MODEL, *carried: str) -> Da
 
 
 def token_digest(docs: DataFrame, model: str = MODEL, *carried: str) -> DataFrame:
-    """Per row: carried columns, n_tokens, ids_md5 (of the ids, comma-joined), and round_trip: decoding gives the
+    """Per row: carried columns, n_tokens, ids_md5 (of the ids as 32-bit little-endian numbers), and round_trip: decoding gives the
     text again, with its own space marks read as spaces."""
     pieces = docs.sparkSession.sparkContext.broadcast(load_model(model))
 
@@ -296,9 +290,8 @@ def token_digest(docs: DataFrame, model: str = MODEL, *carried: str) -> DataFram
             for i in range(0, len(texts), TEXTS):
                 part = [t or "" for t in texts.iloc[i : i + TEXTS]]
                 for t, x in zip(part, encoder.encode(part)):
-                    listed = x.tolist()
-                    key = hashlib.md5(",".join(map(str, listed)).encode()).hexdigest()
-                    rows.append((len(listed), key, encoder.decode(listed) == t.replace(MARK, " ")))
+                    key = hashlib.md5(x.astype("<i4").tobytes()).hexdigest()
+                    rows.append((len(x), key, encoder.decode(x.tolist()) == t.replace(MARK, " ")))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_md5", "round_trip"])
 
     return docs.select(*[F.col(f"`{c}`") for c in carried], digest("text").alias("d")).select(
