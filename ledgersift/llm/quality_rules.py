@@ -280,7 +280,9 @@ def judge(rows: DataFrame, groups: DataFrame, tail: float = TAIL) -> DataFrame:
 
 def statistics(docs: DataFrame, *carried: str) -> DataFrame:
     """Carried columns, lang, source, the counts, base_failed and x0.. of every row of ``docs``."""
-    rows = docs.select(*carried, "lang", "source", text_stats(F.col("text")).alias("__stats"))
+    # Exploding one struct keeps later filters above the counts, which would else be computed for each of them again.
+    once = F.explode(F.array(text_stats(F.col("text"))))
+    rows = docs.select(*carried, "lang", "source", once.alias("__stats"))
     s = F.col("__stats")
     return rows.select(
         *carried, "lang", "source", *[s[n].alias(n) for n in STATS], base_failed(s).alias("base_failed"),
@@ -304,7 +306,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they are."""
     names = docs.columns
     renamed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), "text", "lang", "source")
-    fitted = stored(statistics(docs).where(~F.col("base_failed")).drop(*STATS, "base_failed"), "quality-stats")
+    fitted = stored(statistics(docs).drop(*STATS), "quality-stats").where(~F.col("base_failed"))
     kept = judge(statistics(renamed, "__row"), fit_groups(fitted)).where("kept")
     return kept.select(*[F.col("__row")[c].alias(c) for c in names])
 
