@@ -124,7 +124,12 @@ def fingerprint_groups(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(fp, root, component_id) for every distinct fp of ``rows`` (doc_id, fp): a fingerprint that stands for the
     group, and the smallest doc_id reachable by links."""
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
-    roots = components(fingerprint_links(distinct.select("fp"), limit)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    return grouped_by(components(fingerprint_links(distinct.select("fp"), limit)), distinct)
+
+
+def grouped_by(found: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(fp, root, component_id) for every row of ``distinct`` (fp, first), from components (a, b)."""
+    roots = found.select(F.col("a").alias("fp"), F.col("b").alias("root"))
     rooted = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rooted.join(least, "root").select("fp", "root", "component_id")
@@ -153,11 +158,16 @@ def drop_near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     Of rows that repeat that id one stays. A group without any id keeps one of its rows.
     """
     rows, groups = _grouped(docs, limit)
+    return first_rows(docs, rows, groups, fingerprints(F.col("text")))
+
+
+def first_rows(docs: DataFrame, rows: DataFrame, groups: DataFrame, own: Column) -> DataFrame:
+    """One row of ``docs`` per group; ``own`` is the fp of a row."""
     groups = stored(groups, "groups")
     chosen = rows.join(groups, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     named = docs.join(chosen, docs["doc_id"] == chosen["__id"]).drop("__id").dropDuplicates(["doc_id"])
     unnamed = groups.where("component_id IS NULL").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
-    rest = docs.where("doc_id IS NULL").withColumn("__own", fingerprints(F.col("text")))
+    rest = docs.where("doc_id IS NULL").withColumn("__own", own)
     rest = rest.join(unnamed, F.col("__own") == F.col("__fp")).dropDuplicates(["__root"]).drop("__own", "__fp", "__root")
     return named.unionByName(rest)
 
