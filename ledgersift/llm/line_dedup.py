@@ -1,11 +1,16 @@
 """Line dedup by a fixed-depth template tree (after Drain, He et al. 2017), in DataFrame expressions.
 
 Runs of digits are variable fields. A line's place in the tree is its token count and its ``DEPTH`` leading
-tokens; the whole line is kept as up to ``BANDS`` hashes of consecutive token ranges. Within a leaf the most
-frequent line (of equally frequent ones the first) is the template, and a line that agrees with it in at least ``AGREE`` of the bands belongs to
-it: the bands that differ are its variable fields. What is left forms one more template per round; after
-``ROUNDS`` rounds a line stands for itself. A template that at least ``MIN_DOCS`` documents hold recurs: its
-first line, by doc_id and place, stays and all others are dropped.
+tokens; the whole line is kept as up to ``BANDS`` hashes of consecutive token ranges. Within a leaf lines come
+in order of frequency (of equally frequent ones the first comes first): a line that agrees with an earlier
+template in at least ``AGREE`` of the bands belongs to the earliest such template, and the bands that differ
+are its variable fields; any other line is a template itself. A leaf has as many templates as that gives. A
+template that at least ``MIN_DOCS`` documents hold recurs: its first line, by doc_id and place, stays and all
+others are dropped.
+
+Lines that agree meet by equality: under a key made of all bands but those that may differ. In one round all
+open lines that come first under each of their keys become templates and close every line they meet, which
+gives what taking the lines one by one gives (the first maximal independent set, Blelloch et al. 2012).
 
 Only hashes are shuffled to find templates; counts are combined before each shuffle, so a line found in a
 third of all documents is a few rows per task. Texts move once, to the documents' dropped line numbers.
@@ -13,6 +18,9 @@ third of all documents is a few rows per task. Texts move once, to the documents
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +31,7 @@ from .expressions import SPACE, let
 DEPTH = 4
 BANDS = 8
 AGREE = 0.75
-ROUNDS = 2
+ROUNDS = 2  # templates per leaf that the SQL counterpart generalises; the operator has no such bound
 MIN_DOCS = 3
 MIN_TOKENS = 4  # shorter lines coincide by chance and are never templates
 
@@ -55,32 +63,53 @@ def parse_lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", "line_no", "l.*").where(F.col("n") >= MIN_TOKENS)
 
 
-def _templates(lines: DataFrame, rounds: int) -> DataFrame:
+def _agreeing(lines: DataFrame) -> DataFrame:
+    """(own, rank, key): lines that agree in enough bands share a key; keys of one line are left out."""
+    gone = BANDS - math.ceil(AGREE * BANDS)
+    # Of gone + 1 groups of bands one agrees as a whole, so a line alone in all its groups agrees with none.
+    groups = [F.xxhash64("leaf", F.lit(g), *B[g :: gone + 1]) for g in range(gone + 1)]
+    few = lines.select("own", F.explode(F.array(*groups)).alias("group"))
+    met = few.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    some = few.join(met, "group").select("own").distinct()
+    kept = [[b for k, b in enumerate(B) if k not in out] for out in itertools.combinations(range(BANDS), gone)]
+    keys = F.array(*[F.xxhash64("leaf", F.lit(i), *bands) for i, bands in enumerate(kept)])
+    rank = F.struct((-F.col("rows")).alias("rows"), "first", "own").alias("rank")
+    spread = stored(lines.join(some, "own").select("own", rank, F.explode(keys).alias("key")), "line-keys")
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return stored(spread.join(shared, "key").select("own", "rank", "key"), "shared-line-keys")
+
+
+def _templates(lines: DataFrame) -> DataFrame:
     """(leaf, b0.., template, rows): the template of every distinct line."""
     distinct = stored(
         lines.groupBy("n", "leaf", *B).agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(*PLACE)).alias("first"))
         .withColumn("own", F.xxhash64("n", "leaf", *B)), "lines"
     )
     # Only leaves with several distinct lines have anything to merge.
-    left = distinct.withColumn("template", F.lit(None).cast("long"))
-    for _ in range(rounds):
-        open_rows = left.where("template IS NULL")
-        best = open_rows.groupBy("leaf").agg(
-            F.count(F.lit(1)).alias("lines"), F.min(F.struct(-F.col("rows"), "first", "own", *B)).alias("top")
-        ).where("lines > 1").select(F.col("leaf").alias("__leaf"), "top")
-        same = sum((F.when(F.col(b) == F.col(f"top.{b}"), 1).otherwise(0) for b in B), F.lit(0))
-        left = left.join(best, F.col("leaf") == F.col("__leaf"), "left").withColumn(
-            "template",
-            F.coalesce("template", F.when(same >= AGREE * BANDS, F.col("top.own"))),
-        ).select(*distinct.columns, "template")
-        left = stored(left, "templates")
-    return left.select("leaf", *B, F.coalesce("template", "own").alias("template"), "rows")
-
-
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, rounds: int = ROUNDS) -> DataFrame:
+    several = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
+    keys = _agreeing(distinct.join(several, "leaf"))
+    left, leaders = keys, None
+    while not left.isEmpty():
+        least = stored(left.groupBy("key").agg(F.min("rank").alias("least")), "least")
+        judged = left.join(least, "key").groupBy("own").agg(F.bool_and(F.col("own") == F.col("least.own")).alias("leads"))
+        new = stored(judged.where("leads").select("own"), "leaders")
+        leaders = new if leaders is None else leaders.unionAll(new)
+        taken = least.select("key", F.col("least.own").alias("own")).join(new, "own").select("key")
+        closed = left.join(taken, "key").select("own").distinct()
+        left = stored(left.join(closed, "own", "left_anti"), "open-lines")
+    if leaders is None:
+        return distinct.select("leaf", *B, F.col("own").alias("template"), "rows")
+    led = keys.join(leaders, "own").groupBy("key").agg(F.min("rank").alias("top"))
+    found = keys.join(led, "key").groupBy("own").agg(F.min("top").alias("top"))
+    found = found.select("own", F.col("top.own").alias("template"))
+    joined = distinct.join(found, "own", "left")
+    return stored(joined.select("leaf", *B, F.coalesce("template", "own").alias("template"), "rows"), "templates")
+
+
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, text_hash, dropped): sorted line numbers, for documents that lose lines."""
     lines = stored(parse_lines(docs), "parsed-lines")
-    members = _templates(lines, rounds)
+    members = _templates(lines)
     often = members.groupBy("template").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= min_docs)
     recurring = stored(members.join(often.select("template"), "template").select("leaf", *B, "template"), "recurring")
     hits = stored(lines.join(recurring, ["leaf", *B]).select(*PLACE, "template"), "hits")
@@ -104,7 +133,7 @@ def _without(lines: Column, dropped: Column) -> Column:
     return let(dropped, between)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, rounds: int = ROUNDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows of ``docs`` with recurring lines cut out of ``text``, plus __n_lines and __dropped (line numbers).
 
     Every row stays, with an empty text if all its lines go; a null text stays null. Rows that agree in doc_id
@@ -113,7 +142,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, rounds: int = ROUNDS)
     empty result.
     """
     names = docs.columns
-    dropped = dropped_lines(docs.select("doc_id", "text"), min_docs, rounds)
+    dropped = dropped_lines(docs.select("doc_id", "text"), min_docs)
     dropped = dropped.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("dropped").alias("__dropped"))
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64("text").alias("__th"))
     met = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
@@ -136,7 +165,7 @@ def line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same on token lists instead of hashes; doc_id is unique in ``documents``."""
+    """The same on token lists instead of hashes, for up to ``ROUNDS`` templates per leaf; doc_id is unique in ``documents``."""
     bands = ", ".join(f"list_slice(t, (len(t) * {k}) // {BANDS} + 1, (len(t) * {k + 1}) // {BANDS}) AS {B[k]}" for k in range(BANDS))
     names = ", ".join(B)
     steps, known = [], "d0"
