@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .chat_format import CHAT_SQL, chat_digest
+from .conversation_trie import TRIE_SQL, conversation_trie
 from .embedding_graph import embedding_dedup
+from .hard_negatives import NEGATIVE_SQL, mined_negatives
 from .line_dedup import LINE_SQL, line_dedup
 from .piece_tokens import piece_tokens
 from .quality_rules import quality_rules
@@ -24,9 +26,13 @@ QUERIES = {
     "op8_toxicity": toxicity,
     "op9_chat_format": chat_digest,
     "op10_line_dedup": line_dedup,
+    "op12_conversation_trie": conversation_trie,
+    "op13_hard_negatives": mined_negatives,
 }
 ORACLES = {
     "op5_url_filters": URL_SQL,
     "op9_chat_format": CHAT_SQL,
     "op10_line_dedup": LINE_SQL,
+    "op12_conversation_trie": TRIE_SQL,
+    "op13_hard_negatives": NEGATIVE_SQL,
 }
