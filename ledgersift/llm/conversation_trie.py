@@ -234,7 +234,8 @@ def prefix_trie(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
         numbers, before, through = held.value
         return pa.Table.from_batches(list(shard_nodes(table, numbers[table["shard"][0].as_py()], before, through)))
 
-    nodes = stored(shards.groupBy("shard").applyInArrow(nodes_of, NODE), "trie-nodes")
+    # A given number of partitions is not coalesced: the rows are few bytes, but sorting them is work.
+    nodes = stored(shards.repartition(parts, "shard").groupBy("shard").applyInArrow(nodes_of, NODE), "trie-nodes")
     cut = nodes.where("origin IS NOT NULL")
     pieces = cut.where("ends IS NOT NULL").select("depth", "origin", "shard", "ends")
     pieces = pieces.repartition("depth", "origin").sortWithinPartitions("depth", "origin", "shard")

@@ -6,6 +6,7 @@ from .chat_format import CHAT_SQL, chat_digest
 from .conversation_trie import TRIE_SQL, conversation_trie
 from .embedding_graph import embedding_dedup
 from .hard_negatives import NEGATIVE_SQL, mined_negatives
+from .interpolated_lm import lm_scores
 from .line_dedup import LINE_SQL, line_dedup
 from .piece_tokens import piece_tokens
 from .quality_rules import quality_rules
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": toxicity,
     "op9_chat_format": chat_digest,
     "op10_line_dedup": line_dedup,
+    "op11_lm_scores": lm_scores,
     "op12_conversation_trie": conversation_trie,
     "op13_hard_negatives": mined_negatives,
 }
