@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -29,8 +30,8 @@ from ledgersift.cluster import stored
 ORDER = 2
 FOLDS = 10
 HELD_OUT, DELETED, COUNTED = 0, 1, 2  # kinds of slices: fold 0, fold 1, the others
-SLICE_BYTES = 6 << 20  # text of a slice; a longer text is a slice by itself
-BUCKET_TOKENS = 3 << 20  # tokens by which the number of key buckets follows the corpus
+SLICE_BYTES = 3 << 20  # text of a slice; a longer text is a slice by itself
+BUCKET_TOKENS = 1 << 20  # tokens by which the number of key buckets follows the corpus
 SEED = 42
 END = b" "  # no word; closes every text, and stands before its first word
 FREQUENCIES = 64  # context buckets of an order: by powers of two
@@ -68,8 +69,7 @@ def _slices(id_type: pa.DataType):
             kinds = batch.column("kind").to_numpy()
             ids = batch.column("doc_id")
             texts = batch.column("text").cast(pa.binary())
-            sizes = texts.fill_null(b"").cast(pa.large_binary())
-            sizes = np.diff(np.frombuffer(sizes.buffers()[1], np.int64, len(sizes) + 1, 8 * sizes.offset)) if len(sizes) else np.zeros(0)
+            sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for kind in np.unique(kinds):
                 at = np.flatnonzero(kinds == kind)
                 part = np.cumsum(sizes[at]) // SLICE_BYTES
@@ -143,7 +143,7 @@ def _asked(order: int, bits: int):
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 words, codes, lens = _held(row)
                 out = []
                 for n, (keys, place) in enumerate(grams(words, codes, lens, order)):
