@@ -129,19 +129,25 @@ PLACED = """
 PART_POINTS = "SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice AS y, {'x': p_size::DOUBLE, 'y': p_retailprice} AS v FROM part"
 PART_DISTANCE = "sqrt((x.x - y.x) * (x.x - y.x) + (x.y - y.y) * (x.y - y.y))"
 
-KNN_PARTS = f"""
-    WITH d AS (SELECT v, any_value(x) AS x, any_value(y) AS y, min(p_partkey) AS pid, count(*) AS w
-               FROM ({PART_POINTS}) GROUP BY v),
+
+def knn(points: str, key: str, held: str, distance: str, k: int) -> str:
+    """The k nearest rows of every distinct point, over all pairs."""
+    return f"""
+    WITH d AS (SELECT v{held}, min({key}) AS pid, count(*) AS w FROM ({points}) GROUP BY v),
     pairs AS (
-      SELECT x.pid AS a, y.pid AS b, {PART_DISTANCE} AS dist, y.w FROM d x JOIN d y ON x.pid <> y.pid
+      SELECT x.pid AS a, y.pid AS b, {distance} AS dist, y.w FROM d x JOIN d y ON x.pid <> y.pid
       UNION ALL SELECT pid, pid, 0.0, w - 1 FROM d WHERE w > 1)
-    SELECT a, b, round(dist, 6) AS dist, CAST(least(w, 5 - prior) AS BIGINT) AS take
+    SELECT a, b, round(dist, 6) AS dist, CAST(least(w, {k} - prior) AS BIGINT) AS take
     FROM (SELECT *, coalesce(sum(w) OVER (PARTITION BY a ORDER BY dist, b
                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM pairs)
-    WHERE prior < 5"""
+    WHERE prior < {k}"""
+
+
+KNN_PARTS = knn(PART_POINTS, "p_partkey", ", any_value(x) AS x, any_value(y) AS y", PART_DISTANCE, 5)
 
 VECTOR_DISTANCE = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - y.v[i]) * (x.v[i] - y.v[i]))))"
 VECTORS = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
+KNN_VECTORS = knn(VECTORS, "vec_id", "", VECTOR_DISTANCE, 5)
 
 SILHOUETTE = f"""
     WITH size AS (SELECT count(*) AS c FROM embeddings),
@@ -300,6 +306,9 @@ ORACLES: dict[str, str] = {
         FROM (SELECT DISTINCT p_brand FROM part) p LEFT JOIN (SELECT p_brand, count(*) AS c FROM part WHERE p_size = 1 GROUP BY p_brand) s USING (p_brand)""",
     "knn_join_parts": KNN_PARTS,
     "knn_join_blocks": KNN_PARTS,
+    "knn_join_vector_blocks": KNN_VECTORS,
+    "approximate_knn_vectors": KNN_VECTORS,
+    "lof_vector_blocks": lof(VECTORS, "vec_id", 20, VECTOR_DISTANCE, 5, 20, False, False),
     "lof_sample_parts": lof(PART_POINTS, "p_partkey", 20, PART_DISTANCE, 6, 20, True),
     "lof_sample_vectors": lof(VECTORS, "vec_id", 20, VECTOR_DISTANCE, 5, 20, False, False),
     "calinski_harabasz_vectors": CALINSKI,

@@ -13,14 +13,14 @@ from ledgersift.operators import features as prep
 from ledgersift.operators.autoencoder import autoencoder_sample, pca_reconstruction_sample, projection_2d
 from ledgersift.operators.clustering import (
     calinski_harabasz, cluster_distance_std, kmeans_sample, nearest_centroid, quota_sample, relative_distance,
-    tune_kmeans,
 )
 from ledgersift.operators.density import (
     DensitySettings, density_cluster_sample, density_clusters, noise_sample, tune_density,
 )
 from ledgersift.operators.isolation import isolation_forest_sample
+from ledgersift.operators.kmeans_search import kmeans_search
 from ledgersift.operators.monetary import mus_picked, mus_sample, threshold_filter
-from ledgersift.operators.neighbours import distinct_points, knn_join
+from ledgersift.operators.neighbours import approximate_knn_search, distinct_points, knn_join
 from ledgersift.operators.order_statistics import top_n_by_score
 from ledgersift.operators.outlier_factor import lof_sample
 from ledgersift.operators.quality import silhouette, silhouette_rows, silhouette_sizes, silhouette_squared, subsample
@@ -608,6 +608,27 @@ def knn_join_blocks(spark, sf):
     return near.select("a", "b", r6(F.col("dist")).alias("dist"), "take")
 
 
+@query
+def knn_join_vector_blocks(spark, sf):
+    """Wide vectors through pivot cells and rounds of visits."""
+    near = knn_join(distinct_points(vectors(spark, sf), "features", "vec_id"), 5, broadcast_points=0, block_rows=64)
+    return near.select("a", "b", r6(F.col("dist")).alias("dist"), "take")
+
+
+@query
+def approximate_knn_vectors(spark, sf):
+    """Neighbours by random-projection tables; exact as long as one cell holds all vectors."""
+    near = approximate_knn_search(distinct_points(vectors(spark, sf), "features", "vec_id"), 5).pairs
+    return near.select("a", "b", r6(F.col("dist")).alias("dist"), "take")
+
+
+@query
+def lof_vector_blocks(spark, sf):
+    """Local outlier factors of wide vectors through the same blocks."""
+    flagged = lof_sample(vectors(spark, sf), "features", 20, "vec_id", broadcast_points=0, block_rows=64)
+    return flagged.select("vec_id", F.round("anomaly_score", 5).alias("anomaly_score"), "is_anomaly")
+
+
 @query
 def lof_sample_parts(spark, sf):
     flagged = lof_sample(part_points(spark, sf), "features", 20, "p_partkey")
@@ -671,7 +692,7 @@ def kmeans_sample_orders(spark, sf):
 
 @query
 def tune_kmeans_vectors(spark, sf):
-    return tune_kmeans(vectors(spark, sf), "features", ["vec_id"], 42).trials
+    return kmeans_search(vectors(spark, sf), "features", ["vec_id"], 42).trials
 
 
 @query

@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import bounded, require_columns, require_size, spread, stored
-from ..errors import SampleSizeError
+from ..cluster import bounded, require_size, spread, stored
 from ..functions import seed_draw
-from .order_statistics import smallest_hashes, top_n_by_score
-from .summaries import trial_table
+from .kmeans_search import kmeans_search
+from .order_statistics import top_n_by_score
 from .vectors import matrix, squared_distances
 
-TUNE_ROWS = 20_000
-K_RANGE = range(2, 21)
-FULL_ITERATIONS = 20
-
 
 def squared_distance(vector: Column, centre: Sequence[float]) -> Column:
     """Sum of squared differences to a fixed point, in codegen (no higher-order function)."""
@@ -144,85 +135,16 @@ def calinski_harabasz(df: DataFrame, vector: str, cluster: str, dims: int) -> Da
     return whole.select(F.col("k").alias("clusters"), F.col("n").alias("rows"), score.alias("calinski_harabasz"))
 
 
-@dataclass(frozen=True)
-class KMeansChoice:
-    rows: int
-    clusters: int
-    centres: list[list[float]]
-    trials: DataFrame
-
-
-def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, max_iter: int) -> tuple[np.ndarray, float]:
-    """Labels and within-cluster sum of squares of one k-means++ start on a bounded sample."""
-    centres = x[[rng.integers(len(x))]]
-    nearest = squared_distances(x, centres)[:, 0]
-    while len(centres) < k and nearest.sum() > 0:
-        chosen = x[[rng.choice(len(x), p=nearest / nearest.sum())]]
-        centres = np.vstack([centres, chosen])
-        nearest = np.minimum(nearest, squared_distances(x, chosen)[:, 0])
-    labels = np.full(len(x), -1)
-    for _ in range(max_iter):
-        moved = ((centres**2).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
-        if (moved == labels).all():
-            break
-        labels = moved
-        sizes = np.bincount(labels, minlength=len(centres))
-        sums = np.column_stack([np.bincount(labels, x[:, j], len(centres)) for j in range(x.shape[1])])
-        centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
-    return labels, float(((x - centres[labels]) ** 2).sum())
-
-
-def tune_kmeans(
-    df: DataFrame, vector: str, key: Sequence[str], seed: int, clusters: Sequence[int] = K_RANGE,
-    restarts: int = 3, max_iter: int = 50, tune_rows: int = TUNE_ROWS,
-) -> KMeansChoice:
-    """Best k by Calinski-Harabasz over trials on a bounded uniform sample; k-means is then fitted to all rows.
-
-    The sample is broadcast and every (k, restart) trial is one task.
-    """
-    require_columns(df, vector, *key)
-    spark = df.sparkSession
-    rows = df.count()
-    pool = df.select(vector, *key)
-    if rows > tune_rows:
-        pool = smallest_hashes(pool, tune_rows, key, seed, "tune", rows).where("is_sample = 1")
-    held = spark.sparkContext.broadcast(matrix(pool.orderBy(*key).select(vector).toArrow()[vector]))
-    grid = [(i, k, seed + r) for i, (k, r) in enumerate((k, r) for k in clusters if k < rows for r in range(restarts))]
-    if not grid:
-        raise SampleSizeError("too few rows to cluster")
-
-    def attempt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = held.value
-        total = float(((x - x.mean(axis=0)) ** 2).sum())
-        for batch in batches:
-            for trial, k, start in batch.itertuples(index=False):
-                labels, within = lloyd(x, int(k), np.random.default_rng([int(start), int(k)]), max_iter)
-                found = len(np.unique(labels))
-                score = None
-                if found > 1 and within > 0:
-                    score = ((total - within) / (found - 1)) / (within / (len(x) - found))
-                yield pd.DataFrame({"trial": [trial], "value": pd.Series([score], dtype="float64")})
-
-    tasks = spark.createDataFrame(grid, "trial int, k int, start int").repartition(len(grid), "trial")
-    scores = dict(tasks.mapInPandas(attempt, "trial int, value double").collect())
-    ranked = [(scores[t], -k, -t) for t, k, _ in grid if scores[t] is not None and np.isfinite(scores[t])]
-    best = grid[-max(ranked)[2]] if ranked else grid[0]
-    points = spread(df.select(array_to_vector(F.col(vector)).alias("__v")), rows)
-    model = KMeans(k=best[1], seed=best[2], maxIter=FULL_ITERATIONS, featuresCol="__v").fit(points)
-    trials = trial_table(
-        spark, [(t, {"n_clusters": float(k), "start": float(start)}, scores[t]) for t, k, start in grid]
-    )
-    centres = [[float(v) for v in c] for c in model.clusterCenters()]
-    return KMeansChoice(rows, len(centres), centres, trials)
-
-
 def kmeans_sample(
     df: DataFrame, vector: str, sample_size: int, key: Sequence[str], seed: int | None = None,
     anomalies_per_cluster: int | None = None, **tuning,
 ) -> tuple[DataFrame, DataFrame]:
-    """(flagged population, trials): rows farthest from their centre relative to the cluster's spread."""
+    """(flagged population, trials): rows farthest from their centre relative to the cluster's spread.
+
+    ``tuning`` goes to ``kmeans_search``: ranges of ``clusters``, ``n_init`` and ``max_iter``, and ``trials``.
+    """
     require_size(sample_size)
-    choice = tune_kmeans(df, vector, key, seed_draw() if seed is None else seed, **tuning)
+    choice = kmeans_search(df, vector, key, seed_draw() if seed is None else seed, **tuning)
     placed = stored(nearest_centroid(spread(df, choice.rows), vector, choice.centres), "clusters")
     flagged = quota_sample(
         relative_distance(placed), sample_size, key, anomalies_per_cluster, choice.clusters

@@ -1,16 +1,24 @@
-"""Exact k-nearest-neighbour join over distinct points.
-
-Equal vectors are collapsed to one weighted point first. Few distinct points are
-compared block by block against a broadcast copy. Many are cut into blocks: cells of
-sampled pivots, cells into rings of distance to their pivot, rings into hashed parts,
-so no block outgrows a task however dense a region is. A point visits only the blocks
-that the triangle inequality cannot exclude, given a bound on its k-th distance from
-its own block, and blocks that many points visit are split again by point.
+"""k-nearest-neighbour joins over distinct points: exact, and approximate with audited recall.
+
+Equal vectors are collapsed to one weighted point first. The exact join of few distinct points compares them block
+by block with a broadcast copy. Many are cut into blocks: cells of sampled pivots, cells into rings of distance to
+their pivot, rings into hashed parts, so no block outgrows a task however dense a region is. Points meet their own
+block first, which bounds their k-th distance, and then, in rounds, only those blocks that the triangle inequality
+and the plane between two pivots cannot exclude, nearest first: 4 blocks, then up to 16, 64 and so on. Every round
+tightens the bound, so most points stop early. What is kept of a visit is ids; a vector travels to a block when it
+is compared there. Blocks that many points visit are split again by point.
+
+The approximate join files points in several tables of random projections. A table cuts a few projections at their
+quantiles; a cell that is still too full is cut again along one more projection. A point asks its own cell and, as
+further probes, the cells across the boundaries nearest to it; candidates are compared exactly. Sampled points are
+answered exactly beside it, and tables are added until they find the wanted share of their neighbours; where that
+fails, the exact join answers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +26,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import bounded, require_columns, stored
+from ..errors import SamplingError
 from .vectors import matrix, slices, squared_distances
 
 BROADCAST_POINTS = 20_000
 BLOCK_ROWS = 2_048
 MAX_PIVOTS = 1_024
+MAX_BLOCKS = 200_000
+FIRST_VISITS = 4
+# Approximate join.
+CELL_ROWS = 2_048
+TABLES, MAX_TABLES = 4, 32
+PROBES = 2
+GRID = 4  # parts of a projection
+FITTED = 20_000  # points whose projections give the cuts
+PARTS = 256  # further parts of a cell that is too full
+AUDITED = 256
+RECALL = 0.9
 # Slack for rounding in distances compared with a bound.
 SLACK = 1 + 1e-9
 
@@ -88,8 +108,19 @@ def _broadcast_pairs(points: DataFrame, k: int) -> DataFrame:
     return numbered.mapInArrow(near, _pair_schema(points))
 
 
-def _placed(points: DataFrame, k: int, count: int, block_rows: int) -> tuple[DataFrame, np.ndarray, DataFrame]:
-    """Points with their block, the pivots, and the block directory."""
+@dataclass(frozen=True)
+class Blocks:
+    """Placed points (pid, v, w, cell, block), the pivots, and the directory of blocks, at most ``MAX_BLOCKS`` of them."""
+
+    points: DataFrame
+    centres: np.ndarray
+    names: np.ndarray
+    cell: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
+
+
+def _placed(points: DataFrame, k: int, count: int, block_rows: int) -> Blocks:
     pivots = min(MAX_PIVOTS, max(k + 2, count // block_rows))
     # Thinned by hash before the top-k, so no task or merge sees more than a few times the pivots.
     share = min(1.0, (4 * pivots + 100) / count)
@@ -117,64 +148,71 @@ def _placed(points: DataFrame, k: int, count: int, block_rows: int) -> tuple[Dat
     rings = ringed.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"))
     rings = bounded(rings.select("cell", "ring", F.ceil(F.col("n") / block_rows).alias("parts")))[0]
     block = F.concat_ws("-", "cell", "ring", F.pmod(F.xxhash64("pid"), F.col("parts")).cast("string"))
-    placed = ringed.join(rings, ["cell", "ring"]).withColumn("block", block).drop("ring", "parts")
-    directory = placed.groupBy("block", "cell").agg(F.min("pd").alias("near"), F.max("pd").alias("far"))
-    return placed, centres, directory
+    placed = stored(ringed.join(rings, ["cell", "ring"]).withColumn("block", block).drop("ring", "parts"), "knn-blocks")
+    directory = placed.groupBy("block", "cell").agg(F.min("pd").alias("near"), F.max("pd").alias("far")).orderBy("cell", "block")
+    table = directory.limit(MAX_BLOCKS + 1).toPandas()
+    if len(table) > MAX_BLOCKS:  # rings and parts are rounded up, so cells give a few more blocks than count / block_rows
+        raise SamplingError(f"more than {MAX_BLOCKS} blocks; raise block_rows")
+    return Blocks(placed.drop("pd"), centres, *(table[c].to_numpy() for c in ("block", "cell", "near", "far")))
 
 
-def _block_pairs(points: DataFrame, k: int, count: int, block_rows: int) -> DataFrame:
-    spark = points.sparkSession
-    kind = points.schema["pid"].dataType.simpleString()
-    # Larger blocks for more points keep the directory within a broadcast.
-    block_rows = max(block_rows, count // 50_000)
-    placed, centres, directory = _placed(points, k, count, block_rows)
-    held = spark.sparkContext.broadcast((centres, directory.toPandas()))
-
-    def own_bound(table: pa.Table) -> pa.Table:
-        """Distance within which a point certainly has k neighbours: from its own block, and the pivots."""
-        x, weights = matrix(table["v"]), table["w"].to_numpy()
-        bound = np.full(len(x), np.inf)
-        pivots = held.value[0]
-        for part in slices(len(x), max(len(x), len(pivots))):
-            d = np.sqrt(squared_distances(x[part], pivots))
-            if d.shape[1] > k:  # one of the pivots may be the point itself
-                bound[part] = np.partition(d, k)[:, k]
-            d = np.sqrt(squared_distances(x[part], x))
-            d[np.arange(d.shape[0]), np.arange(part.start, part.stop)] = np.inf
-            nearest = np.argsort(d, axis=1, kind="stable")
-            enough = np.cumsum(weights[nearest], axis=1) >= k
-            at = np.where(enough[:, -1], enough.argmax(axis=1), d.shape[1] - 1)
-            rows = np.arange(d.shape[0])
-            bound[part] = np.minimum(bound[part], np.where(enough[:, -1], d[rows, nearest[rows, at]], np.inf))
-        return table.select(["pid", "v"]).append_column("bound", pa.array(bound * SLACK))
-
-    bounds = placed.groupBy("block").applyInArrow(own_bound, f"pid {kind}, v array<double>, bound double")
+def blocks_to_visit(x, own_cell, bound, centres, cell, near, far, lo, hi):
+    """(row, block) of the blocks that hold places lo .. hi of each row's order by least possible distance.
+
+    Blocks farther than the bound have no place, so a tighter bound only cuts the order's end off. Blocks stand in
+    the order of their cells.
+    """
+    start = np.searchsorted(cell, np.arange(len(centres)))
+    held = np.searchsorted(cell, np.arange(len(centres)), side="right") - start
+    between = np.sqrt(squared_distances(centres, centres))
+    d = np.sqrt(squared_distances(x, centres))
+    own = d[np.arange(len(x)), own_cell][:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (d * d - own * own) / (2 * between[own_cell])
+    plane[~np.isfinite(plane)] = 0
+    plane -= np.abs(plane) * (SLACK - 1) + own * 1e-9  # rounding must not exclude a block
+    r, c = np.nonzero(plane <= bound[:, None])
+    number = held[c]
+    rows, cells = np.repeat(r, number), np.repeat(c, number)
+    b = np.arange(len(rows)) - np.repeat(np.cumsum(number) - number, number) + start[cells]
+    gap = d[rows, cells]
+    least = np.maximum.reduce([gap - far[b] * SLACK, near[b] - gap * SLACK, plane[rows, cells], np.zeros(len(b))])
+    open_ = least <= bound[rows]
+    rows, b, least = rows[open_], b[open_], least[open_]
+    order = np.lexsort((b, least, rows))
+    rows, b = rows[order], b[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    wanted = (place >= lo) & (place < hi)
+    return rows[wanted], b[wanted]
+
+
+def _visits(blocks: Blocks, bounds: DataFrame, kind: str, lo: int, hi: int) -> DataFrame:
+    """(block, pid, bound): ids of the points that ask a block in this round."""
+    held = bounds.sparkSession.sparkContext.broadcast((blocks.centres, blocks.names, blocks.cell, blocks.near, blocks.far))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, blocks = held.value
-        cell, near, far = (blocks[c].to_numpy() for c in ("cell", "near", "far"))
-        names = pa.array(blocks["block"])
+        centres, names, cell, near, far = held.value
+        number = {name: i for i, name in enumerate(names)}
+        names = pa.array(names)
         for batch in batches:
-            x, bound = matrix(batch.column("v")), batch.column("bound").to_numpy()
-            for part in slices(len(x), len(cell)):
-                d = np.sqrt(squared_distances(x[part], pivots))[:, cell]
-                limit = bound[part, None]
-                r, c = np.nonzero((d - far * SLACK <= limit) & (near - d * SLACK <= limit))
-                rows = batch.take(pa.array(r + part.start))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(c)), *rows.columns], names=["block", *rows.schema.names])
-
-    visits = stored(
-        bounds.mapInArrow(visit, f"block string, pid {kind}, v array<double>, bound double"), "knn-visits"
-    )
-    loads = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (4 * block_rows)).alias("parts"))
-    loads = bounded(loads)[0]
-    asking = visits.join(loads, "block").withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts"))).drop("parts")
-    offered = (
-        placed.select("block", "pid", "v", "w").join(loads, "block")
-        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    )
+            home = np.array([number[x] for x in batch.column("block").to_pylist()], dtype=int)
+            x, bound, own = matrix(batch.column("v")), batch.column("bound").to_numpy(), batch.column("cell").to_numpy()
+            for part in slices(len(x), max(len(cell), len(centres))):
+                r, b = blocks_to_visit(x[part], own[part], bound[part], centres, cell, near, far, lo, hi)
+                away = b != home[part][r]  # the own block has been seen
+                r, b = pa.array(r[away] + part.start), b[away]
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(b)), batch.column("pid").take(r), batch.column("bound").take(r)],
+                    names=["block", "pid", "bound"],
+                )
+
+    return bounds.select("pid", "v", "cell", "block", "bound").mapInArrow(visit, f"block string, pid {kind}, bound double")
+
 
+def _compare(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def compare(asked: pa.Table, offer: pa.Table) -> pa.Table:
+        if not len(asked) or not len(offer):
+            return pa.table({"a": asked["pid"].slice(0, 0), "b": asked["pid"].slice(0, 0), "dist": pa.array([], pa.float64()), "w": pa.array([], pa.int64())})
         points, weights, pids = matrix(offer["v"]), offer["w"].to_numpy(), offer["pid"].combine_chunks()
         place = {p: i for i, p in enumerate(pids.to_pylist())}
         own = np.array([place.get(p, -1) for p in asked["pid"].to_pylist()], dtype=int)
@@ -185,25 +223,264 @@ def _block_pairs(points: DataFrame, k: int, count: int, block_rows: int) -> Data
             "dist": pa.array(d), "w": pa.array(weights[c]),
         })
 
-    both = asking.groupBy("block", "part").cogroup(offered.groupBy("block", "part"))
-    return both.applyInArrow(compare, _pair_schema(points))
+    return compare
 
 
-def knn_join(points: DataFrame, k: int, broadcast_points: int = BROADCAST_POINTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``a, b, dist, take``: the k nearest rows of point a, as points b with how many of b's rows count.
+def _nearest(pairs: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows of every a among its candidates: ``a, b, dist, w, before`` (rows that come earlier)."""
+    nearest = Window.partitionBy("a").orderBy("dist", "b").rowsBetween(Window.unboundedPreceding, -1)
+    return pairs.withColumn("before", F.coalesce(F.sum("w").over(nearest), F.lit(0).cast("long"))).where(F.col("before") < k)
 
-    A point with w equal rows has its own w - 1 other rows at distance 0. Ties at the
-    k-th place go to the smaller pid.
+
+def _block_pairs(points: DataFrame, k: int, count: int, block_rows: int) -> tuple[DataFrame, int, int]:
+    """Candidate pairs, blocks, and visits over all rounds."""
+    kind = points.schema["pid"].dataType.simpleString()
+    # Larger blocks for more points keep the directory within a broadcast.
+    block_rows = max(block_rows, 4 * count // MAX_BLOCKS)
+    blocks = _placed(points, k, count, block_rows)
+    members = blocks.points.select("block", "pid", "v", "w")
+
+    def met(asking: DataFrame, loads: DataFrame) -> DataFrame:
+        loads = bounded(loads.select("block", F.ceil(F.col("n") / (4 * block_rows)).alias("parts")))[0]
+        asking = asking.join(loads, "block").withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts"))).drop("parts")
+        offered = (
+            members.join(loads, "block")
+            .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        )
+        asking = asking.select(*[F.col(c).alias(c) for c in asking.columns])  # columns of its own beside the same table's
+        both = asking.groupBy("block", "part").cogroup(offered.groupBy("block", "part"))
+        return both.applyInArrow(_compare(k), _pair_schema(points))
+
+    first = members.select("block", "pid", "v", F.lit(float("inf")).alias("bound"))
+    found = stored(_nearest(met(first, members.groupBy("block").agg(F.count(F.lit(1)).alias("n"))), k).drop("before"), "knn-found")
+    visits, lo, hi = count, 0, FIRST_VISITS
+    own_rows = points.select("pid", (F.col("w") - 1).alias("own"))
+    while lo < len(blocks.names):
+        # A point's own equal rows are neighbours at distance 0 and count towards the k.
+        reached = found.groupBy("a").agg(F.sum("w").alias("n"), F.max("dist").alias("far"))
+        bounds = blocks.points.join(reached.withColumnRenamed("a", "pid"), "pid", "left").join(own_rows, "pid")
+        full = F.coalesce(F.col("n"), F.lit(0).cast("long")) >= k
+        limit = F.when(F.col("own") >= k, F.lit(0.0)).when(full, F.col("far") * SLACK).otherwise(F.lit(float("inf")))
+        asked = stored(_visits(blocks, bounds.withColumn("bound", limit), kind, lo, hi), "knn-visits")
+        loads = stored(asked.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "knn-loads")
+        number = loads.agg(F.sum("n")).first()[0]
+        if not number:
+            break
+        visits += number
+        asking = asked.join(points.select("pid", "v"), "pid")
+        more = met(asking.select("block", "pid", "v", "bound"), loads)
+        found = stored(_nearest(found.unionByName(more), k).drop("before"), "knn-found")
+        lo, hi = hi, hi * 4
+    return found, len(blocks.names), visits
+
+
+@dataclass(frozen=True)
+class NeighbourSearch:
+    """``pairs`` (a, b, dist, take) and how they were found.
+
+    ``recall`` is the mean share of their k nearest rows that sampled points got (1 for an exact join). ``visits``
+    counts the meetings of a point with a block (all points with themselves: one block).
     """
-    count = points.count()
-    if count <= broadcast_points:
-        pairs = _broadcast_pairs(points, k)
-    else:
-        pairs = _block_pairs(points, k, count, block_rows)
+
+    pairs: DataFrame
+    points: int
+    blocks: int
+    visits: int
+    recall: float
+    tables: int = 0
+
+
+def _with_own(points: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """A point with w equal rows has its own w - 1 other rows at distance 0."""
     itself = points.where("w > 1").select(
         F.col("pid").alias("a"), F.col("pid").alias("b"), F.lit(0.0).alias("dist"), (F.col("w") - 1).alias("w")
     )
-    nearest = Window.partitionBy("a").orderBy("dist", "b").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("w").over(nearest), F.lit(0).cast("long"))
-    ranked = pairs.unionByName(itself).withColumn("__before", before).where(F.col("__before") < k)
-    return ranked.select("a", "b", "dist", F.least(F.col("w"), F.lit(k) - F.col("__before")).alias("take"))
+    ranked = _nearest(pairs.unionByName(itself), k)
+    return ranked.select("a", "b", "dist", F.least(F.col("w"), F.lit(k) - F.col("before")).alias("take"))
+
+
+def knn_search(
+    points: DataFrame, k: int, broadcast_points: int = BROADCAST_POINTS, block_rows: int = BLOCK_ROWS
+) -> NeighbourSearch:
+    """The exact join with its figures."""
+    count = points.count()
+    if count <= broadcast_points:
+        pairs, blocks, visits = _broadcast_pairs(points, k), 1, count
+    else:
+        pairs, blocks, visits = _block_pairs(points, k, count, block_rows)
+    return NeighbourSearch(_with_own(points, pairs, k), count, blocks, visits, 1.0)
+
+
+def knn_join(points: DataFrame, k: int, broadcast_points: int = BROADCAST_POINTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``a, b, dist, take``: the k nearest rows of point a, as points b with how many of b's rows count.
+
+    Ties at the k-th place go to the smaller pid.
+    """
+    return knn_search(points, k, broadcast_points, block_rows).pairs
+
+
+@dataclass(frozen=True)
+class Projections:
+    """Random projections of one table: those of the grid with their cuts, and one that cuts full cells again."""
+
+    grid: np.ndarray
+    cuts: np.ndarray
+    further: np.ndarray
+
+    @staticmethod
+    def drawn(sample: np.ndarray, directions: int, seed: int, table: int) -> Projections:
+        rng = np.random.default_rng([seed, table])
+        grid = rng.normal(size=(directions, sample.shape[1]))
+        levels = np.arange(1, GRID) / GRID
+        cuts = np.quantile(sample @ grid.T, levels, axis=0).T if directions else np.zeros((0, GRID - 1))
+        return Projections(grid, cuts, rng.normal(size=sample.shape[1]))
+
+    def cells(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, own, further) of every row's own cell and of those across its nearest boundaries."""
+        rows = np.arange(len(x))
+        cell = np.zeros(len(x), dtype=np.int64)
+        further = x @ self.further
+        if not len(self.grid):
+            return rows, cell, np.ones(len(x), bool), further
+        value = x @ self.grid.T
+        place = np.array([np.searchsorted(c, v) for c, v in zip(self.cuts, value.T)]).T
+        weight = GRID ** np.arange(len(self.grid), dtype=np.int64)
+        cell = place @ weight
+        gap = np.abs(value[:, :, None] - self.cuts[None])
+        nearest = gap.argmin(axis=2)
+        order = gap.min(axis=2).argsort(axis=1, kind="stable")[:, :probes]
+        found = [(rows, cell, np.ones(len(x), bool))]
+        for p in range(order.shape[1]):
+            j = order[:, p]
+            across = np.where(place[rows, j] <= nearest[rows, j], 1, -1)
+            found.append((rows, cell + across * weight[j], np.zeros(len(x), bool)))
+        r, c, own = (np.concatenate(part) for part in zip(*found))
+        return r, c, own, further[r]
+
+
+def _filed(points: DataFrame, tables: dict[int, Projections], probes: int) -> DataFrame:
+    """(pid, no, cell, further, own): where a point stands (own) and asks, by table."""
+    held = points.sparkSession.sparkContext.broadcast(tables)
+    kind = points.schema["pid"].dataType.simpleString()
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column("v"))
+            for number, table in held.value.items() if len(x) else ():
+                r, cell, own, further = table.cells(x, probes)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("pid").take(pa.array(r)), pa.array(np.full(len(r), number, np.int32)), pa.array(cell),
+                        pa.array(further), pa.array(own),
+                    ],
+                    names=["pid", "no", "cell", "further", "own"],
+                )
+
+    return points.select("pid", "v").mapInArrow(file, f"pid {kind}, no int, cell long, further double, own boolean")
+
+
+def _parted(filed: DataFrame, cell_rows: int) -> DataFrame:
+    """Adds ``block``: the cell, cut again where it holds too many points."""
+    sizes = filed.where("own").groupBy("no", "cell")
+    levels = F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])
+    full = sizes.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("further", levels, 4 * PARTS).alias("at"))
+    full = full.where(F.col("n") > 2 * cell_rows)
+    parts = F.least(F.lit(PARTS), F.ceil(F.col("n") / cell_rows).cast("int"))
+    inner = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: F.get("at", (i * PARTS / F.col("parts")).cast("int") - 1))
+    full = full.withColumn("parts", parts).select("no", "cell", inner.alias("cuts"))
+    cut = filed.join(bounded(full, max_rows=20_000)[0], ["no", "cell"], "left")
+    part = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("further"))))
+    cut = cut.withColumn("part", part).drop("cuts")
+    # Where points share one projected value even that leaves too many: those are dealt by hash, and asked so too.
+    still = cut.where("own").groupBy("no", "cell", "part").agg(F.ceil(F.count(F.lit(1)) / (4 * cell_rows)).alias("deals")).where("deals > 1")
+    cut = cut.join(bounded(still)[0], ["no", "cell", "part"], "left")
+    deal = F.pmod(F.xxhash64("pid"), F.coalesce("deals", F.lit(1)))
+    return cut.select("pid", "own", F.concat_ws("-", "no", "cell", "part", deal.cast("string")).alias("block"))
+
+
+def _candidates(filed: DataFrame, asks: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """Nearest candidates of the asking rows (pid, block) among the points that stand in their blocks."""
+    offered = filed.where("own").join(points, "pid").select("block", "pid", "v", "w")
+    asking = asks.join(points.select("pid", "v"), "pid").select("block", "pid", "v", F.lit(float("inf")).alias("bound"))
+    asking = asking.select(*[F.col(c).alias(c) for c in asking.columns])
+    met = asking.groupBy("block").cogroup(offered.groupBy("block")).applyInArrow(_compare(k), _pair_schema(points))
+    return _nearest(met.distinct(), k).drop("before")  # tables find the same pairs
+
+
+def _exact_answers(points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Exact neighbours of a bounded number of points, in one pass over all."""
+    table = asked.select("pid", "v").toArrow()  # at most AUDITED rows
+    held = points.sparkSession.sparkContext.broadcast(table)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pids = held.value["pid"].combine_chunks()
+        x, place = matrix(held.value["v"]), {p: i for i, p in enumerate(pids.to_pylist())}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            theirs = batch.column("pid")
+            own = np.full(len(x), -1)
+            for i, p in enumerate(theirs.to_pylist()):
+                if p in place:
+                    own[place[p]] = i
+            weights = batch.column("w").to_numpy()
+            order = np.argsort(theirs.to_numpy(zero_copy_only=False), kind="stable").argsort()
+            r, c, d = near_candidates(x, own, matrix(batch.column("v")), weights, order, k)
+            yield pa.RecordBatch.from_arrays(
+                [pids.take(pa.array(r)), theirs.take(pa.array(c)), pa.array(d), pa.array(weights[c])], names=["a", "b", "dist", "w"]
+            )
+
+    return _nearest(points.select("pid", "v", "w").mapInArrow(near, _pair_schema(points)), k).drop("before")
+
+
+def _recall(found: DataFrame, exact: DataFrame) -> float:
+    """Mean share of a point's exact neighbours that were found."""
+    got = exact.join(found.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
+    shares = got.groupBy("a").agg((F.sum(F.col("w") * F.coalesce("hit", F.lit(0))) / F.sum("w")).alias("share"))
+    return shares.agg(F.avg("share")).first()[0] or 0.0
+
+
+def _few_points(points: DataFrame, count: int, n: int) -> DataFrame:
+    """A draw of n points by the hash of their pid, thinned before it is sorted."""
+    share = min(1.0, (4 * n + 100) / max(1, count))
+    drawn = points.where(F.pmod(F.xxhash64(F.lit("draw"), "pid"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    return drawn.orderBy(F.xxhash64(F.lit("draw"), "pid"), "pid").limit(n)
+
+
+def approximate_knn_search(
+    points: DataFrame, k: int, recall: float = RECALL, seed: int = 0, tables: int = TABLES, max_tables: int = MAX_TABLES,
+    probes: int = PROBES, cell_rows: int = CELL_ROWS,
+) -> NeighbourSearch:
+    """Neighbours by random-projection tables, with exact distances and an audited recall.
+
+    ``points`` as of ``distinct_points``. Every listed distance is exact; a listed neighbour may be one that a
+    nearer, missed point should have displaced. ``AUDITED`` points are answered exactly as well; while the mean
+    share of their neighbours that the tables find is below ``recall``, the tables are doubled up to
+    ``max_tables``, and after that the exact join answers. Grid cuts are fitted on at most ``FITTED`` points; all
+    points are filed.
+    """
+    count = points.count()
+    sample = matrix(_few_points(points, count, FITTED).select("v").toArrow()["v"])
+    directions = max(0, int(np.log(max(1.0, count / cell_rows)) / np.log(GRID)))
+    if count <= 2 * cell_rows:
+        directions, tables, max_tables = 0, 1, 1  # one cell holds all, whatever the projection
+    audited = stored(_few_points(points, count, AUDITED), "audited")
+    exact = stored(_exact_answers(points, audited, k), "audited-neighbours")
+    filed, number = [], 0
+    while True:
+        drawn = {t: Projections.drawn(sample, directions, seed, t) for t in range(number, tables)}
+        filed.append(stored(_parted(stored(_filed(points, drawn, probes), "filed"), cell_rows), "parted"))
+        number, every = tables, filed[0]
+        for more in filed[1:]:
+            every = every.unionByName(more)
+        asks = stored(every.join(F.broadcast(audited.select("pid")), "pid").select("pid", "block"), "audit-asks")
+        blocks = F.broadcast(asks.select("block").distinct())  # a few blocks a table and audited point
+        share = _recall(_candidates(every.join(blocks, "block"), asks, points, k), exact)
+        if share >= recall or tables >= max_tables:
+            break
+        tables = min(2 * tables, max_tables)
+    if share < recall and count:
+        return knn_search(points, k)
+    pairs = stored(_candidates(every, every.select("pid", "block"), points, k), "near-candidates")
+    held = every.where("own").select("block").distinct().count()
+    return NeighbourSearch(_with_own(points, pairs, k), count, held, every.count(), share if count else 1.0, number)
