@@ -13,6 +13,7 @@ import corpus_pipeline
 from ledgersift.llm import embedding_graph, line_dedup, piece_tokens, quality_rules, source_mixing, toxicity
 
 from .helpers import components, words
+from .test_similar_texts import plain_groups
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, sid int, template long, block long, n int"
@@ -285,9 +286,7 @@ def test_stages_work_on_what_is_kept(spark):
     assert {r["doc_id"]: r["text"] for r in second.collect()} == wanted
     assert second.where(F.length("text") != F.col("n_chars")).count() == 0
     third = corpus_pipeline.near_duplicates(spark, second, SF).cache()
-    from .test_simhash import plain_fingerprint, plain_groups
-
-    groups = plain_groups({d: plain_fingerprint(t) for d, t in wanted.items()})
+    groups = plain_groups(wanted)
     assert sorted(r["doc_id"] for r in third.collect()) == sorted(set(groups.values()))
     fourth = corpus_pipeline.mixture(spark, third, SF).cache()
     sizes = source_mixing.mixed_words(third).agg(F.sum("taken")).first()[0]
