@@ -16,13 +16,14 @@ order), and no task holds more than a slice or a bucket, whose number follows th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgersift.cluster import stored
@@ -31,6 +32,7 @@ ORDER = 2
 FOLDS = 10
 HELD_OUT, DELETED, COUNTED = 0, 1, 2  # kinds of slices: fold 0, fold 1, the others
 SLICE_BYTES = 3 << 20  # text of a slice; a longer text is a slice by itself
+TEXTS = 3_000  # texts that come to a task at once
 BUCKET_TOKENS = 1 << 20  # tokens by which the number of key buckets follows the corpus
 SEED = 42
 END = b" "  # no word; closes every text, and stands before its first word
@@ -62,6 +64,18 @@ def unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for what runs inside: a batch of texts or slices is held whole on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _slices(id_type: pa.DataType):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -287,14 +301,16 @@ def interpolated_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     id_type = rows.schema["doc_id"].dataType
     arrow_type = rows.select("doc_id").limit(0).toArrow().schema[0].type
     schema = f"slice long, kind int, ids array<{id_type.simpleString()}>, lens array<int>, words binary, codes binary"
-    slices = stored(rows.mapInArrow(_slices(arrow_type), schema), "slices")
+    with batches_of(spark, TEXTS):
+        slices = stored(rows.mapInArrow(_slices(arrow_type), schema), "slices")
     size = F.aggregate("lens", F.lit(0).cast("long"), lambda s, n: s + n)
     tokens, texts, texts_counted = slices.agg(
         F.sum(size), F.sum(F.when(F.col("kind") > 0, F.size("lens"))), F.sum(F.when(F.col("kind") == COUNTED, F.size("lens")))
     ).first()
     bits = max(0, int(np.ceil(np.log2(max(1, (tokens or 0) / BUCKET_TOKENS)))))
-    asked = slices.mapInArrow(_asked(order, bits), ASKED)
-    answers = stored(asked.groupBy("part").applyInArrow(_answers, ANSWERED), "answers")
+    with batches_of(spark, 4):
+        asked = slices.mapInArrow(_asked(order, bits), ASKED)
+        answers = stored(asked.groupBy("part").applyInArrow(_answers, ANSWERED), "answers")
     names = ("tokens", "known", "tokens_counted", "known_counted")
     n, known, n_counted, known_counted = (x or 0 for x in answers.where("slice IS NULL").agg(*[F.sum(x) for x in names]).first())
     texts, texts_counted = texts or 0, texts_counted or 0
