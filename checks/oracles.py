@@ -143,6 +143,9 @@ def knn(points: str, key: str, held: str, distance: str, k: int) -> str:
     WHERE prior < {k}"""
 
 
+NUMBERED_PARTS = """SELECT p_partkey, p_size / 10.0::DOUBLE AS x, p_retailprice / 100.0::DOUBLE AS y, p_type AS t,
+    {'x': p_size, 'y': p_retailprice, 't': p_type} AS v FROM part"""
+NUMBERED_DISTANCE = "sqrt((x.x - y.x) * (x.x - y.x) + (x.y - y.y) * (x.y - y.y) + CASE WHEN x.t = y.t THEN 0 ELSE 2 END)"
 KNN_PARTS = knn(PART_POINTS, "p_partkey", ", any_value(x) AS x, any_value(y) AS y", PART_DISTANCE, 5)
 
 VECTOR_DISTANCE = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - y.v[i]) * (x.v[i] - y.v[i]))))"
@@ -308,6 +311,8 @@ ORACLES: dict[str, str] = {
     "knn_join_blocks": KNN_PARTS,
     "knn_join_vector_blocks": KNN_VECTORS,
     "approximate_knn_vectors": KNN_VECTORS,
+    "number_levels_orders": "SELECT o_orderkey, o_custkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS number FROM orders",
+    "lof_numbered_parts": lof(NUMBERED_PARTS, "p_partkey", 20, NUMBERED_DISTANCE, 5, 20, True, False),
     "lof_vector_blocks": lof(VECTORS, "vec_id", 20, VECTOR_DISTANCE, 5, 20, False, False),
     "lof_sample_parts": lof(PART_POINTS, "p_partkey", 20, PART_DISTANCE, 6, 20, True),
     "lof_sample_vectors": lof(VECTORS, "vec_id", 20, VECTOR_DISTANCE, 5, 20, False, False),

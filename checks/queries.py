@@ -448,6 +448,12 @@ def one_hot(spark, sf):
     return orders.select("o_orderkey", *prep.one_hot("o_orderstatus", levels))
 
 
+@query
+def number_levels_orders(spark, sf):
+    """Levels of a column that grows with the table, by their place in ascending order."""
+    return prep.number_levels(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "number")[0]
+
+
 @query
 def sparse_one_hot_customers(spark, sf):
     """More levels than columns could hold: place of the one, and the vector's length."""
@@ -635,6 +641,22 @@ def lof_sample_parts(spark, sf):
     return flagged.select("p_partkey", r6(F.col("anomaly_score")).alias("anomaly_score"), "is_anomaly", "is_sample")
 
 
+@query
+def lof_numbered_parts(spark, sf):
+    """Outlier factors where a category is held as numbers of its levels instead of one column per level."""
+    parts, _ = prep.number_levels(table(spark, sf, "part"), "p_type", "type")
+    points = F.array(F.col("p_size") / 10.0, F.col("p_retailprice") / 100.0, F.col("type").cast("double"))
+    flagged = lof_sample(parts.select("p_partkey", points.alias("features")), "features", 20, "p_partkey", broadcast_points=0, block_rows=256, codes=1)
+    return flagged.select("p_partkey", F.round("anomaly_score", 5).alias("anomaly_score"), "is_anomaly")
+
+
+@query
+def run_method_many_levels(spark, sf):
+    """The one call with a category of as many levels as there are customers."""
+    found = run_method(table(spark, sf, "orders"), 5, 50, ["o_orderkey"], ["o_totalprice"], ["o_custkey"], seed=42, max_levels=50)
+    return found.population.select("o_orderkey", "anomaly_score", "is_anomaly", "is_sample")
+
+
 @query
 def lof_sample_vectors(spark, sf):
     flagged = lof_sample(vectors(spark, sf), "features", 20, "vec_id", pick="lowest")

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..cluster import require_columns
+from ..cluster import attach, require_columns, stored
 from ..errors import ColumnError, EmptyPopulationError
+from .ranking import global_rank
 
 SKEW_THRESHOLD = 0.75
 MAX_LEVELS = 1_000
@@ -49,23 +50,42 @@ def distinct_levels(df: DataFrame, columns: Sequence[str], max_levels: int = MAX
     for c in columns:
         found = df.select(c).where(F.col(c).isNotNull()).distinct().limit(max_levels + 1).sort(c).collect()
         if len(found) > max_levels:
-            raise ColumnError(f"more than {max_levels} distinct values in {c}; sparse_one_hot takes any number")
+            raise ColumnError(f"more than {max_levels} distinct values in {c}; a forest and the outlier factor take any number")
         levels[c] = [r[0] for r in found]
     return levels
 
 
-def sparse_one_hot(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Add ``name``: a sparse vector with a one at the row's level (levels in ascending order), for any number of levels.
+def number_levels(df: DataFrame, column: str, name: str) -> tuple[DataFrame, int]:
+    """(``df`` with ``name``, number of levels): the place of the row's level in ascending order, -1 for null.
 
-    Null gives a vector of zeros. The levels are gathered once by the indexer.
+    Levels are ranked as a table and joined back; a few are broadcast, more meet the rows in a shuffle. None of them
+    reaches the driver.
     """
     require_columns(df, column)
+    levels = stored(df.select(F.col(column).alias("__level")).where("__level IS NOT NULL").distinct(), "levels")
+    count = levels.count()
+    if not count:
+        return df.withColumn(name, F.lit(-1).cast("long")), 0
+    ranked = stored(global_rank(levels, ["__level"], ["__level"], rows=count), "numbered-levels").withColumnRenamed("position", name)
+    known = df.where(F.col(column).isNotNull()).withColumn("__level", F.col(column))
+    placed = attach(known, ranked, "__level").drop("__level")
+    unknown = df.where(F.col(column).isNull()).withColumn(name, F.lit(-1).cast("long"))
+    return placed.select(*df.columns, name).unionByName(unknown), count
+
+
+def sparse_one_hot(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Add ``name``: a sparse vector with a one at the row's level (levels in ascending order of their text).
+
+    Any number of levels; null gives a vector of zeros.
+    """
     text = df.withColumn("__text", F.col(column).cast("string"))
-    indexer = StringIndexer(inputCol="__text", outputCol="__index", stringOrderType="alphabetAsc", handleInvalid="keep")
-    placed = indexer.fit(text.where(F.col("__text").isNotNull())).transform(text)
-    # Unknown and null share the last index, which the encoder drops.
+    placed, count = number_levels(text, "__text", "__number")
+    # Null takes the index after the last level, which the encoder drops.
+    nominal = {"ml_attr": {"type": "nominal", "num_vals": count + 1, "name": "__index"}}
+    index = F.when(F.col("__number") < 0, F.lit(count)).otherwise(F.col("__number")).cast("double")
+    placed = placed.withColumn("__index", index.alias("__index", metadata=nominal))
     encoder = OneHotEncoder(inputCol="__index", outputCol=name, dropLast=True)
-    return encoder.fit(placed).transform(placed).drop("__text", "__index")
+    return encoder.fit(placed).transform(placed).drop("__text", "__number", "__index")
 
 
 def skewness(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
@@ -103,10 +123,18 @@ class FeaturePlan:
     order: tuple[str, ...]
     levels: dict[str, list]
     medians: dict[str, float]
+    # Columns of more levels than may become columns: the vector ends with the level's number (-1 for null), which
+    # stands for its one-hot columns in every distance and split.
+    numbered: dict[str, int] = field(default_factory=dict)
 
     @property
     def names(self) -> list[str]:
-        return [*self.order, *[f"{c}_{v}" for c, vs in self.levels.items() for v in vs]]
+        return [*self.order, *[f"{c}_{v}" for c, vs in self.levels.items() for v in vs], *self.numbered]
+
+    @property
+    def number_columns(self) -> list[str]:
+        """Columns that ``fit_features`` added to the rows."""
+        return [f"__level_{c}" for c in self.numbered]
 
     def value(self, name: str) -> Column:
         x = F.col(name).cast("double")
@@ -128,12 +156,13 @@ class FeaturePlan:
         """All features as one ``array<double>``."""
         parts = [self.value(n) for n in self.order]
         parts += [c.cast("double") for name, levels in self.levels.items() for c in one_hot(name, levels)]
-        return F.array(*parts)
+        return F.array(*parts, *[F.col(c).cast("double") for c in self.number_columns])
 
     def describe(self) -> list[tuple[str, str]]:
         lines = [(n, "log1p of positive values, scaled to 0..1") for n in self.log_route]
         lines += [(n, "centred, divided by population deviation") for n in self.standard_route]
-        return lines + [(c, f"one column per value ({len(v)})") for c, v in self.levels.items()]
+        lines += [(c, f"one column per value ({len(v)})") for c, v in self.levels.items()]
+        return lines + [(c, f"one column per value ({n}), held as the value's number") for c, n in self.numbered.items()]
 
 
 def fit_features(
@@ -143,8 +172,13 @@ def fit_features(
     skew_threshold: float = SKEW_THRESHOLD,
     nulls: str = "error",
     max_levels: int = MAX_LEVELS,
+    numbered: bool = False,
 ) -> tuple[DataFrame, FeaturePlan]:
-    """Fit a plan; returns the rows it applies to (fewer only with ``nulls='drop'``) and the plan."""
+    """Fit a plan; returns the rows it applies to (fewer only with ``nulls='drop'``) and the plan.
+
+    A categorical column with more than ``max_levels`` values is refused, or with ``numbered`` held as the number of
+    its level, which the rows then carry as a further column.
+    """
     if not numerical and not categorical:
         raise ColumnError("no feature columns chosen")
     require_columns(df, *numerical, *categorical)
@@ -187,8 +221,12 @@ def fit_features(
             log_route[c] = (row[f"low{i}"], row[f"high{i}"])
         else:
             standard_route[c] = (row[f"mean{i}"], row[f"sd{i}"])
-    levels = distinct_levels(df, categorical, max_levels)
-    plan = FeaturePlan(log_route, standard_route, tuple(numerical), levels, medians)
+    many = [c for c in categorical if numbered and df.select(c).where(F.col(c).isNotNull()).distinct().limit(max_levels + 1).count() > max_levels]
+    levels = distinct_levels(df, [c for c in categorical if c not in many], max_levels)
+    counts = {}
+    for c in many:
+        df, counts[c] = number_levels(df, c, f"__level_{c}")
+    plan = FeaturePlan(log_route, standard_route, tuple(numerical), levels, medians, counts)
     lower = [n.lower() for n in plan.names]  # column names do not tell cases apart
     twice = sorted({n for n in plan.names if lower.count(n.lower()) > 1})
     if twice:

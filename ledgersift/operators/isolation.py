@@ -30,28 +30,44 @@ def average_path(n):
     return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def grow_tree(rows: np.ndarray, rng: np.random.Generator) -> list[tuple[int, int, float, float]]:
-    """(node, feature or -1, threshold, path length); the children of node i are 2i + 1 and 2i + 2."""
+def grow_tree(rows: np.ndarray, rng: np.random.Generator, codes: int = 0) -> list[tuple[int, int, float, float]]:
+    """(node, feature or -1, threshold, path length); the children of node i are 2i + 1 and 2i + 2.
+
+    The last ``codes`` columns are numbers of levels. Each level that some rows of a node have and others have not is
+    a usable feature, as its one-hot column would be: rows of the level go right.
+    """
     limit = math.ceil(math.log2(max(2, len(rows))))
+    plain = rows.shape[1] - codes
     nodes, todo = [], [(0, np.arange(len(rows)), 0)]
     while todo:
         at, members, depth = todo.pop()
         x = rows[members]
-        usable = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if depth < limit and len(members) > 1 else ()
-        if not len(usable):
+        usable, levels = (), []
+        if depth < limit and len(members) > 1:
+            usable = np.flatnonzero(x[:, :plain].max(axis=0) > x[:, :plain].min(axis=0))
+            for j in range(plain, plain + codes):
+                found = np.unique(x[:, j])
+                levels += [(j, v) for v in found if v >= 0] if len(found) > 1 else []
+        if not len(usable) and not levels:
             nodes.append((at, -1, 0.0, depth + float(average_path(len(members)))))
             continue
-        feature = int(rng.choice(usable))
-        column = x[:, feature]
-        cut = float(rng.uniform(column.min(), column.max()))
-        nodes.append((at, feature, cut, 0.0))
-        todo.append((2 * at + 1, members[column <= cut], depth + 1))
-        todo.append((2 * at + 2, members[column > cut], depth + 1))
+        pick = int(rng.integers(len(usable) + len(levels))) if codes else 0
+        if pick >= len(usable):
+            feature, cut = levels[pick - len(usable)]
+            right = x[:, feature] == cut
+        else:
+            feature = int(usable[pick] if codes else rng.choice(usable))
+            column = x[:, feature]
+            cut = float(rng.uniform(column.min(), column.max()))
+            right = column > cut
+        nodes.append((at, feature, float(cut), 0.0))
+        todo.append((2 * at + 1, members[~right], depth + 1))
+        todo.append((2 * at + 2, members[right], depth + 1))
     return nodes
 
 
 def fit_forest(
-    df: DataFrame, vector: str, key: Sequence[str], seed: int, trees: int = TREES, rows: int | None = None
+    df: DataFrame, vector: str, key: Sequence[str], seed: int, trees: int = TREES, rows: int | None = None, codes: int = 0
 ) -> DataFrame:
     """Trees as a table ``tree, node, feature, threshold, path``; one task per slice of trees."""
     require_columns(df, vector, *key)
@@ -61,11 +77,8 @@ def fit_forest(
         raise SampleSizeError("no rows to fit")
     narrow = df.select(vector, *key)
     size = min(TREE_ROWS, rows)
-    # The trees' samples come out of one uniform draw of trees * size rows, shuffled and dealt out: each is a
-    # simple random sample of the population and none shares a row. A population below that is drawn from
-    # anew by every tree.
-    dealt = rows > trees * size
-    if dealt:
+    # A uniform draw of as many rows as all trees take; every tree draws its own sample from it.
+    if rows > trees * size:
         narrow = smallest_hashes(narrow, trees * size, key, seed, "forest", rows).where("is_sample = 1")
     pool = spark.sparkContext.broadcast(matrix(narrow.orderBy(*key).select(vector).toArrow().column(0)))
 
@@ -73,12 +86,8 @@ def fit_forest(
         for batch in batches:
             for tree in batch["id"]:
                 rng = np.random.default_rng([seed, int(tree)])
-                if dealt:
-                    order = np.random.default_rng(seed).permutation(len(pool.value))
-                    chosen = order[tree * size : (tree + 1) * size]
-                else:
-                    chosen = rng.choice(len(pool.value), size=size, replace=False)
-                grown = grow_tree(pool.value[chosen], rng)
+                chosen = rng.choice(len(pool.value), size=size, replace=False)
+                grown = grow_tree(pool.value[chosen], rng, codes)
                 out = pd.DataFrame(grown, columns=["node", "feature", "threshold", "path"])
                 out.insert(0, "tree", int(tree))
                 yield out
@@ -87,7 +96,7 @@ def fit_forest(
     return spark.range(0, trees, 1, min(trees, spark.sparkContext.defaultParallelism)).mapInPandas(build, schema)
 
 
-def forest_score(forest: DataFrame, rows: int, vector: str) -> Column:
+def forest_score(forest: DataFrame, rows: int, vector: str, codes: int = 0) -> Column:
     """Decision score of a row: 0.5 - 2^(-mean path / c(psi)); below 0 is anomalous."""
     # At most trees x 511 nodes whatever the population.
     nodes = forest.toPandas()
@@ -118,9 +127,13 @@ def forest_score(forest: DataFrame, rows: int, vector: str) -> Column:
             part = x[start : start + SCORE_ROWS]
             values, base = part.ravel(), np.arange(len(part)) * x.shape[1]
             for f, t, p in zip(feature, threshold, path):
-                at = (values.take(base + f[0]) > t[0]) + 1
-                for _ in range(steps - 1):
-                    at = 2 * at + 1 + (values.take(base + f.take(at)) > t.take(at))
+                at = np.zeros(len(part), dtype=int)
+                for _ in range(steps):
+                    own, cut = values.take(base + f.take(at)), t.take(at)
+                    right = own > cut
+                    if codes:
+                        right = np.where(f.take(at) >= x.shape[1] - codes, own == cut, right)
+                    at = 2 * at + 1 + right
                 total[start : start + SCORE_ROWS] += p.take(at)
         return pa.array(0.5 - np.exp2(-total / len(feature) / scale))
 
@@ -128,15 +141,19 @@ def forest_score(forest: DataFrame, rows: int, vector: str) -> Column:
 
 
 def isolation_forest_sample(
-    df: DataFrame, vector: str, sample_size: int, key: Sequence[str], seed: int | None = None, trees: int = TREES
+    df: DataFrame, vector: str, sample_size: int, key: Sequence[str], seed: int | None = None, trees: int = TREES,
+    codes: int = 0,
 ) -> DataFrame:
-    """Add ``anomaly_score``, ``is_anomaly`` (score < 0) and ``is_sample`` for the n lowest scores."""
+    """Add ``anomaly_score``, ``is_anomaly`` (score < 0) and ``is_sample`` for the n lowest scores.
+
+    The last ``codes`` components of the vector are numbers of levels.
+    """
     require_size(sample_size)
     seed = seed_draw() if seed is None else seed
     rows = df.count()
     if sample_size > rows:
         raise SampleSizeError(f"sample size {sample_size} exceeds population size {rows}")
-    forest = fit_forest(df, vector, key, seed, trees, rows)
-    scored = spread(df, rows).withColumn("anomaly_score", forest_score(forest, rows, vector))
+    forest = fit_forest(df, vector, key, seed, trees, rows, codes)
+    scored = spread(df, rows).withColumn("anomaly_score", forest_score(forest, rows, vector, codes))
     scored = stored(scored, "forest-scores").withColumn("is_anomaly", (F.col("anomaly_score") < 0).cast("int"))
     return top_n_by_score(scored, "anomaly_score", sample_size, key)

@@ -53,14 +53,14 @@ def distinct_points(df: DataFrame, vector: str, key: str) -> DataFrame:
     return df.groupBy(F.col(vector).alias("v")).agg(F.min(key).alias("pid"), F.count(F.lit(1)).alias("w"))
 
 
-def near_candidates(x, own, points, weights, order, k, bound=None):
+def near_candidates(x, own, points, weights, order, k, bound=None, codes=0):
     """(row, point, distance) of every point that can be among a row's k weighted neighbours.
 
     ``own`` is the row's index among the points or -1; ``order`` ranks points by pid.
     """
     rows_out, points_out, distances = [], [], []
     for part in slices(len(x), len(points)):
-        block = np.sqrt(squared_distances(x[part], points))
+        block = np.sqrt(squared_distances(x[part], points, codes))
         for r, d in enumerate(block):
             at = part.start + r
             if own[at] >= 0:
@@ -86,7 +86,7 @@ def _pair_schema(points: DataFrame) -> str:
     return f"a {kind}, b {kind}, dist double, w bigint"
 
 
-def _broadcast_pairs(points: DataFrame, k: int) -> DataFrame:
+def _broadcast_pairs(points: DataFrame, k: int, codes: int) -> DataFrame:
     table = points.orderBy("pid").toArrow()  # at most BROADCAST_POINTS rows
     held = points.sparkSession.sparkContext.broadcast(table)
     parts = points.sparkSession.sparkContext.defaultParallelism
@@ -99,7 +99,7 @@ def _broadcast_pairs(points: DataFrame, k: int) -> DataFrame:
         order = np.arange(len(weights))
         for batch in batches:
             own = batch.column(0).to_numpy()
-            r, c, d = near_candidates(all_points[own], own, all_points, weights, order, k)
+            r, c, d = near_candidates(all_points[own], own, all_points, weights, order, k, codes=codes)
             yield pa.RecordBatch.from_arrays(
                 [pids.take(pa.array(own[r])), pids.take(pa.array(c)), pa.array(d), pa.array(weights[c])],
                 names=["a", "b", "dist", "w"],
@@ -118,9 +118,10 @@ class Blocks:
     cell: np.ndarray
     near: np.ndarray
     far: np.ndarray
+    codes: int
 
 
-def _placed(points: DataFrame, k: int, count: int, block_rows: int) -> Blocks:
+def _placed(points: DataFrame, k: int, count: int, block_rows: int, codes: int) -> Blocks:
     pivots = min(MAX_PIVOTS, max(k + 2, count // block_rows))
     # Thinned by hash before the top-k, so no task or merge sees more than a few times the pivots.
     share = min(1.0, (4 * pivots + 100) / count)
@@ -134,7 +135,7 @@ def _placed(points: DataFrame, k: int, count: int, block_rows: int) -> Blocks:
         x = matrix(column)
         cell, distance = np.zeros(len(x), dtype=np.int32), np.zeros(len(x))
         for part in slices(len(x), len(held.value)):
-            d = squared_distances(x[part], held.value)
+            d = squared_distances(x[part], held.value, codes)
             cell[part] = d.argmin(axis=1)
             distance[part] = np.sqrt(d.min(axis=1))
         return pa.StructArray.from_arrays([pa.array(cell), pa.array(distance)], names=["cell", "pd"])
@@ -153,10 +154,10 @@ def _placed(points: DataFrame, k: int, count: int, block_rows: int) -> Blocks:
     table = directory.limit(MAX_BLOCKS + 1).toPandas()
     if len(table) > MAX_BLOCKS:  # rings and parts are rounded up, so cells give a few more blocks than count / block_rows
         raise SamplingError(f"more than {MAX_BLOCKS} blocks; raise block_rows")
-    return Blocks(placed.drop("pd"), centres, *(table[c].to_numpy() for c in ("block", "cell", "near", "far")))
+    return Blocks(placed.drop("pd"), centres, *(table[c].to_numpy() for c in ("block", "cell", "near", "far")), codes)
 
 
-def blocks_to_visit(x, own_cell, bound, centres, cell, near, far, lo, hi):
+def blocks_to_visit(x, own_cell, bound, centres, cell, near, far, lo, hi, codes=0):
     """(row, block) of the blocks that hold places lo .. hi of each row's order by least possible distance.
 
     Blocks farther than the bound have no place, so a tighter bound only cuts the order's end off. Blocks stand in
@@ -164,8 +165,8 @@ def blocks_to_visit(x, own_cell, bound, centres, cell, near, far, lo, hi):
     """
     start = np.searchsorted(cell, np.arange(len(centres)))
     held = np.searchsorted(cell, np.arange(len(centres)), side="right") - start
-    between = np.sqrt(squared_distances(centres, centres))
-    d = np.sqrt(squared_distances(x, centres))
+    between = np.sqrt(squared_distances(centres, centres, codes))
+    d = np.sqrt(squared_distances(x, centres, codes))
     own = d[np.arange(len(x)), own_cell][:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
         plane = (d * d - own * own) / (2 * between[own_cell])
@@ -189,6 +190,7 @@ def blocks_to_visit(x, own_cell, bound, centres, cell, near, far, lo, hi):
 def _visits(blocks: Blocks, bounds: DataFrame, kind: str, lo: int, hi: int) -> DataFrame:
     """(block, pid, bound): ids of the points that ask a block in this round."""
     held = bounds.sparkSession.sparkContext.broadcast((blocks.centres, blocks.names, blocks.cell, blocks.near, blocks.far))
+    codes = blocks.codes
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, names, cell, near, far = held.value
@@ -198,7 +200,7 @@ def _visits(blocks: Blocks, bounds: DataFrame, kind: str, lo: int, hi: int) -> D
             home = np.array([number[x] for x in batch.column("block").to_pylist()], dtype=int)
             x, bound, own = matrix(batch.column("v")), batch.column("bound").to_numpy(), batch.column("cell").to_numpy()
             for part in slices(len(x), max(len(cell), len(centres))):
-                r, b = blocks_to_visit(x[part], own[part], bound[part], centres, cell, near, far, lo, hi)
+                r, b = blocks_to_visit(x[part], own[part], bound[part], centres, cell, near, far, lo, hi, codes)
                 away = b != home[part][r]  # the own block has been seen
                 r, b = pa.array(r[away] + part.start), b[away]
                 yield pa.RecordBatch.from_arrays(
@@ -209,7 +211,7 @@ def _visits(blocks: Blocks, bounds: DataFrame, kind: str, lo: int, hi: int) -> D
     return bounds.select("pid", "v", "cell", "block", "bound").mapInArrow(visit, f"block string, pid {kind}, bound double")
 
 
-def _compare(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _compare(k: int, codes: int = 0) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def compare(asked: pa.Table, offer: pa.Table) -> pa.Table:
         if not len(asked) or not len(offer):
             return pa.table({"a": asked["pid"].slice(0, 0), "b": asked["pid"].slice(0, 0), "dist": pa.array([], pa.float64()), "w": pa.array([], pa.int64())})
@@ -217,7 +219,7 @@ def _compare(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         place = {p: i for i, p in enumerate(pids.to_pylist())}
         own = np.array([place.get(p, -1) for p in asked["pid"].to_pylist()], dtype=int)
         order = np.argsort(pids.to_numpy(zero_copy_only=False), kind="stable").argsort()
-        r, c, d = near_candidates(matrix(asked["v"]), own, points, weights, order, k, asked["bound"].to_numpy())
+        r, c, d = near_candidates(matrix(asked["v"]), own, points, weights, order, k, asked["bound"].to_numpy(), codes)
         return pa.table({
             "a": asked["pid"].combine_chunks().take(pa.array(r)), "b": pids.take(pa.array(c)),
             "dist": pa.array(d), "w": pa.array(weights[c]),
@@ -232,12 +234,12 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("before", F.coalesce(F.sum("w").over(nearest), F.lit(0).cast("long"))).where(F.col("before") < k)
 
 
-def _block_pairs(points: DataFrame, k: int, count: int, block_rows: int) -> tuple[DataFrame, int, int]:
+def _block_pairs(points: DataFrame, k: int, count: int, block_rows: int, codes: int) -> tuple[DataFrame, int, int]:
     """Candidate pairs, blocks, and visits over all rounds."""
     kind = points.schema["pid"].dataType.simpleString()
     # Larger blocks for more points keep the directory within a broadcast.
     block_rows = max(block_rows, 4 * count // MAX_BLOCKS)
-    blocks = _placed(points, k, count, block_rows)
+    blocks = _placed(points, k, count, block_rows, codes)
     members = blocks.points.select("block", "pid", "v", "w")
 
     def met(asking: DataFrame, loads: DataFrame) -> DataFrame:
@@ -249,7 +251,7 @@ def _block_pairs(points: DataFrame, k: int, count: int, block_rows: int) -> tupl
         )
         asking = asking.select(*[F.col(c).alias(c) for c in asking.columns])  # columns of its own beside the same table's
         both = asking.groupBy("block", "part").cogroup(offered.groupBy("block", "part"))
-        return both.applyInArrow(_compare(k), _pair_schema(points))
+        return both.applyInArrow(_compare(k, codes), _pair_schema(points))
 
     first = members.select("block", "pid", "v", F.lit(float("inf")).alias("bound"))
     found = stored(_nearest(met(first, members.groupBy("block").agg(F.count(F.lit(1)).alias("n"))), k).drop("before"), "knn-found")
@@ -300,23 +302,25 @@ def _with_own(points: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
 
 
 def knn_search(
-    points: DataFrame, k: int, broadcast_points: int = BROADCAST_POINTS, block_rows: int = BLOCK_ROWS
+    points: DataFrame, k: int, broadcast_points: int = BROADCAST_POINTS, block_rows: int = BLOCK_ROWS, codes: int = 0
 ) -> NeighbourSearch:
-    """The exact join with its figures."""
+    """The exact join with its figures; the last ``codes`` components are numbers of levels."""
     count = points.count()
     if count <= broadcast_points:
-        pairs, blocks, visits = _broadcast_pairs(points, k), 1, count
+        pairs, blocks, visits = _broadcast_pairs(points, k, codes), 1, count
     else:
-        pairs, blocks, visits = _block_pairs(points, k, count, block_rows)
+        pairs, blocks, visits = _block_pairs(points, k, count, block_rows, codes)
     return NeighbourSearch(_with_own(points, pairs, k), count, blocks, visits, 1.0)
 
 
-def knn_join(points: DataFrame, k: int, broadcast_points: int = BROADCAST_POINTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def knn_join(
+    points: DataFrame, k: int, broadcast_points: int = BROADCAST_POINTS, block_rows: int = BLOCK_ROWS, codes: int = 0
+) -> DataFrame:
     """``a, b, dist, take``: the k nearest rows of point a, as points b with how many of b's rows count.
 
     Ties at the k-th place go to the smaller pid.
     """
-    return knn_search(points, k, broadcast_points, block_rows).pairs
+    return knn_search(points, k, broadcast_points, block_rows, codes).pairs
 
 
 @dataclass(frozen=True)

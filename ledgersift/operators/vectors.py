@@ -15,13 +15,20 @@ def matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
 
 
-def squared_distances(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Sums of squared differences, added in column order so equal inputs give equal bits."""
+def squared_distances(rows: np.ndarray, points: np.ndarray, codes: int = 0) -> np.ndarray:
+    """Sums of squared differences, added in column order so equal inputs give equal bits.
+
+    The last ``codes`` columns are numbers of levels (negative: none) and count as their one-hot columns do.
+    """
     total = np.zeros((len(rows), len(points)))
-    for j in range(rows.shape[1]):
+    plain = rows.shape[1] - codes
+    for j in range(plain):
         gap = rows[:, j, None] - points[None, :, j]
         gap *= gap
         total += gap
+    for j in range(plain, plain + codes):
+        a, b = rows[:, j, None], points[None, :, j]
+        total += (a != b) * ((a >= 0).astype(float) + (b >= 0))
     return total
 
 

@@ -15,7 +15,7 @@ from ..functions import seed_draw
 from ..operators.autoencoder import autoencoder_sample
 from ..operators.clustering import kmeans_sample
 from ..operators.density import density_cluster_sample
-from ..operators.features import SKEW_THRESHOLD, FeaturePlan, fit_features
+from ..operators.features import MAX_LEVELS, SKEW_THRESHOLD, FeaturePlan, fit_features
 from ..operators.isolation import isolation_forest_sample
 from ..operators.monetary import mus_sample
 from ..operators.outlier_factor import lof_sample
@@ -73,6 +73,7 @@ class Method:
     call: Callable
     uses_features: bool = False
     needs: Sequence[str] = field(default=())
+    takes_numbers: bool = False  # of levels, for categories that are too many for columns
 
 
 def _one_key(call: Callable) -> Callable:
@@ -94,8 +95,8 @@ METHODS = {
         Method(2, "Systematic Sampling", systematic_sample, needs=("order_by",)),
         Method(3, "Stratified Sampling", stratified_sample, needs=("strata",)),
         Method(4, "Monetary Unit Sampling", mus_sample, needs=("value",)),
-        Method(5, "Isolation Forest", isolation_forest_sample, True),
-        Method(6, "Local Outlier Factor", _one_key(lof_sample), True),
+        Method(5, "Isolation Forest", isolation_forest_sample, True, takes_numbers=True),
+        Method(6, "Local Outlier Factor", _one_key(lof_sample), True, takes_numbers=True),
         Method(7, "K-Means Clustering", kmeans_sample, True),
         Method(8, "Autoencoder", autoencoder_sample, True),
         Method(9, "HDBSCAN", _one_key(density_cluster_sample), True),
@@ -123,12 +124,14 @@ def run_method(
     nulls: str = "error",
     sample_fraction: float = 1.0,
     skew_threshold: float = SKEW_THRESHOLD,
+    max_levels: int = MAX_LEVELS,
     **params,
 ) -> MethodResult:
     """Validate, prepare features where the method needs them, select, and describe the selection.
 
     ``sample_fraction`` below 1 prepares, and selects from, a uniform part of the rows; ``skew_threshold`` sends
-    numeric features above it through the logarithm. Both apply to methods that use features.
+    numeric features above it through the logarithm. Both apply to methods that use features. Categories with more
+    than ``max_levels`` values are held as numbers where the method takes them (forest, outlier factor), else refused.
     """
     chosen = find_method(method)
     require_size(sample_size)
@@ -149,10 +152,12 @@ def run_method(
         params["seed"] = seed
     if chosen.uses_features:
         df = fraction_subsample(df, sample_fraction, key, seed)
-        df, plan = fit_features(df, numerical, categorical, skew_threshold, nulls)
+        df, plan = fit_features(df, numerical, categorical, skew_threshold, nulls, max_levels, chosen.takes_numbers)
+        if plan.numbered:
+            params["codes"] = len(plan.numbered)
         found = chosen.call(df.withColumn(VECTOR, plan.vector()), VECTOR, sample_size, key, **params)
         found = found if isinstance(found, tuple) else (found,)
-        flagged = found[0].drop(VECTOR)
+        flagged = found[0].drop(VECTOR, *plan.number_columns)
         trials = found[1] if len(found) > 1 else None
         warning = found[2] if len(found) > 2 else ""
     else:

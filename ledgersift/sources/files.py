@@ -2,92 +2,22 @@
 
 from __future__ import annotations
 
-import codecs
-import csv
-import io
 import json
 import os
-import re
-import sys
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
-from itertools import chain
-from typing import BinaryIO
 
-import pandas as pd
-from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..cluster import stored
 from ..errors import SourceError
+from .csv_splits import STRUCTURE, csv_structure, parsed_records, plain_path, spanning_records
 from .records import scan_dbf, scan_xlsx
 
-# Tried in this order, encodings outermost.
-ENCODINGS = ["utf-8", "cp1251", "cp1252", "latin1"]
-DELIMITERS = [",", ";", "\t", "|"]
-
-CHUNK_BYTES = 1 << 20
 JAVA_CHARSETS = {"utf-8": "UTF-8", "cp1251": "windows-1251", "cp1252": "windows-1252", "latin1": "ISO-8859-1"}
-DIALECT_SCHEMA = "path string, encoding string, sep string, n_cols int, has_rows boolean, multi_line boolean"
-
-
-def fitting_encoding(chunks: Iterator[bytes]) -> str:
-    """First encoding in which every byte of a file is valid; a chunk is held at a time."""
-    decoders = {e: codecs.getincrementaldecoder(e)() for e in ENCODINGS}
-    for chunk in chain(chunks, [None]):
-        for e, decoder in list(decoders.items()):
-            try:
-                decoder.decode(chunk or b"", final=chunk is None)
-            except UnicodeDecodeError:
-                del decoders[e]
-    return next(iter(decoders))  # latin1 takes any byte
-
-
-def record_shape(lines: Iterable[str], sep: str) -> tuple[int, bool, bool]:
-    """(columns, has rows, some record spans lines) of a whole file; 0 columns if the delimiter does not fit."""
-    csv.field_size_limit(sys.maxsize)
-    width, rows, spans, before = 0, False, False, 0
-    reader = csv.reader(lines, delimiter=sep)
-    for record in reader:
-        spans |= reader.line_num - before > 1
-        before = reader.line_num
-        if not record:
-            continue
-        if not width:
-            width = len(record)
-        elif len(record) > width:
-            return 0, False, False
-        else:
-            rows = True
-        if width < 2:
-            return 0, False, False
-    return width, rows, spans
-
-
-def file_dialect(open_file: Callable[[], BinaryIO]) -> tuple[str | None, str | None, int, bool, bool]:
-    """(encoding, delimiter, columns, has rows, multi-line) decided from all of a file, read as a stream."""
-    with open_file() as f:
-        encoding = fitting_encoding(iter(lambda: f.read(CHUNK_BYTES), b""))
-    header_only = None
-    for sep in DELIMITERS:
-        with open_file() as f:
-            width, rows, spans = record_shape(io.TextIOWrapper(f, encoding, newline=""), sep)
-        if width and rows:
-            return encoding, sep, width, True, spans
-        if width and header_only is None:
-            header_only = (encoding, sep, width, False, spans)
-    return header_only or (None, None, 0, True, False)
-
-
-def _sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for path in batch["path"]:
-            store, location = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-            rows.append((path, *file_dialect(lambda: store.open_input_stream(location))))
-        yield pd.DataFrame(rows, columns=["path", "encoding", "sep", "n_cols", "has_rows", "multi_line"])
+DIALECT_COLUMNS = ["path", "encoding", "sep", "n_cols", "has_rows", "multi_line"]
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -96,64 +26,122 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path")
 
 
+def _structures(paths: DataFrame) -> DataFrame:
+    """Structure of every file; one without a line fits no dialect."""
+    names = [r["path"] for r in paths.select("path").collect()]  # the readers need the list itself
+    found = csv_structure(paths.sparkSession, names) if names else paths.sparkSession.createDataFrame([], STRUCTURE)
+    every = paths.select("path").distinct().join(found, "path", "left")
+    return every.withColumn("n_cols", F.coalesce("n_cols", F.lit(0))).withColumn("has_rows", F.coalesce("has_rows", F.lit(True))).withColumn(
+        "multi_line", F.coalesce("multi_line", F.lit(False))
+    )
+
+
 def sniff_csv_dialects(paths: DataFrame) -> DataFrame:
-    """``path, encoding, sep, n_cols, has_rows, multi_line`` per file, each read as a stream by one task."""
-    return paths.select("path").mapInPandas(_sniff, DIALECT_SCHEMA)
+    """``path, encoding, sep, n_cols, has_rows, multi_line`` per file, decided from all of its lines, block by block."""
+    return _structures(paths).select(*DIALECT_COLUMNS)
 
 
 # Quotes are doubled inside quoted text, and spaces belong to the text.
 CSV_TEXT = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def read_csv_files(
-    spark: SparkSession, paths: str | Sequence[str], encoding: str, sep: str, schema=None, multi_line: bool = False
-) -> DataFrame:
-    """One read of files that share a dialect; files whose quoted records span lines are not split."""
+def read_csv_files(spark: SparkSession, paths: str | Sequence[str], encoding: str, sep: str, schema=None) -> DataFrame:
+    """One read of files that share a dialect and have a record per line."""
     if encoding != "utf-8":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    reader = spark.read.options(**CSV_TEXT, sep=sep, encoding=JAVA_CHARSETS[encoding], multiLine=str(multi_line).lower())
+    reader = spark.read.options(**CSV_TEXT, sep=sep, encoding=JAVA_CHARSETS[encoding])
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
     return reader.csv(paths if isinstance(paths, str) else list(paths))
 
 
 def scan_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """CSV of any supported dialect. Files of one dialect are read together, dialects are united by name."""
+    """CSV of any supported dialect. Files of one dialect are read together, dialects are united by name.
+
+    All files are read split, those too whose quoted fields hold line breaks.
+    """
     # Hidden files are not data, and a file that is only a header adds no rows.
-    dialects = sniff_csv_dialects(list_files(spark, path).where("path NOT LIKE '%/\\_%' AND path NOT LIKE '%/.%'"))
-    groups: dict[tuple, list[str]] = {}
-    for r in dialects.where("has_rows").toLocalIterator():  # one path at a time; the reader needs the list itself
+    found = _structures(list_files(spark, path).where("path NOT LIKE '%/\\_%' AND path NOT LIKE '%/.%'"))
+    groups: dict[tuple, list] = {}
+    for r in found.where("has_rows").toLocalIterator():
         if r["encoding"] is None:
             raise SourceError(f"no encoding and delimiter fits {r['path']}")
-        groups.setdefault((r["encoding"], r["sep"], r["multi_line"]), []).append(r["path"])
+        groups.setdefault((r["encoding"], r["sep"], r["multi_line"]), []).append(r)
     if not groups:
         raise SourceError(f"no rows in {path}")
-    if len(groups) == 1:
-        ((encoding, sep, multi),) = groups
-        return read_csv_files(spark, path, encoding, sep, schema, multi)
-    parts = [read_csv_files(spark, paths, e, sep, schema, multi) for (e, sep, multi), paths in sorted(groups.items())]
+    parts = []
+    for (encoding, sep, multi), files in sorted(groups.items()):
+        names = [r["path"] for r in files]
+        if multi:
+            inside = {plain_path(r["path"]): set(r["inside"]) for r in files if r["inside"]}
+            records = spanning_records(spark, names, encoding, sep, inside)
+            parts.append(parsed_records(records, CSV_TEXT | {"sep": sep}, max(r["n_cols"] for r in files), schema))
+        else:
+            parts.append(read_csv_files(spark, path if len(groups) == 1 else names, encoding, sep, schema))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def scan_json(spark: SparkSession, path: str, multi_line: bool | None = None, schema=None) -> DataFrame:
-    """JSON lines, or one document per file: an array of rows, or an object whose keys are columns.
+    """JSON lines, or one document per file: an array of rows, an object that is a row, or an object of columns.
 
-    ``multi_line`` is detected when not given: a file is one document if it starts with an array or its first
-    line is no complete object. A document ``{column: {row: value}}`` becomes a row per row label.
+    The form is decided for every file when ``multi_line`` is not given: a file is one document unless its first line
+    is a complete object. A document ``{column: {row label: value}}`` becomes a row per label. Forms are united by name.
     """
+    documents, lines = [path], []
     if multi_line is None:
-        first = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''").first()
-        multi_line = first is not None and not _whole_object(first["v"])
-    reader = spark.read.option("multiLine", str(multi_line).lower())
-    rows = (reader.schema(schema) if schema is not None else reader).json(path)
-    kinds = [f.dataType for f in rows.schema]
-    if schema is None and kinds and all(isinstance(k, T.StructType) for k in kinds) and _columns_first(rows, path):
-        labels = list(dict.fromkeys(n for k in kinds for n in k.names))
-        picked = [
-            F.struct(*[(F.col(f"`{f.name}`.`{n}`") if n in f.dataType.names else F.lit(None)).alias(f.name) for f in rows.schema])
-            for n in labels
-        ]
-        return rows.select(F.inline(F.array(*picked)))
-    return rows
+        text = spark.read.option("recursiveFileLookup", "true").text(path).where(F.trim("value") != "")
+        place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+        heads = text.select(F.col("_metadata.file_path").alias("path"), place.alias("at"), "value")
+        heads = heads.groupBy("path").agg(F.min_by("value", "at").alias("head"), F.count("*").alias("n")).collect()  # the readers need the list
+        lines = [plain_path(r["path"]) for r in heads if _whole_object(r["head"])]
+        documents = [plain_path(r["path"]) for r in heads if not _whole_object(r["head"]) or r["n"] == 1 and _holds_objects(r["head"])]
+    elif not multi_line:
+        documents, lines = [], [path]
+    parts = []
+    if documents:
+        whole = spark.read.text(documents, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+        members = F.from_json("value", "map<string,map<string,variant>>")
+        labels = F.forall(F.map_values("m"), lambda x: x.isNotNull() & F.forall(F.map_keys(x), lambda k: k.rlike("^[0-9]+$")))
+        shaped = whole.select("path", members.alias("m")).where((F.size("m") > 0) & labels)
+        by_column = {plain_path(r["path"]) for r in shaped.select("path").collect()}
+        lines = [p for p in lines if p not in by_column]
+        if by_column:
+            parts.append(_rows_of_columns(shaped, schema))
+        documents = [p for p in documents if multi_line is None and p not in by_column and p not in lines or multi_line and not by_column]
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    if documents:
+        parts.append(reader.option("multiLine", "true").json(documents))
+    if lines or not parts:
+        parts.append(reader.option("multiLine", "false").json(lines or path))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _rows_of_columns(documents: DataFrame, schema=None) -> DataFrame:
+    """Rows of documents (path, m: column to label to value): cells are exploded and meet again by label."""
+    cells = documents.select("path", F.explode("m").alias("column", "cells")).select("path", "column", F.explode("cells").alias("label", "value"))
+    cells = stored(cells.select("path", "column", "label", F.expr("schema_of_variant(value)").alias("kind"), F.to_json("value").alias("value")), "json-cells")
+    # One row per column and kind of value.
+    kinds: dict[str, set[str]] = {}
+    for r in cells.select("column", "kind").distinct().collect():
+        kinds.setdefault(r["column"], set()).add(r["kind"].split("(")[0])
+    if schema is not None:
+        fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        types = {f.name: f.dataType.simpleString() for f in fields}
+    else:
+        types = {name: _column_type(found - {"VOID"}) for name, found in sorted(kinds.items())}
+    # A cell is JSON text: read as an object of one member, whatever its type.
+    def cell(name: str, kind: str) -> F.Column:
+        return F.from_json(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), f"v {kind}")["v"].alias(name)
+
+    columns = [F.first(F.when(F.col("column") == n, cell(n, t)), ignorenulls=True).alias(n) for n, t in types.items()]
+    return cells.groupBy("path", "label").agg(*columns).drop("path", "label")
+
+
+def _column_type(kinds: set[str]) -> str:
+    if kinds == {"BOOLEAN"}:
+        return "boolean"
+    if kinds == {"BIGINT"}:
+        return "bigint"
+    return "double" if kinds and kinds <= {"BIGINT", "DECIMAL", "DOUBLE", "FLOAT"} else "string"
 
 
 def _whole_object(line: str) -> bool:
@@ -163,10 +151,10 @@ def _whole_object(line: str) -> bool:
         return False
 
 
-def _columns_first(rows: DataFrame, path: str) -> bool:
-    """One object whose members are objects keyed by row labels, as tables are written by column."""
-    labels = {n for f in rows.schema for n in f.dataType.names}
-    return bool(labels) and all(n.isdigit() for n in labels) and len(rows.limit(2).collect()) == 1
+def _holds_objects(line: str) -> bool:
+    """A document of columns may stand on one line."""
+    found = json.loads(line)
+    return bool(found) and all(isinstance(v, dict) for v in found.values())
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
