@@ -46,13 +46,19 @@ def fold(doc_id: Column) -> Column:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Bytes of an array by significance, so that leading zeros compress away."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    """Whole numbers as planes of bytes, the lowest first, without those that are zero in all of them."""
+    size = values.itemsize
+    top = int(values.view(f"u{size}").max()) if len(values) else 0
+    width = max(1, (top.bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(values.view(np.uint8).reshape(len(values), size)[:, :width].T).tobytes()
 
 
 def unpacked(data: bytes, kind) -> np.ndarray:
-    kind = np.dtype(kind)
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, len(data) // kind.itemsize).T).reshape(-1).view(kind)
+    kind, width = np.dtype(kind), data[0]
+    n = (len(data) - 1) // width
+    wide = np.zeros((n, kind.itemsize), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(width, n).T
+    return wide.reshape(-1).view(kind)
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
