@@ -33,6 +33,8 @@ MAX_SHARD = 2_000  # nodes in one build or search task
 MAX_PIVOTS = 1_000  # per split; bounds what travels to a task
 CHUNK = 20_000  # rows assigned to pivots in one task
 QUERIES = 4_000  # queries in one search task
+PAIRS = 1 << 19  # (query, node) pairs that a task follows at once; bounds its hits
+LOOKED = 1 << 21  # vector components compared at once
 LEVELS = 6
 CANDIDATES, DEGREE, ALPHA = 40, 16, 1.2
 BEAMS = (16, 64, 256)
@@ -161,8 +163,11 @@ def range_search(x: np.ndarray, lists: np.ndarray, medoid: int, q: np.ndarray, b
     seen = np.zeros(m * n, bool)
     hits_q, hits_x = [], []
 
+    step = max(1, LOOKED // max(1, x.shape[1]))
+
     def look(at_q, at_x):
-        s = np.einsum("ij,ij->i", q[at_q], x[at_x])
+        parts = [slice(i, i + step) for i in range(0, len(at_q), step)]
+        s = np.concatenate([np.einsum("ij,ij->i", q[at_q[p]], x[at_x[p]]) for p in parts] or [np.zeros(0)])
         good = s >= bound
         hits_q.append(at_q[good])
         hits_x.append(at_x[good])
@@ -254,18 +259,25 @@ def _searched(members: DataFrame, visits: DataFrame, beam: int, bound: float) ->
             lists[i, : len(v)] = v
         medoid = int(np.argmax(x @ x.mean(axis=0)))
         asked_names = asked["node"].to_numpy()
-        hq, hx = range_search(x, lists, medoid, _matrix(asked["vec"]), beam, bound)
-        other = asked_names[hq] != names[hx]
-        hq, hx = hq[other], hx[other]
+        queries = _matrix(asked["vec"])
         weight = np.where(table["home"].to_numpy(), table["copies"].to_numpy(), 0)
-        counts = np.bincount(hq, weights=weight[hx], minlength=len(asked)).astype(np.int64)
-        child, root = _forest(asked_names[hq], names[hx])
+        counts, forests = np.zeros(len(asked), np.int64), []
         # Cells of hits that the query is not dealt to; hits are grouped by their cells, of which there are few sets.
         own = asked["cells"].map(frozenset).to_list()
         kinds, kind_of = np.unique([" ".join(sorted(v)) for v in table["cells"]], return_inverse=True)
         more = set()
-        for q, k in np.unique(np.stack([hq, kind_of[hx]], 1), axis=0).tolist() if len(hq) else []:
-            more |= {(int(asked_names[q]), c) for c in kinds[k].split(" ") if c not in own[q]}
+        # Some queries at a time: of a dense shard's hits only counts and a forest stay.
+        step = max(1, PAIRS // len(names))
+        for at in range(0, len(asked), step):
+            hq, hx = range_search(x, lists, medoid, queries[at : at + step], beam, bound)
+            hq = hq + at
+            other = asked_names[hq] != names[hx]
+            hq, hx = hq[other], hx[other]
+            counts += np.bincount(hq, weights=weight[hx], minlength=len(asked)).astype(np.int64)
+            forests.append(_forest(asked_names[hq], names[hx]))
+            for q, k in np.unique(np.stack([hq, kind_of[hx]], 1), axis=0).tolist() if len(hq) else []:
+                more |= {(int(asked_names[q]), c) for c in kinds[k].split(" ") if c not in own[q]}
+        child, root = _forest(*(np.concatenate(part) for part in zip(*forests)))
         out = [
             pd.DataFrame({"kind": 0, "a": asked_names, "b": counts, "cell": ""}),
             pd.DataFrame({"kind": 1, "a": child, "b": root, "cell": ""}),
