@@ -125,7 +125,9 @@ def mus_picked(
     rows = kept.na.drop(subset=groups).select(
         *dict.fromkeys([*groups, *order_by, *key]), F.coalesce(amount, F.lit(0).cast("long")).alias("__m")
     )
-    stratum = F.concat_ws("|", *[F.col(g).cast("string") for g in groups])
+    texts = [F.col(g).cast("string") for g in groups]
+    # Several values with their lengths in front: no two strata share a text, hence draws.
+    stratum = texts[0] if len(texts) == 1 else F.concat(*[F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in texts])
 
     checks = kept.agg(F.count(F.lit(1)).alias("rows"), F.min(amount).alias("least")).first()
     if not checks["rows"]:

@@ -97,7 +97,7 @@ def trial_table(spark: SparkSession, trials: Sequence[tuple[int, dict[str, float
 
 
 def trial_history(trials: DataFrame) -> DataFrame:
-    """Completed trials and the best value so far."""
+    """Completed trials and their values."""
     return trials.where("value IS NOT NULL").select("trial", "value")
 
 
