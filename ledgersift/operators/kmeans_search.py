@@ -35,7 +35,7 @@ ITERATIONS = range(100, 501)
 TRIALS = 100
 TOLERANCE = 1e-4  # of the mean variance of a column: less movement of the centres ends a run
 BLOCK_VALUES = 1 << 18  # numbers in a stored block of points
-CELLS = 1 << 20  # distances held at once
+CELLS = 1 << 16  # distances held at once, so that they stay in a core's cache
 
 
 @dataclass(frozen=True)
@@ -169,19 +169,19 @@ def _chains(blocks: DataFrame, origin: np.ndarray, starts: int, length: int, see
     return chains
 
 
-def cluster_sums(x: np.ndarray, w: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, float]:
-    """Per cluster the weight and the weighted sums of its points (ties to the lower cluster); the within sum."""
-    d = squared(x, centres)
-    label, best = np.zeros(len(x), np.intp), d[0].copy()
-    for k in range(1, len(d)):
-        nearer = d[k] < best
-        label[nearer] = k
-        best[nearer] = d[k][nearer]
-    sums = np.empty((len(centres), x.shape[1] + 1))
-    sums[:, 0] = np.bincount(label, w, len(centres))
-    for j in range(x.shape[1]):
-        sums[:, j + 1] = np.bincount(label, w * x[:, j], len(centres))
-    return sums, float(w @ best)
+def cluster_sums(x: np.ndarray, lengths: np.ndarray, weighted: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, float]:
+    """Per cluster the weight and the weighted sums of its points (ties to the lower cluster); the within sum.
+
+    ``lengths``: squared lengths of the points; ``weighted``: their weights, and weights times columns.
+    """
+    d = centres @ x.T
+    d *= -2
+    d += (centres * centres).sum(axis=1)[:, None]
+    best = d.min(axis=0)
+    member = d == best
+    if np.count_nonzero(member) != len(x):
+        member = np.arange(len(centres))[:, None] == d.argmin(axis=0)
+    return member.astype(float) @ weighted, float(weighted[:, 0] @ np.maximum(best + lengths, 0))
 
 
 def _scan(blocks: DataFrame, origin: np.ndarray, runs: list[Run]) -> dict[int, tuple[np.ndarray, float]]:
@@ -191,12 +191,15 @@ def _scan(blocks: DataFrame, origin: np.ndarray, runs: list[Run]) -> dict[int, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {}
         for x, w, _ in _opened(batches, origin):
+            lengths, weighted = (x * x).sum(axis=1), np.column_stack([w, w[:, None] * x])
             for i, centres in held.value:
                 step = max(1, CELLS // len(centres))
+                sums, within = total.get(i, (0, 0.0))
                 for at in range(0, len(x), step):
-                    sums, within = cluster_sums(x[at : at + step], w[at : at + step], centres)
-                    before = total.get(i)
-                    total[i] = (sums, within) if before is None else (before[0] + sums, before[1] + within)
+                    part = slice(at, at + step)
+                    more, far = cluster_sums(x[part], lengths[part], weighted[part], centres)
+                    sums, within = sums + more, within + far
+                total[i] = sums, within
         if total:
             task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays(
@@ -277,9 +280,10 @@ def kmeans_search(
     scores = []
     for t in tried:
         ends = [(r.within[at], r.start, at, r) for r in (runs[t.clusters, s] for s in range(t.starts)) for at in [min(t.iterations, len(r.within) - 1)]]
-        within, _, at, run = min(ends, key=lambda e: e[:2])
+        # Starts that end alike differ in rounding only: the first of them counts.
+        within, _, at, run = min(ends, key=lambda e: (float(f"{e[0]:.9g}"), e[1]))
         scores.append((calinski_harabasz_of(total, within, run.filled[at], rows), within, at, run))
-    scored = [(-v[0], t.clusters, t.number) for t, v in zip(tried, scores) if v[0] is not None]
+    scored = [(-float(f"{v[0]:.9g}"), t.clusters, t.number) for t, v in zip(tried, scores) if v[0] is not None]
     best = tried[min(scored)[2] if scored else 0]
     _, within, at, run = scores[best.number]
     centres = run.kept.get(at, run.centres) + mean
