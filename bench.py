@@ -74,7 +74,7 @@ def main() -> None:
         "autoencoder_sample": lambda: done(autoencoder_sample(line_features, "features", 1_000, ["line_id"], 42)),
         "lof_sample": lambda: done(lof_sample(part_points, "features", 100, "p_partkey")),
         "lof_sample_blocks": lambda: done(lof_sample(some_lines, "features", 100, "line_id")),
-        "approximate_knn_join": lambda: done(approximate_knn_search(distinct_points(line_features, "features", "line_id"), 5).pairs),
+        "approximate_knn_join": lambda: done(approximate_knn_search(distinct_points(some_lines, "features", "line_id"), 5).pairs),
     }
     chosen = os.environ.get("BENCH_ONLY")
     times = {}
