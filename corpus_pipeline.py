@@ -25,7 +25,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays whose five-word shingles agree to 0.8 or more."""
+    """One document of each group stays: SimHash and MinHash candidates whose five-word shingles agree to 0.8 or more."""
     return drop_similar_texts(docs)
 
 
@@ -42,7 +42,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality),
     ("line dedup", lines),
-    ("near-dedup by shingles", near_duplicates),
+    ("SimHash near-dedup by shingles", near_duplicates),
     ("source mixing", mixture),
     ("SentencePiece tokens", tokens),
 ]

@@ -3,7 +3,8 @@
 A one-word change in a text of ordinary length moves more bits of a 64-bit SimHash than any selective key
 allows, so candidates meet under MinHash keys (Broder 1997): ``BANDS`` keys of ``BAND`` minima each, under
 which a pair of similarity s meets with probability 1 - (1 - s^BAND)^BANDS: 0.99999 at 0.8. Every link is
-verified on the shingles themselves.
+verified on the shingles themselves. The links of ``simhash_dedup`` (fingerprints that differ in two bits or fewer,
+found by deletion-variant signatures) are candidates too: each is a key of its own, and so is each fingerprint.
 
 Texts of equal shingle sets collapse first. A key held by up to ``LIMIT`` sets gives all its pairs. A fuller
 key is worked off in rounds: its members are compared with 1, 8, 64, ... of them, those first that most full
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from ledgersift.cluster import stored
 
 from .graph import components
-from .simhash_dedup import first_rows, grouped_by
+from .simhash_dedup import fingerprint_links, fingerprints, first_rows, grouped_by
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -113,14 +114,22 @@ def similar_links(keys: DataFrame, texts: DataFrame, similar: float = SIMILAR, l
         compared, more = more, more * GROWTH
 
 
+def simhash_keys(marks: DataFrame) -> DataFrame:
+    """(fp, key) from (fp, mark): sets share a key whose SimHash fingerprints are equal or linked."""
+    distinct = stored(marks.select(F.col("mark").alias("fp")).distinct(), "marks")
+    links = fingerprint_links(distinct).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    linked = links.select(F.xxhash64("x", "y").alias("key"), F.explode(F.array("x", "y")).alias("mark"))
+    alone = distinct.select(F.xxhash64(F.lit("mark"), "fp").alias("key"), F.col("fp").alias("mark"))
+    return marks.join(linked.unionAll(alone), "mark").select("fp", "key").distinct()
+
+
 def _grouped(docs: DataFrame, similar: float, limit: int) -> tuple[DataFrame, DataFrame]:
-    rows = stored(
-        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sketches(F.col("text")).alias("s")), "sketches"
-    ).select("doc_id", "text_hash", "s.fp", "s.keys")
-    distinct = stored(
-        rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys")), "sets"
-    )
-    keys = distinct.select("fp", F.explode("keys").alias("key"))
+    said = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sketches(F.col("text")).alias("s"), fingerprints(F.col("text")).alias("mark"))
+    rows = stored(said, "sketches").select("doc_id", "text_hash", "s.fp", "s.keys", "mark")
+    one = F.min(F.struct("text_hash", "mark"))  # of the texts of a set
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), one.alias("one"), F.first("keys").alias("keys"))
+    distinct = stored(distinct.select("fp", "first", "one.*", "keys"), "sets")
+    keys = distinct.select("fp", F.explode("keys").alias("key")).unionAll(simhash_keys(distinct.select("fp", "mark")))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keys = stored(keys.join(shared, "key"), "shared-keys")
     # Only texts that can be part of a pair move.

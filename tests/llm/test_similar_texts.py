@@ -69,3 +69,22 @@ def test_stage_drops_copies_with_one_replaced_word(spark):
     rows = [(i, t, 1, "z") for i, t in enumerate(texts + [changed(rng, t, 1) for t in texts])]
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(len(texts)))
+
+
+def test_simhash_links_are_candidates(spark):
+    """Fingerprints that are equal or differ in two bits share a key, those that differ in three do not."""
+    marks = [(1, 0), (2, 0), (3, 1 << 40), (4, -(1 << 63)), (5, 0b111 << 20), (6, (0b111 << 20) | 1)]
+    got = {}
+    for r in similar_texts.simhash_keys(spark.createDataFrame(marks, "fp long, mark long")).collect():
+        got.setdefault(r["key"], []).append(r["fp"])
+    met = {(a, b) for fps in got.values() for a in fps for b in fps if a < b}
+    assert met == {(a, b) for a, x in marks for b, y in marks if a < b and ((x ^ y) & (2**64 - 1)).bit_count() <= 2}
+
+
+def test_stage_takes_its_simhash_step(spark, monkeypatch):
+    asked = []
+    links = similar_texts.fingerprint_links
+    monkeypatch.setattr(similar_texts, "fingerprint_links", lambda found: asked.append(found.count()) or links(found))
+    rows = [(i, prose(random.Random(i), 40), 1, "z") for i in range(6)]
+    assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").count() == 6
+    assert asked == [6]
