@@ -3,10 +3,12 @@
 import numpy as np
 import pytest
 
+from ledgersift.operators import neighbours
 from ledgersift.operators.neighbours import (
     Projections, approximate_knn_search, blocks_to_visit, distinct_points, knn_search,
 )
 from ledgersift.operators.outlier_factor import lof_scores
+from ledgersift.operators.vectors import squared_distances
 
 
 def clouds(n, dims, seed, dense=0.35):
@@ -140,6 +142,40 @@ def test_outlier_factor_does_not_depend_on_the_path(spark):
     assert few.keys() == many.keys() and all(np.isclose(few[i], many[i]) for i in few)
 
 
+def test_points_that_no_bound_helps_are_swept(spark, monkeypatch):
+    """Points all about as far from each other: no rounds over most blocks, the same neighbours."""
+    seen, heavy = [], neighbours._swept
+    monkeypatch.setattr(neighbours, "_swept", lambda points, asked, *rest: seen.append(asked.count()) or heavy(points, asked, *rest))
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(700, 40))
+    x[rng.integers(700, size=40)] = x[0]
+    search = knn_search(distinct_points(frame(spark, x), "features", "id"), 6, broadcast_points=0, block_rows=16)
+    got, wanted = found(search), brute(x, 6)
+    assert seen and seen[0] > 500 and search.visits > search.points
+    assert {a: [p[1:] for p in v] for a, v in got.items()} == {a: [p[1:] for p in v] for a, v in wanted.items()}
+
+
+def test_estimates_exclude_no_neighbour():
+    """Candidates by matrix products against all distances, with own rows, weights, bounds, ties and a far origin."""
+    rng = np.random.default_rng(3)
+    points = 1e6 + rng.integers(0, 6, size=(9_000, 3)).astype(float) + rng.normal(size=(9_000, 3)) * (rng.random((9_000, 1)) < 0.5)
+    x, weights, order = points[:50], rng.integers(1, 4, 9_000), rng.permutation(9_000)
+    own = np.where(np.arange(50) < 40, np.arange(50), -1)
+    bound = np.where(np.arange(50) % 3, np.inf, 0.2)
+    got = list(zip(*neighbours.near_candidates(x, own, points, weights, order, 9, bound)))
+    wanted = []
+    for r, d in enumerate(np.sqrt(squared_distances(x, points))):
+        if own[r] >= 0:
+            d[own[r]] = np.inf
+        left = 9
+        for c in np.lexsort((order, d)):
+            if left <= 0 or d[c] > bound[r]:
+                break
+            wanted.append((r, c, d[c]))
+            left -= weights[c]
+    assert got == wanted
+
+
 def test_few_and_no_points(spark):
     none = distinct_points(frame(spark, np.zeros((0, 2))), "features", "id")
     one = distinct_points(frame(spark, np.zeros((1, 2))), "features", "id")
