@@ -3,14 +3,19 @@
 A trial is a number of clusters, a number of starts and a bound on iterations. Trials that ask for the same number of
 clusters share their starts, so the work is one run per (clusters, start), and a trial is read off the runs'
 histories: the lowest within-cluster sum among its first starts, each taken at its bound. All rows take part: equal
-vectors are one weighted point, and every scan moves the centres of all open runs at once. A task sends one row per
-run (sums per cluster), these are added per run, and only centres reach the driver. A run leaves the scans when its
+vectors are one weighted point, and every scan moves the centres of all open runs at once. A task sends the sums per
+cluster, some runs a row, these are added per run, and only they reach the driver. A run leaves the scans when its
 centres rest.
 
+A scan of few columns takes points by leaves, neighbours in space that it adds as one where a centre is nearest to
+the whole ball around them; the points of the other leaves are compared one by one. In many columns balls decide
+nothing: there the centres of many runs are compared in one product of single precision, and points for which its
+error could change the nearest centre once more in double precision.
+
 Starts follow k-means++ as a race: in each step a point wins a chain with a chance in proportion to its weighted
 squared distance, by hashed exponential draws whose minimum is an aggregate. A chain of the most clusters serves all
 smaller ones, whose starts are its beginnings. Draws hang on the point alone, so neither the partitioning nor a table
-that repeats all its rows changes a run.
+that repeats all its rows changes a run. Distances are computed for points whose draw can still win.
 """
 
 from __future__ import annotations
@@ -34,8 +39,14 @@ STARTS = range(5, 31)
 ITERATIONS = range(100, 501)
 TRIALS = 100
 TOLERANCE = 1e-4  # of the mean variance of a column: less movement of the centres ends a run
-BLOCK_VALUES = 1 << 18  # numbers in a stored block of points
+BLOCK_VALUES = 1 << 20  # numbers in a stored block of points
 CELLS = 1 << 16  # distances held at once, so that they stay in a core's cache
+LEAF = 128  # points that a scan of few columns tries to add as one
+LEAF_COLUMNS = 16
+STACK, STRIP = 256, 1024  # centres and points in one product of a scan of many columns
+SINGLE = 1e30  # squared lengths that single precision holds with room for sums
+BUNDLE = 32  # runs whose sums travel in one row
+FIRST_DRAWS = 256  # expected number of points whose times bound the winner's
 
 
 @dataclass(frozen=True)
@@ -82,27 +93,59 @@ def drawn_trials(
     return [Trial(i, int(k), int(s), int(m)) for i, (k, s, m) in enumerate(picks)]
 
 
-def _blocks(points: DataFrame, dims: int) -> DataFrame:
-    """Points (v, w, h) in binary blocks, which every scan reads as they are."""
-    step = max(1, BLOCK_VALUES // dims)
+def leaf_order(x: np.ndarray) -> np.ndarray:
+    """An order in which neighbours lie together: cut amid the widest column, which parts levels, again and again."""
+    order, open_ = np.arange(len(x)), [(0, len(x))]
+    while open_:
+        low, high = open_.pop()
+        if high - low <= LEAF:
+            continue
+        part = order[low:high]
+        values = x[part]
+        least, most = values.min(axis=0), values.max(axis=0)
+        column = (most - least).argmax()
+        left = values[:, column] <= least[column] + (most[column] - least[column]) / 2
+        at = low + np.count_nonzero(left)
+        if low < at < high:  # else all are alike
+            order[low:high] = np.concatenate([part[left], part[~left]])
+            open_ += [(low, at), (at, high)]
+    return order
+
+
+def _blocks(points: DataFrame, rows: int, dims: int) -> DataFrame:
+    """Points (v, w, h) in binary blocks, which every scan reads as they are; few columns: close points together."""
+    step, near = max(1, BLOCK_VALUES // dims), dims <= LEAF_COLUMNS
+
+    def block(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        x, w, h = matrix(table["v"]), table["w"].to_numpy().astype(float), table["h"].to_numpy()
+        for at in range(0, len(x), 2 * step):
+            part = np.arange(at, min(len(x), at + 2 * step))
+            if near:
+                part = part[leaf_order(x[part])]
+            yield pa.RecordBatch.from_arrays([pa.array([y[part].tobytes()], pa.binary()) for y in (x, w, h)], names=["x", "w", "h"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
         for batch in batches:
-            x, w, h = matrix(batch.column("v")), batch.column("w").to_numpy(), batch.column("h").to_numpy()
-            for at in range(0, len(x), step):
-                part = slice(at, at + step)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([np.ascontiguousarray(y[part]).tobytes()], pa.binary()) for y in (x, w.astype(float), h)], names=["x", "w", "h"]
-                )
+            held, count = [*held, batch], count + batch.num_rows
+            if count >= step:
+                yield from block(held)
+                held, count = [], 0
+        if count:
+            yield from block(held)
 
-    return points.select("v", "w", "h").mapInArrow(pack, "x binary, w binary, h binary")
+    tasks = _tasks(points, rows, dims)
+    placed = points.repartitionByRange(tasks, "v") if near else points.repartition(tasks, "h")
+    return placed.select("v", "w", "h").mapInArrow(pack, "x binary, w binary, h binary")
 
 
-def _opened(batches: Iterator[pa.RecordBatch], origin: np.ndarray):
+def _opened(batches: Iterator[pa.RecordBatch], origin: np.ndarray, *others: str):
+    """Centred points, their weights and the ``others`` of every block."""
     for batch in batches:
-        for row in batch.to_pylist():
-            x = np.frombuffer(row["x"]).reshape(-1, len(origin)) - origin
-            yield x, np.frombuffer(row["w"]), np.frombuffer(row["h"], np.int64)
+        for i in range(batch.num_rows):
+            x, *rest = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64 if c == "h" else float) for c in ("x", "w", *others))
+            yield x.reshape(-1, len(origin)) - origin, *rest
 
 
 def squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -122,14 +165,26 @@ def uniform(h: np.ndarray, salt: int) -> np.ndarray:
 
 def race(x, w, h, chains: np.ndarray, seed: int, step: int):
     """(chain, time, hash, place) of the winners among some points; ``chains``: starts by centres by columns."""
-    out = []
+    middle = x.mean(axis=0)
+    radius, out = np.sqrt(squared(x, middle[None]).max()), []
     for s, centres in enumerate(chains):
-        pull = w * squared(x, centres).min(axis=0) if len(centres) else w
-        with np.errstate(divide="ignore", invalid="ignore"):
-            time = np.where(pull > 0, -np.log(uniform(h, (seed * 1_000 + s) * 1_000 + step)) / pull, np.inf)
-        best = np.lexsort((h, time))[0] if len(time) < 64 else _first(time, h)
+        u = uniform(h, (seed * 1_000 + s) * 1_000 + step)
+
+        def times(at: np.ndarray) -> np.ndarray:
+            pull = w[at] * squared(x[at], centres).min(axis=0) if len(centres) else w[at]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return np.where(pull > 0, -np.log(u[at]) / pull, np.inf)
+
+        # -log(u) is at least 1 - u, and no point is farther from its centre than the block's ball allows.
+        least = (1 - u) / w
+        far = (np.sqrt(squared(middle[None], centres).min()) + radius) ** 2 if len(centres) else 1.0
+        first = times(np.flatnonzero(least <= FIRST_DRAWS / w.sum()))
+        bound = first.min() if len(first) else np.inf
+        at = np.flatnonzero(least <= bound * far * (1 + 1e-6)) if np.isfinite(bound) else np.arange(len(x))
+        time = times(at)
+        best = _first(time, h[at])
         if np.isfinite(time[best]):
-            out.append((s, time[best], int(h[best]), int(best)))
+            out.append((s, time[best], int(h[at[best]]), int(at[best])))
     return out
 
 
@@ -148,7 +203,7 @@ def _chains(blocks: DataFrame, origin: np.ndarray, starts: int, length: int, see
 
         def run(batches: Iterator[pa.RecordBatch], step=step, held=held) -> Iterator[pa.RecordBatch]:
             won = {}
-            for x, w, h in _opened(batches, origin):
+            for x, w, h in _opened(batches, origin, "h"):
                 for s, time, name, at in race(x, w, h, held.value, seed, step):
                     won[s] = min(won.get(s, (np.inf, 0, b"")), (time, name, x[at].tobytes()))
             if won:
@@ -184,41 +239,137 @@ def cluster_sums(x: np.ndarray, lengths: np.ndarray, weighted: np.ndarray, centr
     return member.astype(float) @ weighted, float(weighted[:, 0] @ np.maximum(best + lengths, 0))
 
 
+@dataclass
+class Leaves:
+    """Every ``LEAF`` points of a block, and what they come to as one weighted point."""
+
+    points: np.ndarray  # leaves by points by columns
+    weights: np.ndarray
+    middles: np.ndarray
+    weighted: np.ndarray
+    radii: np.ndarray
+    spreads: np.ndarray  # weighted squared distances to the middle
+
+    @classmethod
+    def of(cls, x: np.ndarray, w: np.ndarray) -> Leaves:
+        points, weights = x.reshape(-1, LEAF, x.shape[1]), w.reshape(-1, LEAF)
+        total = weights.sum(axis=1)
+        middles = np.einsum("lp,lpc->lc", weights, points) / total[:, None]
+        lengths = ((points - middles[:, None]) ** 2).sum(axis=2)
+        weighted = np.column_stack([total, total[:, None] * middles])
+        return cls(points, weights, middles, weighted, np.sqrt(lengths.max(axis=1)), (weights * lengths).sum(axis=1))
+
+    def sums(self, centres: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """(sums per cluster, within sum) of the leaves that a centre wins as a whole; which leaves these are.
+
+        For x in the ball around m, x is nearer to c than to e if |m - e|^2 - |m - c|^2 > 2 * radius * |c - e|.
+        """
+        d = squared(self.middles, centres)
+        best, place = d.argmin(axis=0), np.arange(d.shape[1])
+        least = d[best, place]
+        apart = np.sqrt(((centres[:, None] - centres) ** 2).sum(axis=2))
+        # Far above the rounding of the distances: a leaf in doubt is compared point by point.
+        doubt = 1e-11 * ((self.middles * self.middles).sum(axis=1) + (centres * centres).sum(axis=1).max())
+        clear = d - least > 2 * (1 + 1e-9) * self.radii * apart[:, best] + doubt
+        clear[best, place] = True
+        won = clear.all(axis=0)
+        member = np.arange(len(centres))[:, None] == best[won]
+        return member.astype(float) @ self.weighted[won], float(self.weighted[won, 0] @ least[won] + self.spreads[won].sum()), won
+
+
+def _point_sums(x: np.ndarray, w: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, float]:
+    """``cluster_sums`` of any number of points."""
+    sums, within, step = np.zeros((len(centres), x.shape[1] + 1)), 0.0, max(1, CELLS // len(centres))
+    for at in range(0, len(x), step):
+        part, weight = x[at : at + step], w[at : at + step]
+        more, far = cluster_sums(part, (part * part).sum(axis=1), np.column_stack([weight, weight[:, None] * part]), centres)
+        sums, within = sums + more, within + far
+    return sums, within
+
+
+def leaf_sums(x: np.ndarray, w: np.ndarray, runs: Sequence[np.ndarray]) -> Iterator[tuple[np.ndarray, float]]:
+    """Sums per cluster and within sum of every run, by leaves."""
+    whole = len(x) // LEAF * LEAF
+    leaves = Leaves.of(x[:whole], w[:whole])
+    for centres in runs:
+        sums, within, won = leaves.sums(centres)
+        for some, weights in ((leaves.points[~won].reshape(-1, x.shape[1]), leaves.weights[~won].ravel()), (x[whole:], w[whole:])):
+            more, far = _point_sums(some, weights, centres)
+            sums, within = sums + more, within + far
+        yield sums, within
+
+
+def stacked_sums(x: np.ndarray, w: np.ndarray, runs: Sequence[np.ndarray]) -> Iterator[tuple[np.ndarray, float]]:
+    """Sums per cluster and within sum of every run, the distances to many runs' centres in one product."""
+    lengths = (x * x).sum(axis=1)
+    if not max(lengths.max(), *((c * c).sum(axis=1).max() for c in runs)) < SINGLE:
+        yield from (_point_sums(x, w, c) for c in runs)
+        return
+    weighted, total = np.column_stack([w, w[:, None] * x]), float(w @ lengths)
+    narrow = np.column_stack([x, np.ones(len(x))]).T.astype(np.float32, order="C")
+    at = 0
+    while at < len(runs):
+        some = [runs[at]]
+        while at + len(some) < len(runs) and sum(map(len, some)) + len(runs[at + len(some)]) <= STACK:
+            some.append(runs[at + len(some)])
+        at += len(some)
+        centres = np.concatenate(some)
+        squares, sums = (centres * centres).sum(axis=1), np.zeros((len(centres), x.shape[1] + 1))
+        spans = [slice(end - len(c), end) for c, end in zip(some, np.cumsum([len(c) for c in some]))]
+        turned = np.column_stack([-2 * centres, squares]).astype(np.float32)
+        # Twice the largest error of a distance in single precision (a bound that holds for any order of additions).
+        longest = np.sqrt(squares.max())
+        doubt = (2.1 * (x.shape[1] + 4) * 2.0**-24 * (2 * longest * np.sqrt(lengths) + longest**2) + 1e-36).astype(np.float32)
+        member = np.empty((len(centres), STRIP))
+        for low in range(0, len(x), STRIP):
+            part = slice(low, low + STRIP)
+            d = turned @ narrow[:, part]
+            for span in spans:
+                least = d[span].min(axis=0)
+                least += doubt[part]
+                near = d[span] <= least
+                here = member[span, : near.shape[1]]
+                here[:] = near
+                if np.count_nonzero(near) != near.shape[1]:  # several are nearest within the error
+                    open_ = np.flatnonzero(near.view(np.uint8).sum(axis=0, dtype=np.uint16) > 1)
+                    exact = squares[span, None] - 2 * (centres[span] @ x[low + open_].T)
+                    here[:, open_] = np.arange(len(near))[:, None] == exact.argmin(axis=0)
+            sums += member[:, : d.shape[1]] @ weighted[part]
+        for span, c in zip(spans, some):
+            yield sums[span], max(0.0, total - 2 * float((c * sums[span, 1:]).sum()) + float(squares[span] @ sums[span, 0]))
+
+
 def _scan(blocks: DataFrame, origin: np.ndarray, runs: list[Run]) -> dict[int, tuple[np.ndarray, float]]:
     """Sums of every open run over all points."""
-    held = blocks.sparkSession.sparkContext.broadcast([(i, r.centres) for i, r in enumerate(runs) if r.open])
+    open_ = [i for i, r in enumerate(runs) if r.open]
+    held = blocks.sparkSession.sparkContext.broadcast([runs[i].centres for i in open_])
+    found = leaf_sums if len(origin) <= LEAF_COLUMNS else stacked_sums
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {}
-        for x, w, _ in _opened(batches, origin):
-            lengths, weighted = (x * x).sum(axis=1), np.column_stack([w, w[:, None] * x])
-            for i, centres in held.value:
-                step = max(1, CELLS // len(centres))
-                sums, within = total.get(i, (0, 0.0))
-                for at in range(0, len(x), step):
-                    part = slice(at, at + step)
-                    more, far = cluster_sums(x[part], lengths[part], weighted[part], centres)
-                    sums, within = sums + more, within + far
-                total[i] = sums, within
-        if total:
-            task = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(total), pa.int32()), pa.array([task] * len(total), pa.int32()),
-                    pa.array([v[0].tobytes() for v in total.values()], pa.binary()), pa.array([v[1] for v in total.values()]),
-                ],
-                names=["run", "task", "sums", "within"],
-            )
+        total = []
+        for x, w in _opened(batches, origin):
+            more = list(found(x, w, held.value))
+            total = [(a + c, b + d) for (a, b), (c, d) in zip(total, more)] or more
+        task = TaskContext.get().partitionId()
+        for at in range(0, len(total), BUNDLE):
+            some = total[at : at + BUNDLE]
+            row = [at // BUNDLE], [task], [b"".join(v[0].tobytes() for v in some)], [np.array([v[1] for v in some]).tobytes()]
+            kinds = pa.int32(), pa.int32(), pa.binary(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], names=["bundle", "task", "sums", "within"])
 
     def add(table: pa.Table) -> pa.Table:
         table = table.sort_by("task")  # the same order of additions, whichever task ends first
-        sums = sum(np.frombuffer(x) for x in table["sums"].to_pylist())
-        return pa.table({"run": table["run"].slice(0, 1), "sums": pa.array([sums.tobytes()], pa.binary()), "within": [sum(table["within"].to_pylist())]})
+        whole = [pa.array([sum(np.frombuffer(x) for x in table[c].to_pylist()).tobytes()], pa.binary()) for c in ("sums", "within")]
+        return pa.table([table["bundle"].slice(0, 1), *whole], names=["bundle", "sums", "within"])
 
-    parts = blocks.mapInArrow(run, "run int, task int, sums binary, within double")
-    rows = parts.groupBy("run").applyInArrow(add, "run int, sums binary, within double").collect()  # one row a run
+    parts = blocks.select("x", "w").mapInArrow(run, "bundle int, task int, sums binary, within binary")
+    rows = parts.groupBy("bundle").applyInArrow(add, "bundle int, sums binary, within binary").collect()  # a row for some runs
     held.unpersist()
-    return {r["run"]: (np.frombuffer(bytes(r["sums"])).reshape(-1, len(origin) + 1), r["within"]) for r in rows}
+    rows.sort(key=lambda r: r["bundle"])
+    sums, within = (np.concatenate([np.frombuffer(bytes(r[c])) for r in rows]) for c in ("sums", "within"))
+    ends = np.cumsum([runs[i].centres.size + len(runs[i].centres) for i in open_])
+    split = np.split(sums, ends[:-1])
+    return {i: (s.reshape(-1, len(origin) + 1), float(w)) for i, s, w in zip(open_, split, within)}
 
 
 def advance(run: Run, sums: np.ndarray, within: float, least: float) -> None:
@@ -258,7 +409,7 @@ def kmeans_search(
     if not possible:
         raise SampleSizeError("too few rows to cluster")
     dims = dims[0]
-    blocks = stored(_blocks(points.repartition(_tasks(points, rows, dims), "h"), dims), "kmeans-blocks")
+    blocks = stored(_blocks(points, rows, dims), "kmeans-blocks")
     whole = Run(1, 0, 0, np.zeros((1, dims)))
     mean = _scan(blocks, np.zeros(dims), [whole])[0][0][0, 1:] / rows
     total = _scan(blocks, mean, [whole])[0][1]
@@ -296,4 +447,4 @@ def kmeans_search(
 
 def _tasks(points: DataFrame, rows: int, dims: int) -> int:
     """Tasks of a scan: all cores, and no more than a few blocks each for large tables."""
-    return max(points.sparkSession.sparkContext.defaultParallelism, rows * dims // (64 * BLOCK_VALUES))
+    return max(points.sparkSession.sparkContext.defaultParallelism, rows * dims // (16 * BLOCK_VALUES))
