@@ -72,17 +72,53 @@ def forward(x: np.ndarray, weights: Sequence[np.ndarray], output: str) -> list[n
     return layers
 
 
-def gradients(x: np.ndarray, weights: Sequence[np.ndarray], output: str, out: Sequence[np.ndarray]) -> None:
-    """Gradient of the mean squared reconstruction error, written into ``out``."""
-    layers = forward(x, weights, output)
-    delta = 2 * (layers[-1] - x) / x.size
-    if output == "sigmoid":
-        delta = delta * layers[-1] * (1 - layers[-1])
-    for i in range(len(weights) - 2, -1, -2):
-        np.matmul(layers[i // 2].T, delta, out=out[i])
-        np.sum(delta, axis=0, out=out[i + 1])
-        if i:
-            delta = (delta @ weights[i].T) * np.where(layers[i // 2] > 0, 1.0, SLOPE)
+class Gradients:
+    """Gradient of the mean squared reconstruction error of batches of ``rows`` rows.
+
+    All arrays of a step are kept for the next one: batches are small, and fresh arrays would cost more than sums.
+    """
+
+    def __init__(self, weights: Sequence[np.ndarray], output: str, rows: int):
+        self.weights, self.output = weights, output
+        self.turned = [w.T for w in weights[::2]]
+        self.layers = [np.empty((rows, w.shape[1])) for w in weights[::2]]
+        self.room = [np.empty_like(z) for z in self.layers]
+        self.deltas = [np.empty_like(z) for z in self.layers]
+
+    def __call__(self, x: np.ndarray, out: Sequence[np.ndarray]) -> None:
+        """Written into ``out``, with the same operations on every number as ``forward``."""
+        last, before = len(self.layers) - 1, x
+        for i, (z, room) in enumerate(zip(self.layers, self.room)):
+            np.matmul(before, self.weights[2 * i], out=z)
+            z += self.weights[2 * i + 1]
+            if i < last:
+                np.multiply(z, SLOPE, out=room)
+                np.maximum(z, room, out=z)
+            elif self.output == "sigmoid":
+                np.maximum(z, -60, out=z)
+                np.minimum(z, 60, out=z)
+                np.negative(z, out=z)
+                np.exp(z, out=z)
+                z += 1
+                np.divide(1, z, out=z)
+            before = z
+        delta, room = self.deltas[last], self.room[last]
+        np.subtract(before, x, out=delta)
+        delta *= 2
+        delta /= x.size
+        if self.output == "sigmoid":
+            delta *= before
+            np.subtract(1, before, out=room)
+            delta *= room
+        for i in range(last, -1, -1):
+            np.matmul((self.layers[i - 1] if i else x).T, delta, out=out[2 * i])
+            np.add.reduce(delta, axis=0, out=out[2 * i + 1])
+            if i:
+                delta, room = np.matmul(delta, self.turned[i], out=self.deltas[i - 1]), self.room[i - 1]
+                np.greater(self.layers[i - 1], 0, out=room)
+                room *= 1 - SLOPE  # then 1 where positive, SLOPE elsewhere
+                room += SLOPE
+                delta *= room
 
 
 def _train(batches, flat: np.ndarray, dims: int, seed: int, output: str):
@@ -90,18 +126,30 @@ def _train(batches, flat: np.ndarray, dims: int, seed: int, output: str):
     flat = flat.copy()
     slope, first, second = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
     weights, slopes = unpack(flat, dims), unpack(slope, dims)
+    a, b, of_rows = np.empty_like(flat), np.empty_like(flat), {}
     rng = np.random.default_rng(seed)
     step = rows = 0
     for batch in batches:
         x = matrix(batch.column(0))
-        order = rng.permutation(len(x))
+        x = x[rng.permutation(len(x))]
         for at in range(0, len(x), BATCH):
             step += 1
-            gradients(x[order[at : at + BATCH]], weights, output, slopes)
-            first += (1 - BETA1) * (slope - first)
-            second += (1 - BETA2) * (slope * slope - second)
-            rate = STEP * np.sqrt(1 - BETA2**step) / (1 - BETA1**step)
-            flat -= rate * first / (np.sqrt(second) + EPSILON)
+            some = x[at : at + BATCH]
+            if len(some) not in of_rows:
+                of_rows[len(some)] = Gradients(weights, output, len(some))
+            of_rows[len(some)](some, slopes)
+            np.subtract(slope, first, out=a)
+            a *= 1 - BETA1
+            first += a
+            np.multiply(slope, slope, out=a)
+            a -= second
+            a *= 1 - BETA2
+            second += a
+            np.sqrt(second, out=a)
+            a += EPSILON
+            np.multiply(first, STEP * np.sqrt(1 - BETA2**step) / (1 - BETA1**step), out=b)
+            b /= a
+            flat -= b
         rows += len(x)
     return flat, rows
 
